@@ -62,8 +62,15 @@ def ratio(part: Column, whole: Column) -> Column:
     return F.try_divide(part.cast("double"), whole.cast("double"))
 
 
+def rounded_quotient(part: Column, whole: Column, digits: int = 2) -> Column:
+    """Quotient of two decimals, divided and rounded in decimals, as a double."""
+    return F.round(F.try_divide(part, whole), digits).cast("double")
+
+
 def percentage(part: Column, whole: Column, digits: int = 2) -> Column:
-    return F.round(F.try_divide((part * 100).cast("double"), whole.cast("double")), digits)
+    """Rounded share in percent; the division is decimal, so halves round as written."""
+    exact = F.try_divide((part * 100).cast("decimal(20,0)"), whole.cast("decimal(20,0)"))
+    return F.round(exact, digits).cast("double")
 
 
 def mean_exact(col: Column, decimal: str = "decimal(28,6)") -> Column:
@@ -71,6 +78,11 @@ def mean_exact(col: Column, decimal: str = "decimal(28,6)") -> Column:
     return ratio(F.sum(col.cast(decimal)), F.count(col))
 
 
+def mean_rounded(col: Column, digits: int, decimal: str = "decimal(18,2)") -> Column:
+    """Average rounded in decimals. ``decimal`` names the exact type of the values."""
+    return F.round(F.try_divide(F.sum(col.cast(decimal)), F.count(col)), digits).cast("double")
+
+
 def count_when(condition: Column) -> Column:
     return F.count(F.when(condition, 1))
 

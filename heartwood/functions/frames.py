@@ -21,7 +21,7 @@ def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n:
     name = rank or "_rank"
     ranked = df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     kept = ranked.filter(F.col(name) <= n)
-    return kept if rank else kept.drop(name)
+    return kept.withColumn(name, F.col(name).cast("bigint")) if rank else kept.drop(name)
 
 
 def dedup_latest(df: DataFrame, keys: Sequence[str], order_col: str, tiebreak: Sequence[str] = ()) -> DataFrame:

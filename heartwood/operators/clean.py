@@ -7,7 +7,7 @@ import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heartwood.functions.columns import as_date, is_blank, months_apart, ratio, title_case, years_apart
+from heartwood.functions.columns import as_date, is_blank, months_apart, rounded_quotient, title_case, years_apart
 from heartwood.functions.frames import dedup_latest
 
 AsOf = datetime.date | str
@@ -85,7 +85,7 @@ def clean_claims(raw: DataFrame, as_of: AsOf) -> DataFrame:
         "resolved_date",
         "description",
         "created_at",
-        F.when(settled, F.round(ratio(F.col("settlement_amount"), F.col("claim_amount")), 2)).alias("settlement_ratio"),
+        F.when(settled, rounded_quotient(F.col("settlement_amount"), F.col("claim_amount"))).alias("settlement_ratio"),
         F.datediff(F.coalesce("resolved_date", as_date(as_of)), "filed_date").alias("days_to_resolve"),
     )
 
@@ -106,7 +106,7 @@ def clean_loans(raw: DataFrame, as_of: AsOf) -> DataFrame:
         "maturity_date",
         or_zero("days_past_due").alias("days_past_due"),
         "created_at",
-        F.when(owed, F.round(1 - ratio(F.col("outstanding_balance"), F.col("principal_amount")), 2))
+        F.when(owed, rounded_quotient(F.col("principal_amount") - F.col("outstanding_balance"), F.col("principal_amount")))
         .otherwise(1.0)
         .alias("payoff_progress"),
         F.when(late >= 180, "Severe")
@@ -151,6 +151,6 @@ def clean_call_transcripts(raw: DataFrame, as_of: AsOf | None = None) -> DataFra
         title_case(F.col("agent_name")).alias("agent_name"),
         F.trim("transcript_text").alias("transcript_text"),
         title_case(F.col("call_reason")).alias("call_reason"),
-        F.length("transcript_text").alias("transcript_length"),
+        F.length("transcript_text").cast("bigint").alias("transcript_length"),
         "created_at",
     )

@@ -22,6 +22,21 @@ def title(column: str) -> str:
     return TITLE.format(column)
 
 
+def half_up(part: str, whole: str, digits: int) -> str:
+    """Quotient of two whole numbers rounded half away from zero, in whole numbers throughout."""
+    p, w, scale = f"CAST({part} AS HUGEINT)", f"CAST({whole} AS HUGEINT)", 10**digits
+    return f"CAST(sign({p}) * ((2 * abs({p}) * {scale} + {w}) // nullif(2 * {w}, 0)) AS DOUBLE) / {scale}"
+
+
+def mean(column: str, digits: int, places: int) -> str:
+    """Average of values with ``places`` decimals, rounded exactly."""
+    return half_up(f"sum(CAST({column} AS DECIMAL(28,{places}))) * {10**places}", f"count({column}) * {10**places}", digits)
+
+
+def share(part: str, whole: str, digits: int) -> str:
+    return half_up(f"({part}) * 100", whole, digits)
+
+
 CTES: dict[str, str] = {}
 
 # --------------------------------------------------------------------- raw
@@ -145,17 +160,17 @@ QUALIFY row_number() OVER (PARTITION BY policy_id ORDER BY created_at DESC NULLS
 CTES["clean_claims"] = f"""
 SELECT claim_id, policy_id, customer_id, {title('claim_type')} AS claim_type, upper(trim(claim_status)) AS claim_status,
  coalesce(claim_amount, 0) AS claim_amount, settlement_amount, filed_date, resolved_date, description, created_at,
- CASE WHEN settlement_amount IS NOT NULL AND claim_amount > 0 THEN round(CAST(settlement_amount AS DOUBLE) / CAST(claim_amount AS DOUBLE), 2) END AS settlement_ratio,
+ CASE WHEN settlement_amount IS NOT NULL AND claim_amount > 0 THEN {half_up('settlement_amount * 100', 'claim_amount * 100', 2)} END AS settlement_ratio,
  CAST(date_diff('day', filed_date, coalesce(resolved_date, {AS_OF})) AS INT) AS days_to_resolve
 FROM raw_claims
 QUALIFY row_number() OVER (PARTITION BY claim_id ORDER BY created_at DESC NULLS FIRST, claim_amount DESC NULLS FIRST,
  settlement_amount DESC NULLS FIRST, filed_date DESC NULLS FIRST, resolved_date DESC NULLS FIRST) = 1"""
 
-CTES["clean_loans"] = """
+CTES["clean_loans"] = f"""
 SELECT loan_id, customer_id, upper(trim(loan_type)) AS loan_type, upper(trim(loan_status)) AS loan_status,
  coalesce(principal_amount, 0) AS principal_amount, interest_rate, coalesce(monthly_payment, 0) AS monthly_payment,
  coalesce(outstanding_balance, 0) AS outstanding_balance, origination_date, maturity_date, coalesce(days_past_due, 0) AS days_past_due, created_at,
- CASE WHEN outstanding_balance > 0 AND principal_amount > 0 THEN round(1 - CAST(outstanding_balance AS DOUBLE) / CAST(principal_amount AS DOUBLE), 2) ELSE CAST(1 AS DOUBLE) END AS payoff_progress,
+ CASE WHEN outstanding_balance > 0 AND principal_amount > 0 THEN {half_up('(principal_amount - outstanding_balance) * 100', 'principal_amount * 100', 2)} ELSE CAST(1 AS DOUBLE) END AS payoff_progress,
  CASE WHEN days_past_due >= 180 THEN 'Severe' WHEN days_past_due >= 90 THEN 'High' WHEN days_past_due >= 30 THEN 'Moderate' WHEN days_past_due > 0 THEN 'Low' ELSE 'Current' END AS delinquency_category
 FROM raw_loans
 QUALIFY row_number() OVER (PARTITION BY loan_id ORDER BY created_at DESC NULLS FIRST, customer_id DESC NULLS FIRST) = 1"""
@@ -392,14 +407,14 @@ SELECT CAST(customer_id AS VARCHAR) AS customer_id, transcript_text AS search_te
 UNION ALL SELECT CAST(customer_id AS VARCHAR), coalesce(subject, '') || '. ' || coalesce(notes, ''), 'interaction_note', channel, interaction_date,
  'interaction_' || CAST(interaction_id AS VARCHAR) FROM clean_interactions WHERE notes IS NOT NULL AND length(trim(notes)) > 0"""
 
-CTES["quality_dashboard"] = """
+CTES["quality_dashboard"] = f"""
 SELECT 'Churn Risk' AS model, count(*) AS total_records, count(*) FILTER (churn_risk_score IS NULL) AS parse_failures,
- round(CAST(100.0 * count(*) FILTER (churn_risk_score IS NULL) AS DOUBLE) / nullif(count(*), 0), 2) AS failure_rate_pct,
+ {share('count(*) FILTER (churn_risk_score IS NULL)', 'count(*)', 2)} AS failure_rate_pct,
  count(*) FILTER (churn_risk_score < 0 OR churn_risk_score > 1) AS out_of_range,
  CAST(sum(CAST(churn_risk_score AS DECIMAL(9,4))) AS DOUBLE) / nullif(count(churn_risk_score), 0) AS avg_score FROM churn_risk
-UNION ALL SELECT 'Next Best Action', count(*), count(*) FILTER (action_type IS NULL), round(CAST(100.0 * count(*) FILTER (action_type IS NULL) AS DOUBLE) / nullif(count(*), 0), 2), 0, NULL FROM next_best_action
+UNION ALL SELECT 'Next Best Action', count(*), count(*) FILTER (action_type IS NULL), {share('count(*) FILTER (action_type IS NULL)', 'count(*)', 2)}, 0, NULL FROM next_best_action
 UNION ALL SELECT 'Document Extraction', count(*), count(*) FILTER (reference_number IS NULL AND customer_name IS NULL),
- round(CAST(100.0 * count(*) FILTER (reference_number IS NULL AND customer_name IS NULL) AS DOUBLE) / nullif(count(*), 0), 2), 0, NULL FROM document_extracted"""
+ {share('count(*) FILTER (reference_number IS NULL AND customer_name IS NULL)', 'count(*)', 2)}, 0, NULL FROM document_extracted"""
 
 _ORDER = list(CTES)
 

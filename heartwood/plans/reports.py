@@ -14,7 +14,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heartwood.functions.columns import count_when, mean_exact, percentage, ratio, try_number
+from heartwood.functions.columns import count_when, mean_rounded, percentage, ratio, try_number
 from heartwood.functions.frames import top_per_key
 from heartwood.plans.tables import Tables
 
@@ -28,12 +28,12 @@ def report(function: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     return function
 
 
-def mean(name: str, digits: int, decimal: str = "decimal(28,6)") -> Column:
-    return F.round(mean_exact(c(name), decimal), digits)
+def mean(name: str, digits: int) -> Column:
+    return mean_rounded(c(name), digits)
 
 
 def mean_score(name: str, digits: int = 3) -> Column:
-    return mean(name, digits, "decimal(9,4)")
+    return mean_rounded(c(name), digits, "decimal(9,4)")
 
 
 def scores(t: Tables) -> DataFrame:
@@ -287,8 +287,10 @@ def high_risk_detail(
 
 # --------------------------------------------------------------- sentiment
 
-negative = c("sentiment_label") == "Negative"
-positive = c("sentiment_label") == "Positive"
+
+
+def label_is(label: str) -> Column:
+    return c("sentiment_label") == label
 
 
 @report
@@ -298,8 +300,8 @@ def sentiment_kpis(
     return in_call_range(t["transcript_sentiment"], date_from, date_to).agg(
         F.count("*").alias("total"),
         mean_score("sentiment_score").alias("avg_sent"),
-        count_when(negative).alias("neg"),
-        count_when(positive).alias("pos"),
+        count_when(label_is("Negative")).alias("neg"),
+        count_when(label_is("Positive")).alias("pos"),
     )
 
 
@@ -320,8 +322,8 @@ def sentiment_by_agent(t: Tables) -> DataFrame:
         .agg(
             F.count("*").alias("total_calls"),
             mean_score("sentiment_score").alias("avg_sentiment"),
-            count_when(negative).alias("negative"),
-            count_when(positive).alias("positive"),
+            count_when(label_is("Negative")).alias("negative"),
+            count_when(label_is("Positive")).alias("positive"),
         )
     )
 
@@ -342,7 +344,7 @@ def negative_calls(t: Tables, limit: int = 20) -> DataFrame:
     people = t["customer_360_unified"].select("customer_id", "full_name", "customer_segment")
     return (
         t["transcript_sentiment"]
-        .filter(negative)
+        .filter(label_is("Negative"))
         .join(people, "customer_id")
         .orderBy("sentiment_score", "transcript_id")
         .limit(limit)
@@ -463,22 +465,22 @@ def document_text(t: Tables, file_name: str = "claim_form_CLM-2.txt") -> DataFra
     return found.select("file_name", "parsed_text", "document_type", "file_size_bytes")
 
 
-def documents_with_customers(t: Tables) -> DataFrame:
-    """Documents with the customer of their extracted number.
+def _customer_key() -> Column:
+    """Join key as text. A document without a usable number gets a key of its own.
 
-    Documents without a usable number keep a NULL key; Spark leaves NULL keys
-    of a left join out of the skewed side's matches, and they stay in the result.
+    NULL keys would all meet in one task of a shuffled outer join.
     """
-    people = scores(t).select(
-        c("customer_id").alias("_key"), "full_name", "customer_segment", "is_active", "churn_risk_score"
-    )
-    documents = t["document_extracted"].withColumn("_key", try_number(c("customer_id")).cast("bigint"))
-    return documents.join(people, "_key", "left")
+    number = try_number(c("customer_id")).cast("string")
+    return F.coalesce(number, F.concat(F.lit("none-"), c("document_id").cast("string")))
 
 
 @report
 def document_xref(t: Tables) -> DataFrame:
-    return documents_with_customers(t).select(
+    people = scores(t).select(
+        c("customer_id").cast("string").alias("_key"), "full_name", "customer_segment", "is_active", "churn_risk_score"
+    )
+    documents = t["document_extracted"].withColumn("_key", _customer_key())
+    return documents.join(people, "_key", "left").select(
         "file_name",
         "document_type",
         "reference_number",
@@ -493,10 +495,16 @@ def document_xref(t: Tables) -> DataFrame:
 
 @report
 def document_match_rate(t: Tables) -> DataFrame:
-    return documents_with_customers(t).agg(
-        F.count("full_name").alias("matched"),
-        F.count("*").alias("total"),
-        percentage(F.count("full_name"), F.count("*")).alias("matched_pct"),
+    """Documents are counted per number before the join, so a number with many documents is one row."""
+    counted = (
+        t["document_extracted"]
+        .groupBy(try_number(c("customer_id")).cast("bigint").alias("customer_id"))
+        .agg(F.count("*").alias("n"))
+    )
+    people = t["clean_customers"].select("customer_id", F.lit(True).alias("known"))
+    matched = F.coalesce(F.sum(F.when(c("known"), c("n"))), F.lit(0))
+    return counted.join(people, "customer_id", "left").agg(
+        matched.alias("matched"), F.sum("n").alias("total"), percentage(matched, F.sum("n")).alias("matched_pct")
     )
 
 
@@ -518,13 +526,13 @@ def _sentiment_by_segment(t: Tables) -> DataFrame:
     return (
         people.join(calls, "customer_id")
         .groupBy("customer_segment")
-        .agg(ratio(F.sum("total"), F.sum("calls")).alias("avg_sentiment"), F.sum("calls").alias("calls"))
+        .agg(F.sum("total").alias("total"), F.sum("calls").alias("calls"))
     )
 
 
 @report
 def vq_avg_sentiment_by_segment(t: Tables) -> DataFrame:
-    return _sentiment_by_segment(t).drop("calls")
+    return _sentiment_by_segment(t).select("customer_segment", ratio(c("total"), c("calls")).alias("avg_sentiment"))
 
 
 @report
@@ -628,7 +636,8 @@ def qa_churn_distribution(t: Tables) -> DataFrame:
 
 @report
 def qa_sentiment_segment(t: Tables) -> DataFrame:
-    return _sentiment_by_segment(t).withColumn("avg_sentiment", F.round("avg_sentiment", 3))
+    average = F.round(F.try_divide("total", "calls"), 3).cast("double")
+    return _sentiment_by_segment(t).select("customer_segment", average.alias("avg_sentiment"), "calls")
 
 
 @report
