@@ -36,6 +36,10 @@ def search_corpus(transcripts: DataFrame, interactions: DataFrame) -> DataFrame:
     return calls.unionByName(notes)
 
 
+def _occurrences(words: str, term: str) -> Column:
+    return F.size(F.filter(words, lambda w: w == term))
+
+
 def search_bm25(
     corpus: DataFrame, queries: Mapping[str, str], k: int = 10, where: Column | None = None
 ) -> DataFrame:
@@ -55,8 +59,7 @@ def search_bm25(
         .withColumn("_asked", F.filter("_words", lambda w: w.isin(*terms)))
         .drop("_words", "search_text")
     )
-    tf = {term: F.size(F.filter("_asked", lambda w, t=term: w == t)) for term in terms}
-    counted = counted.withColumns({f"_tf_{term}": count for term, count in tf.items()}).drop("_asked")
+    counted = counted.withColumns({f"_tf_{term}": _occurrences("_asked", term) for term in terms}).drop("_asked")
     stats = counted.agg(
         F.count("*").alias("n"),
         F.sum("_length").alias("length"),

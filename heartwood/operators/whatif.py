@@ -9,6 +9,7 @@ from itertools import product
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from heartwood.functions.columns import rounded_quotient
 from heartwood.operators.scoring import churn_columns
 
 c = F.col
@@ -64,7 +65,9 @@ def whatif(scored: DataFrame, scenarios: Sequence[Scenario] = ALL_SCENARIOS) ->
     current = scored.withColumn("current_churn_risk", F.coalesce("churn_risk_score", F.lit(0.5)))
     changed = current.withColumn("s", F.explode(listed)).withColumns(
         {
-            "modified_premium": F.round(c("total_premium").cast("double") * (100 - c("s.premium_discount")) / 100, 2),
+            "modified_premium": rounded_quotient(
+                c("total_premium") * (100 - c("s.premium_discount")), F.lit(100)
+            ),
             "open_claims": F.when(c("s.resolve_claims"), 0).otherwise(c("open_claims")),
             "days_since_last_interaction": F.when(c("s.outreach"), 1).otherwise(c("days_since_last_interaction")),
             "max_days_past_due": F.when(c("s.clear_past_due"), 0).otherwise(c("max_days_past_due")),

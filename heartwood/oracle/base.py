@@ -407,6 +407,9 @@ SELECT CAST(customer_id AS VARCHAR) AS customer_id, transcript_text AS search_te
 UNION ALL SELECT CAST(customer_id AS VARCHAR), coalesce(subject, '') || '. ' || coalesce(notes, ''), 'interaction_note', channel, interaction_date,
  'interaction_' || CAST(interaction_id AS VARCHAR) FROM clean_interactions WHERE notes IS NOT NULL AND length(trim(notes)) > 0"""
 
+CTES["docs"] = """
+SELECT document_key, customer_id, source_type, channel, event_date, regexp_extract_all(lower(search_text), '[a-z]+') AS words FROM search_corpus"""
+
 CTES["quality_dashboard"] = f"""
 SELECT 'Churn Risk' AS model, count(*) AS total_records, count(*) FILTER (churn_risk_score IS NULL) AS parse_failures,
  {share('count(*) FILTER (churn_risk_score IS NULL)', 'count(*)', 2)} AS failure_rate_pct,

@@ -9,9 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from heartwood.operators import curated, enrich
+from heartwood.operators import alerts, curated, enrich, governance, quality, routing, scoring, search, whatif
+from heartwood.plans import semantic
 from heartwood.plans.reports import REPORTS
 from heartwood.plans.tables import LAYERS, Tables, build
+from heartwood.sources import ingest
+from heartwood.sources.tables import load_table
+from heartwood.streaming import jobs
 
 Query = Callable[[Tables], DataFrame]
 
@@ -68,6 +72,291 @@ QUERIES |= {
     "churn_kpis_filtered": lambda t: REPORTS["churn_kpis"](t, ("Premium", "VIP"), 0.3),
 }
 
+# ---------------------------------------------------------- model in, model out
+
+
+def parse_model_json(t: Tables) -> DataFrame:
+    parsed = enrich.parse_model_json(F.col("raw_text"), enrich.CHURN_FIELDS)
+    return t["raw_model_output"].select("customer_id", parsed.alias("p")).select("customer_id", "p.*")
+
+
+def batch_complete(t: Tables) -> DataFrame:
+    def echo(prompts: list[str]) -> list[str]:
+        """Stands for a model: answers with the length of each prompt."""
+        return [f'{{"prompt_chars": {len(p)}}}' for p in prompts]
+
+    prompts = t["scored"].select("customer_id", enrich.churn_prompt().alias("prompt"))
+    replied = enrich.batch_complete(prompts, "prompt", echo, table_dir=ingest.new_folder(t.spark, "replies"))
+    return replied.select("customer_id", "reply")
+
+
+QUERIES |= {
+    "churn_prompt": lambda t: t["scored"].select("customer_id", enrich.churn_prompt().alias("prompt")),
+    "nba_prompt": lambda t: t["next_best_action"].select("customer_id", enrich.nba_prompt().alias("prompt")),
+    "document_prompt": lambda t: t["parsed_documents"].select(
+        "document_id", enrich.document_prompt(F.col("parsed_text")).alias("prompt")
+    ),
+    "parse_model_json": parse_model_json,
+    "batch_complete": batch_complete,
+    "parse_amount": lambda t: t["document_extracted"].select(
+        "document_id", "amount", curated.parse_amount(F.col("amount")).alias("amount_value")
+    ),
+    "customer_summary": lambda t: scoring.customer_summary(t["scored"]),
+}
+
+# ---------------------------------------------------------------------- search
+
+SEARCHES = {"renewal": "the error request and note", "dispute": "was it with that signup", "rare": "zu den kindern purchase"}
+QUERY_VECTORS = (0, 7, 42)
+
+QUERIES |= {
+    "search_bm25": lambda t: search.search_bm25(t["search_corpus"], SEARCHES, 10),
+    "search_bm25_filtered": lambda t: search.search_bm25(
+        t["search_corpus"],
+        SEARCHES,
+        10,
+        (F.col("source_type") == "interaction_note")
+        & F.col("channel").isin("Chat", "Web")
+        & (F.col("event_date") >= F.lit("2024-01-10").cast("date")),
+    ),
+    "search_knn": lambda t: search.search_knn(load_table(t.spark, t.sf_dir, "embeddings"), QUERY_VECTORS, 10),
+}
+
+# ------------------------------------------------------------------ governance
+
+
+def mapping(t: Tables) -> DataFrame:
+    return governance.role_region_mapping(t.spark)
+
+
+def mask(column: str, kind: str, alias: str) -> Query:
+    return lambda t: t["clean_customers"].select(
+        "customer_id",
+        governance.MASKS[kind](F.col(column), "ANALYST").alias(alias),
+        governance.MASKS[kind](F.col(column), "SYSADMIN").alias(f"{alias}_privileged"),
+    )
+
+
+def access(role: str) -> Query:
+    return lambda t: governance.row_access(t["customer_360_unified"], mapping(t), role).select(
+        "customer_id", "full_name", "country"
+    )
+
+
+def pii_tag_coverage(t: Tables) -> DataFrame:
+    tags = {name: {"pii_level": level} for name, level in governance.PII_LEVELS.items()}
+    return governance.pii_tag_coverage(governance.tag(t["raw_customers"], tags))
+
+
+QUERIES |= {
+    "mask_email": mask("email", "email", "email"),
+    "mask_phone": mask("phone", "phone", "phone"),
+    "mask_phone_strict": mask("phone", "phone_strict", "phone"),
+    "mask_financial": lambda t: governance.masked(t["clean_customers"], "ANALYST").select(
+        "customer_id", "email", "phone", "annual_income", "credit_score"
+    ),
+    "row_access_us": access("US_TEAM"),
+    "row_access_apac": access("APAC_TEAM"),
+    "row_access_none": access("VISITOR"),
+    "role_region_mapping": lambda t: governance.role_visibility(t["customer_360_unified"], mapping(t)),
+    "pii_tag_coverage": pii_tag_coverage,
+}
+
+# --------------------------------------------------------------------- quality
+
+VALIDATED = (
+    *(name for name in LAYERS["RAW"] if name != "raw_documents"),
+    *LAYERS["CLEAN"],
+    *LAYERS["CURATED"],
+    "transcript_sentiment",
+    "churn_risk",
+    "next_best_action",
+)
+APP_TABLES = ("role_region_mapping", "ai_quality_log", "nba_email_log")
+
+# How each derived table is kept fresh: new rows only, or rebuilt.
+REFRESH_MODES = {
+    name: "INCREMENTAL" if name in ("clean_interactions", "interaction_agg") else "FULL"
+    for layer in ("CLEAN", "CURATED", "AI")
+    for name in LAYERS[layer]
+}
+
+
+def layer_row_counts(t: Tables) -> DataFrame:
+    """Rows per table and layer."""
+    layers = [
+        quality.row_counts({name: t[name] for name in names}).select(F.lit(layer).alias("layer"), "*")
+        for layer, names in LAYERS.items()
+    ]
+    return quality.union(layers)
+
+
+def layer_totals(t: Tables) -> DataFrame:
+    return layer_row_counts(t).groupBy("layer").agg(
+        F.count("*").alias("tables"), F.sum("row_count").alias("row_count")
+    )
+
+
+def refresh_mode_counts(t: Tables) -> DataFrame:
+    counts = quality.row_counts({name: t[name] for name in REFRESH_MODES})
+    incremental = [name for name, mode in REFRESH_MODES.items() if mode == "INCREMENTAL"]
+    mode = F.when(F.col("table_name").isin(*incremental), "INCREMENTAL").otherwise("FULL")
+    return counts.groupBy(mode.alias("refresh_mode")).agg(
+        F.count("*").alias("tables"), F.sum("row_count").alias("row_count")
+    )
+
+
+def catalog(t: Tables) -> DataFrame:
+    derived = sum(len(LAYERS[layer]) for layer in ("CLEAN", "CURATED", "AI"))
+    sizes = {
+        "tables": len(LAYERS["RAW"]) + derived + len(APP_TABLES),
+        "derived": derived,
+        "searches": 1,
+        "models": len([semantic.MODEL]),
+        "masks": len(governance.MASKS),
+        "tags": len(governance.PII_LEVELS),
+        "dashboards": 1,
+    }
+    return quality.catalog_frame(t.spark, sizes)
+
+
+def check_suite(t: Tables) -> DataFrame:
+    names = {check.table for check in quality.DATA_CHECKS} - {"populated"}
+    every = {name: t[name] for names_ in LAYERS.values() for name in names_}
+    tables = {name: t[name] for name in names} | {"populated": quality.populated(every), "catalog": catalog(t)}
+    return quality.check_suite(tables, (*quality.CATALOG_CHECKS, *quality.DATA_CHECKS))
+
+
+def probe_results(t: Tables) -> DataFrame:
+    layers = quality.union(
+        t[name].limit(1).select(F.lit(layer).alias("layer")) for layer, names in LAYERS.items() for name in names
+    )
+    tables = {name: t[name] for name in ("scored", "document_extracted", "interaction_timeline", "transcript_sentiment")}
+    return quality.probe_results(tables | {"layers": layers, "role_region_mapping": mapping(t)})
+
+
+QUERIES |= {
+    "layer_row_counts": layer_row_counts,
+    "layer_totals": layer_totals,
+    "refresh_mode_counts": refresh_mode_counts,
+    "check_churn_completeness": lambda t: quality.check_churn_completeness(t["churn_risk"]),
+    "check_nba_completeness": lambda t: quality.check_nba_completeness(t["next_best_action"]),
+    "check_churn_range": lambda t: quality.check_churn_range(t["churn_risk"]),
+    "check_sentiment_range": lambda t: quality.check_sentiment_range(t["transcript_sentiment"]),
+    "validation_row_counts": lambda t: quality.row_counts({name: t[name] for name in VALIDATED}),
+    "orphan_policies": lambda t: quality.orphan_policies(t["raw_policies"], t["raw_customers"]),
+    "orphan_claims": lambda t: quality.orphan_claims(t["raw_claims"], t["raw_policies"], t["raw_customers"]),
+    "orphan_loans": lambda t: quality.orphan_loans(t["raw_loans"], t["raw_customers"]),
+    "risk_buckets_validation": lambda t: quality.risk_buckets_validation(t["churn_risk"]),
+    "label_summary": lambda t: quality.label_summary(t["transcript_sentiment"]),
+    "action_priority_counts": lambda t: quality.action_priority_counts(t["next_best_action"]),
+    "completeness_report": lambda t: quality.completeness_report(
+        {
+            "churn_risk": (t["churn_risk"], "churn_risk_score"),
+            "next_best_action": (t["next_best_action"], "action_type"),
+        }
+    ),
+    "end_to_end_top10": lambda t: t["scored"]
+    .filter(F.col("churn_risk_score").isNotNull())
+    .orderBy(F.col("churn_risk_score").desc(), "customer_id")
+    .limit(10)
+    .select(
+        "customer_id", "full_name", "customer_segment", "total_premium", "composite_risk_level", "churn_risk_score",
+        "retention_urgency", "action_type", "action_description", "priority",
+    ),
+    "check_suite": check_suite,
+    "probe_results": probe_results,
+    "probe_summary": lambda t: quality.probe_summary(probe_results(t)),
+    "churn_parse_failure": lambda t: quality.parse_failure_rate(t["churn_risk"], "churn_risk_score"),
+    "nba_parse_failure": lambda t: quality.parse_failure_rate(t["next_best_action"], "action_type"),
+    "ai_quality_dashboard": lambda t: quality.ai_quality_dashboard(
+        t["churn_risk"], t["next_best_action"], t["document_extracted"]
+    ),
+    "run_history_summary": jobs.run_history,
+}
+
+# -------------------------------------------------- alerts, campaign, semantics
+
+
+def dashboard(t: Tables) -> DataFrame:
+    return QUERIES["ai_quality_dashboard"](t)
+
+
+QUERIES |= {
+    "alert_critical_churn": lambda t: alerts.alert_critical_churn(t["churn_risk"]),
+    "alert_vip_complaint": lambda t: alerts.alert_vip_complaint(t["customer_360_unified"]),
+    "alert_quality": lambda t: alerts.alert_quality(dashboard(t), 1.0),
+    "retention_campaign": lambda t: alerts.retention_campaign(t["scored"]),
+    "campaign_digest": lambda t: alerts.campaign_digest(alerts.retention_campaign(t["scored"])),
+    "semantic_avg_premium_by_segment": lambda t: semantic.semantic_query(
+        semantic.MODEL, t, ["customer.total_premium", "customer.total_customers"], ["customer.customer_segment"]
+    ),
+    "semantic_docs_by_country": lambda t: semantic.semantic_query(
+        semantic.MODEL, t, ["document.total_documents"], ["customer.country"]
+    ),
+    "semantic_risk_and_calls_by_segment": lambda t: semantic.semantic_query(
+        semantic.MODEL,
+        t,
+        ["churn.churn_risk_score", "call.sentiment_score", "customer.total_customers"],
+        ["customer.customer_segment"],
+        {"customer.country": ["USA", "UK", "INDIA"]},
+    ),
+    "route_questions": lambda t: routing.route_questions(load_table(t.spark, t.sf_dir, "conversations")),
+    "whatif_baseline": lambda t: whatif.whatif_baseline(t["scored"]),
+    "whatif_scenarios": lambda t: whatif.whatif(t["scored"]),
+}
+
+# -------------------------------------------------------- ingest and refreshing
+
+NEW_POLICY_TYPES = ("Auto", "Home", "Life", "Health", "Travel", "Cyber")
+NEW_POLICY_STATUSES = ("Active", "Active", "Active", "Renewed", "Lapsed", "Cancelled")
+BATCH = ingest.batch_sizes(20)
+
+
+def renewals(t: Tables) -> DataFrame:
+    """New policies for the active ones past their end date, numbered after the existing policies."""
+    expired = t["clean_policies"].filter("is_expired").select(
+        F.col("policy_id").alias("renewed_from"), "customer_id", "policy_type"
+    )
+    return ingest.assign_batch_ids(expired, t["raw_policies"], "policy_id", [F.col("renewed_from").asc()])
+
+
+def batch_append(t: Tables) -> DataFrame:
+    existing = t["raw_policies"].select("policy_id", "customer_id", "policy_type")
+    table_dir = ingest.new_folder(t.spark, "policies")
+    ingest.append_batch(existing, table_dir, 0)
+    ingest.append_batch(renewals(t).select("policy_id", "customer_id", "policy_type"), table_dir, 1)
+    return ingest.read_batches(t.spark, table_dir, existing)
+
+
+def export_csv(t: Tables) -> DataFrame:
+    documents = REPORTS["documents_by_kind"](t)
+    path = ingest.new_folder(t.spark, "export")
+    ingest.export_csv(documents, path)
+    return ingest.read_csv(t.spark, path, documents)
+
+
+QUERIES |= {
+    "dedup_latest_claims": lambda t: t["clean_claims"].select("claim_id", "policy_id", "claim_amount", "created_at"),
+    "assign_batch_ids": renewals,
+    "batch_append": batch_append,
+    "newest_customers": lambda t: ingest.keys_above(t["raw_customers"], "customer_id", 1500),
+    "newest_policies": lambda t: ingest.newest(t["raw_policies"], "policy_id", BATCH["policies"]).select(
+        "policy_id", "customer_id"
+    ),
+    "sample_by_hash": lambda t: ingest.sample_by_hash(
+        t["clean_customers"].select("customer_id"),
+        "customer_id",
+        {"policy_type": NEW_POLICY_TYPES, "policy_status": NEW_POLICY_STATUSES},
+        BATCH["policies"],
+    ),
+    "export_csv": export_csv,
+    "stream_clean_interactions": jobs.stream_clean_interactions,
+    "stream_interaction_agg": jobs.stream_interaction_agg,
+    "stream_parse_failure": jobs.stream_parse_failure,
+    "stream_alerts": jobs.stream_alerts,
+}
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def runner(query: Query) -> Callable[[SparkSession, str], DataFrame]:

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from heartwood.functions.frames import number_rows
 from heartwood.session import work_dir
@@ -35,7 +36,7 @@ def append_batch(rows: DataFrame, table_dir: str, batch: int) -> None:
 
 
 def read_batches(spark: SparkSession, table_dir: str, like: DataFrame) -> DataFrame:
-    schema = like.schema.add("batch", "bigint")
+    schema = T.StructType([*like.schema.fields, T.StructField("batch", T.LongType())])
     return spark.read.schema(schema).parquet(table_dir)
 
 
