@@ -29,6 +29,16 @@ def dedup_latest(df: DataFrame, keys: Sequence[str], order_col: str, tiebreak: S
     return top_per_key(df, keys, [newest_first(c) for c in (order_col, *tiebreak)], 1)
 
 
+def outer_key(key: Column) -> Column:
+    """Join key as text for the left side of an outer join, with the NULLs spread.
+
+    NULL matches nothing, but in a shuffled join all NULL keys would go to one
+    task. Here each map task gives its NULLs a key of their own that no real key
+    equals.
+    """
+    return F.coalesce(key.cast("string"), F.concat(F.lit("none-"), F.spark_partition_id()))
+
+
 def number_rows(df: DataFrame, order: Sequence[Column], name: str, start: int | Column = 1) -> DataFrame:
     """Consecutive numbers over the whole frame in the given order, without one task seeing all rows.
 

@@ -212,14 +212,20 @@ def document_prompt(text: Column) -> Column:
 def parse_model_json(raw: Column, fields: Mapping[str, str]) -> Column:
     """Cut the JSON object out of a reply and read typed fields; NULL where that fails.
 
-    The one-element ``transform`` binds the parsed value, so each reply is parsed once.
+    The parser stops after one value and ignores what follows, so the text is
+    read as the only element of a list: anything after the object makes that
+    fail. The one-element ``transform`` binds the parsed value, so each reply is
+    parsed once.
     """
-    parsed = F.try_parse_json(F.regexp_substr(raw, F.lit(r"\{[\s\S]*\}")))
-    typed = F.transform(
-        F.array(parsed),
-        lambda v: F.struct(*[F.try_variant_get(v, f"$.{name}", kind).alias(name) for name, kind in fields.items()]),
-    )
-    return typed.getItem(0)
+    text = F.regexp_substr(raw, F.lit(r"\{[\s\S]*\}"))
+    parsed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+
+    def typed(v: Column) -> Column:
+        alone = F.try_variant_get(v, "$[1]", "variant").isNull()
+        values = {name: F.try_variant_get(v, f"$[0].{name}", kind) for name, kind in fields.items()}
+        return F.struct(*[F.when(alone, value).alias(name) for name, value in values.items()])
+
+    return F.transform(F.array(parsed), typed).getItem(0)
 
 
 CHURN_FIELDS = {

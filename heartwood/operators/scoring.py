@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heartwood.functions.columns import least_strict, greatest_strict
+from heartwood.functions.columns import greatest_strict, least_strict
 
 # Points in hundredths of a churn score: (reason, [(condition, points), ...]), first match counts.
 BASE_POINTS = 15
@@ -133,11 +133,11 @@ def with_health(scored: DataFrame) -> DataFrame:
     """Five parts from 0 to 100 and their weighted sum, in exact decimals."""
     c = F.col
     late, claims = c("max_days_past_due"), c("open_claims")
+    mood = (c("avg_sentiment").cast("decimal(18,10)") + 1) * 50
+    low, high = (F.lit(n).cast("decimal(18,10)") for n in (0, 100))
     parts = {
         "retention_score": F.round(100 - F.coalesce("churn_risk_score", F.lit(0.5)) * 100, 1),
-        "sentiment_part": F.when(c("avg_sentiment").isNull(), 50.0).otherwise(
-            F.round(greatest_strict(F.lit(0.0), least_strict(F.lit(100.0), (c("avg_sentiment") + 1) * 50)), 1)
-        ),
+        "sentiment_part": F.coalesce(F.round(greatest_strict(low, least_strict(high, mood)), 1).cast("double"), F.lit(50.0)),
         "claims_health": F.when(c("total_claims") == 0, 80.0)
         .when(claims == 0, 90.0)
         .otherwise(F.greatest(F.lit(0.0), 100 - claims * 20 - late * F.lit(0.5))),

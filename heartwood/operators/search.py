@@ -98,8 +98,9 @@ def search_knn(embeddings: DataFrame, query_ids: Sequence[int], k: int = 10) ->
     """
     if len(query_ids) > 1000:
         raise ValueError("ask for at most 1000 query vectors at a time")
-    wanted = embeddings.filter(F.col("vec_id").isin(*query_ids))
-    asked = wanted.agg(F.collect_list(F.struct(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))))
+    wanted = embeddings.filter(F.col("vec_id").isin(*query_ids)).groupBy(F.col("vec_id").alias("query_id"))
+    # One vector per id, so copies of an id cannot lengthen the list.
+    asked = wanted.agg(F.min("embedding").alias("q")).agg(F.collect_list(F.struct("query_id", "q")))
     dot = lambda a, b: F.aggregate(
         F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x
     )

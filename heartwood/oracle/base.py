@@ -392,7 +392,7 @@ FROM (SELECT *, CAST(retention_score AS DECIMAL(5,1)) * CAST(0.30 AS DECIMAL(3,2
   + CAST(claims_health AS DECIMAL(5,1)) * CAST(0.15 AS DECIMAL(3,2)) + CAST(payment_health AS DECIMAL(5,1)) * CAST(0.20 AS DECIMAL(3,2)) + CAST(loyalty_score AS DECIMAL(5,1)) * CAST(0.15 AS DECIMAL(3,2)) AS w
  FROM (SELECT c.customer_id, c.full_name, c.customer_segment, c.is_active,
    round(100 - coalesce(r.churn_risk_score, CAST(0.5 AS DOUBLE)) * 100, 1) AS retention_score,
-   CASE WHEN s.avg_sentiment_score IS NULL THEN CAST(50 AS DOUBLE) ELSE round(greatest(CAST(0 AS DOUBLE), least(CAST(100 AS DOUBLE), (s.avg_sentiment_score + 1) * 50)), 1) END AS sentiment_score,
+   CASE WHEN s.avg_sentiment_score IS NULL THEN CAST(50 AS DOUBLE) ELSE CAST(round(greatest(0, least(100, (CAST(s.avg_sentiment_score AS DECIMAL(18,10)) + 1) * 50)), 1) AS DOUBLE) END AS sentiment_score,
    CAST(CASE WHEN c.total_claims = 0 THEN 80 WHEN c.open_claims = 0 THEN 90 ELSE greatest(0, 100 - c.open_claims * 20 - c.max_days_past_due * 0.5) END AS DOUBLE) AS claims_health,
    CAST(CASE WHEN c.total_loans = 0 THEN 85 WHEN c.max_days_past_due = 0 THEN 95 WHEN c.max_days_past_due < 30 THEN 70 WHEN c.max_days_past_due < 90 THEN 40 ELSE 10 END AS DOUBLE) AS payment_health,
    CAST(CASE WHEN c.tenure_months >= 60 THEN 95 WHEN c.tenure_months >= 36 THEN 80 WHEN c.tenure_months >= 12 THEN 60 ELSE 40 END AS DOUBLE) AS loyalty_score

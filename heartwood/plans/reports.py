@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heartwood.functions.columns import count_when, mean_rounded, percentage, ratio, try_number
-from heartwood.functions.frames import top_per_key
+from heartwood.functions.frames import outer_key, top_per_key
 from heartwood.plans.tables import Tables
 
 REPORTS: dict[str, Callable[..., DataFrame]] = {}
@@ -465,21 +465,12 @@ def document_text(t: Tables, file_name: str = "claim_form_CLM-2.txt") -> DataFra
     return found.select("file_name", "parsed_text", "document_type", "file_size_bytes")
 
 
-def _customer_key() -> Column:
-    """Join key as text. A document without a usable number gets a key of its own.
-
-    NULL keys would all meet in one task of a shuffled outer join.
-    """
-    number = try_number(c("customer_id")).cast("string")
-    return F.coalesce(number, F.concat(F.lit("none-"), c("document_id").cast("string")))
-
-
 @report
 def document_xref(t: Tables) -> DataFrame:
     people = scores(t).select(
         c("customer_id").cast("string").alias("_key"), "full_name", "customer_segment", "is_active", "churn_risk_score"
     )
-    documents = t["document_extracted"].withColumn("_key", _customer_key())
+    documents = t["document_extracted"].withColumn("_key", outer_key(try_number(c("customer_id"))))
     return documents.join(people, "_key", "left").select(
         "file_name",
         "document_type",

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heartwood.functions.columns import mean_exact, try_number
+from heartwood.functions.frames import outer_key
 
 
 @dataclass(frozen=True)
@@ -169,9 +170,9 @@ def _grain(model: Model, tables: Mapping[str, DataFrame], table: str, dimensions
         if link is None:
             raise ValueError(f"no many-to-one relationship from {table} to {owner}")
         parent = tables[model.tables[owner].base].select(
-            F.col(link.right_column).alias("_key"), *[F.col(name).alias(f"{owner}.{name}") for name in columns]
+            F.col(link.right_column).cast("string").alias("_key"), *[F.col(name).alias(f"{owner}.{name}") for name in columns]
         )
-        rows = rows.withColumn("_key", link.left_key()).join(parent, "_key", "left").drop("_key")
+        rows = rows.withColumn("_key", outer_key(link.left_key())).join(parent, "_key", "left").drop("_key")
     return rows
 
 

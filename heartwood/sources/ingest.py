@@ -71,12 +71,14 @@ def sample_by_hash(
     return chosen.orderBy(F.md5(F.concat_ws("|", key, F.lit(salt))), id_col).limit(n)
 
 
-CSV_OPTIONS = {"header": True, "escape": '"', "nullValue": "", "emptyValue": '""'}
+CSV_OPTIONS = {"header": True, "escape": '"'}
+NO_TEXT = "\u0000"  # stands for an unquoted empty field while reading, so that '' and NULL stay apart
 
 
 def export_csv(df: DataFrame, path: str) -> None:
+    """One file per task, each with a header. NULL is an empty field, '' a quoted one."""
     df.write.mode("overwrite").options(**CSV_OPTIONS).csv(path)
 
 
 def read_csv(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
-    return spark.read.schema(like.schema).options(**CSV_OPTIONS).csv(path)
+    return spark.read.schema(like.schema).options(**CSV_OPTIONS, nullValue=NO_TEXT).csv(path)
