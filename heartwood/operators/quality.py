@@ -80,7 +80,7 @@ def check_sentiment_range(sentiment: DataFrame) -> DataFrame:
 
 def heartbeat(spark: SparkSession) -> DataFrame:
     """The constant row a health check leaves in the log."""
-    row = ("health_check", "ALL", "health_check_run", 1.0, 1.0, "PASS", "Health check completed")
+    row = ("pipeline_health", "ALL", "health_check_run", 1.0, 1.0, "PASS", "Health check completed")
     return spark.createDataFrame(
         [row],
         "check_type string, table_name string, metric_name string, metric_value double, threshold double,"

@@ -220,8 +220,8 @@ SELECT customer_id, {column} AS {name} FROM (
 CTES["policy_mode"] = most_common("clean_policies", "risk_category", "primary_risk_category")
 CTES["policy_agg"] = """
 SELECT p.customer_id, count(*) AS total_policies,
- CAST(sum(CASE WHEN policy_status = 'ACTIVE' THEN 1 ELSE 0 END) AS BIGINT) AS active_policies,
- CAST(sum(CASE WHEN policy_status IN ('LAPSED', 'CANCELLED') THEN 1 ELSE 0 END) AS BIGINT) AS lapsed_policies,
+ count(*) FILTER (policy_status = 'ACTIVE') AS active_policies,
+ count(*) FILTER (policy_status IN ('LAPSED', 'CANCELLED')) AS lapsed_policies,
  sum(premium_amount) AS total_premium, CAST(sum(premium_amount) AS DOUBLE) / count(premium_amount) AS avg_premium,
  max(coverage_amount) AS max_coverage, coalesce(string_agg(DISTINCT policy_type, ', ' ORDER BY policy_type), '') AS policy_types,
  any_value(m.primary_risk_category) AS primary_risk_category, min(days_to_renewal) AS next_renewal_days
@@ -229,8 +229,8 @@ FROM clean_policies p LEFT JOIN policy_mode m ON p.customer_id = m.customer_id G
 
 CTES["claims_agg"] = """
 SELECT customer_id, count(*) AS total_claims,
- CAST(sum(CASE WHEN claim_status = 'OPEN' THEN 1 ELSE 0 END) AS BIGINT) AS open_claims,
- CAST(sum(CASE WHEN claim_status = 'DENIED' THEN 1 ELSE 0 END) AS BIGINT) AS denied_claims,
+ count(*) FILTER (claim_status = 'OPEN') AS open_claims,
+ count(*) FILTER (claim_status = 'DENIED') AS denied_claims,
  sum(claim_amount) AS total_claim_amount,
  CAST(sum(CAST(settlement_ratio AS DECIMAL(18,2))) AS DOUBLE) / nullif(count(settlement_ratio), 0) AS avg_settlement_ratio,
  CAST(sum(days_to_resolve) AS DOUBLE) / count(days_to_resolve) AS avg_claim_resolution_days, max(filed_date) AS last_claim_date
@@ -238,8 +238,8 @@ FROM clean_claims GROUP BY customer_id"""
 
 CTES["loan_agg"] = """
 SELECT customer_id, count(*) AS total_loans,
- CAST(sum(CASE WHEN loan_status = 'ACTIVE' THEN 1 ELSE 0 END) AS BIGINT) AS active_loans,
- CAST(sum(CASE WHEN loan_status IN ('DEFAULT', 'DELINQUENT') THEN 1 ELSE 0 END) AS BIGINT) AS problem_loans,
+ count(*) FILTER (loan_status = 'ACTIVE') AS active_loans,
+ count(*) FILTER (loan_status IN ('DEFAULT', 'DELINQUENT')) AS problem_loans,
  sum(outstanding_balance) AS total_outstanding_balance, sum(monthly_payment) AS total_monthly_payment,
  max(days_past_due) AS max_days_past_due, coalesce(string_agg(DISTINCT loan_type, ', ' ORDER BY loan_type), '') AS loan_types
 FROM clean_loans GROUP BY customer_id"""
@@ -247,8 +247,8 @@ FROM clean_loans GROUP BY customer_id"""
 CTES["interaction_mode"] = most_common("clean_interactions", "channel", "preferred_channel")
 CTES["interaction_agg"] = f"""
 SELECT i.customer_id, count(*) AS total_interactions,
- CAST(sum(CASE WHEN interaction_type = 'Complaint' THEN 1 ELSE 0 END) AS BIGINT) AS complaint_count,
- CAST(sum(CASE WHEN resolution_status = 'ESCALATED' THEN 1 ELSE 0 END) AS BIGINT) AS escalation_count,
+ count(*) FILTER (interaction_type = 'Complaint') AS complaint_count,
+ count(*) FILTER (resolution_status = 'ESCALATED') AS escalation_count,
  max(interaction_date) AS last_interaction_date, any_value(m.preferred_channel) AS preferred_channel,
  CAST(date_diff('day', CAST(max(interaction_date) AS DATE), {AS_OF}) AS INT) AS days_since_last_interaction
 FROM clean_interactions i LEFT JOIN interaction_mode m ON i.customer_id = m.customer_id GROUP BY i.customer_id"""
@@ -265,36 +265,52 @@ SELECT source_customer_id AS customer_id, count(*) AS total_documents,
  coalesce(string_agg(DISTINCT document_type, ', ' ORDER BY document_type), '') AS document_types, max(file_modified_at) AS last_document_date
 FROM document_extracted WHERE source_customer_id IS NOT NULL GROUP BY source_customer_id"""
 
-CTES["unified"] = """
-SELECT c.customer_id, c.first_name || ' ' || c.last_name AS full_name, c.email, c.phone, c.age, c.city, c.state, c.country,
- c.customer_segment, c.credit_score, c.annual_income, c.employment_status, c.is_active, c.tenure_months,
- coalesce(p.total_policies, 0) AS total_policies, coalesce(p.active_policies, 0) AS active_policies, coalesce(p.lapsed_policies, 0) AS lapsed_policies,
- coalesce(p.total_premium, 0) AS total_premium, p.avg_premium, p.max_coverage, p.policy_types, p.primary_risk_category, p.next_renewal_days,
- coalesce(cl.total_claims, 0) AS total_claims, coalesce(cl.open_claims, 0) AS open_claims, coalesce(cl.denied_claims, 0) AS denied_claims,
- coalesce(cl.total_claim_amount, 0) AS total_claim_amount, cl.avg_settlement_ratio, cl.avg_claim_resolution_days, cl.last_claim_date,
- coalesce(l.total_loans, 0) AS total_loans, coalesce(l.active_loans, 0) AS active_loans, coalesce(l.problem_loans, 0) AS problem_loans,
- coalesce(l.total_outstanding_balance, 0) AS total_outstanding_balance, coalesce(l.total_monthly_payment, 0) AS total_monthly_payment,
- coalesce(l.max_days_past_due, 0) AS max_days_past_due, l.loan_types,
- coalesce(i.total_interactions, 0) AS total_interactions, coalesce(i.complaint_count, 0) AS complaint_count, coalesce(i.escalation_count, 0) AS escalation_count,
- i.last_interaction_date, i.preferred_channel, coalesce(i.days_since_last_interaction, 999) AS days_since_last_interaction,
- coalesce(t.total_calls, 0) AS total_calls, t.last_call_date, t.avg_call_duration, t.most_common_call_reason,
- coalesce(d.total_documents, 0) AS total_documents, d.document_types, d.last_document_date,
- CASE WHEN coalesce(l.max_days_past_due, 0) >= 90 OR coalesce(i.complaint_count, 0) >= 3 OR coalesce(p.lapsed_policies, 0) >= 2 THEN 'High'
-      WHEN coalesce(l.max_days_past_due, 0) >= 30 OR coalesce(i.complaint_count, 0) >= 1 OR coalesce(p.lapsed_policies, 0) >= 1 THEN 'Medium'
-      ELSE 'Low' END AS composite_risk_level,
- CASE WHEN c.tenure_months IS NULL THEN NULL ELSE CAST(coalesce(p.total_premium, 0) * greatest(c.tenure_months, 1) AS DOUBLE) / 12 END AS estimated_clv
-FROM clean_customers c LEFT JOIN policy_agg p USING (customer_id) LEFT JOIN claims_agg cl USING (customer_id) LEFT JOIN loan_agg l USING (customer_id)
-LEFT JOIN interaction_agg i USING (customer_id) LEFT JOIN transcript_agg t USING (customer_id) LEFT JOIN document_agg d USING (customer_id)"""
-
-CTES["timeline"] = """
-SELECT customer_id, created_at AS event_date, 'Policy' AS event_category, policy_type || ' policy ' || lower(policy_status) AS event_description,
- policy_status AS event_status, CAST(premium_amount AS DOUBLE) AS event_amount, CAST(NULL AS VARCHAR) AS event_notes, 'policy_' || CAST(policy_id AS VARCHAR) AS event_id FROM clean_policies
-UNION ALL SELECT customer_id, CAST(filed_date AS TIMESTAMP), 'Claim', claim_type || ' claim - ' || lower(claim_status), claim_status, CAST(claim_amount AS DOUBLE), description, 'claim_' || CAST(claim_id AS VARCHAR) FROM clean_claims
-UNION ALL SELECT customer_id, CAST(origination_date AS TIMESTAMP), 'Loan', loan_type || ' loan - ' || lower(loan_status), loan_status, CAST(principal_amount AS DOUBLE), NULL, 'loan_' || CAST(loan_id AS VARCHAR) FROM clean_loans
-UNION ALL SELECT customer_id, interaction_date, 'Interaction', channel || ' - ' || interaction_type || ': ' || subject, resolution_status, NULL, notes, 'interaction_' || CAST(interaction_id AS VARCHAR) FROM clean_interactions
-UNION ALL SELECT customer_id, call_date, 'Call', 'Phone call - ' || call_reason, NULL, NULL, left(transcript_text, 500), 'call_' || CAST(transcript_id AS VARCHAR) FROM clean_call_transcripts
-UNION ALL SELECT source_customer_id, file_modified_at, 'Document', document_type || ' - ' || coalesce(reference_number, file_name), coalesce(status, 'Processed'),
- TRY_CAST(replace(replace(amount, '$', ''), ',', '') AS DOUBLE), left(description, 500), 'doc_' || file_name FROM document_extracted WHERE source_customer_id IS NOT NULL"""
+# Metrics of each domain aggregate: those that read as 0 without rows, and those that stay NULL.
+DOMAINS = {
+    "policy_agg": ("total_policies active_policies lapsed_policies total_premium", "avg_premium max_coverage policy_types primary_risk_category next_renewal_days"),
+    "claims_agg": ("total_claims open_claims denied_claims total_claim_amount", "avg_settlement_ratio avg_claim_resolution_days last_claim_date"),
+    "loan_agg": ("total_loans active_loans problem_loans total_outstanding_balance total_monthly_payment max_days_past_due", "loan_types"),
+    "interaction_agg": ("total_interactions complaint_count escalation_count", "last_interaction_date preferred_channel"),
+    "transcript_agg": ("total_calls", "last_call_date avg_call_duration most_common_call_reason"),
+    "document_agg": ("total_documents", "document_types last_document_date"),
+}
+
+
+def unified() -> str:
+    """Customers with all domain metrics, then the two values derived from them."""
+    metrics = [f"coalesce({n}, 0) AS {n}" for zero, _ in DOMAINS.values() for n in zero.split()]
+    metrics += [n for _, null in DOMAINS.values() for n in null.split()]
+    joins = " ".join(f"LEFT JOIN {name} USING (customer_id)" for name in DOMAINS)
+    high = "max_days_past_due >= 90 OR complaint_count >= 3 OR lapsed_policies >= 2"
+    some = "max_days_past_due >= 30 OR complaint_count + lapsed_policies > 0"
+    return f"""
+SELECT *, CASE WHEN {high} THEN 'High' WHEN {some} THEN 'Medium' ELSE 'Low' END AS composite_risk_level,
+ CAST(total_premium * if(tenure_months < 1, 1, tenure_months) AS DOUBLE) / 12 AS estimated_clv
+FROM (SELECT customer_id, concat(first_name, ' ', last_name) AS full_name, email, phone, age, city, state, country, customer_segment, credit_score, annual_income,
+  employment_status, is_active, tenure_months, coalesce(days_since_last_interaction, 999) AS days_since_last_interaction, {', '.join(metrics)}
+ FROM clean_customers {joins})"""
+
+
+CTES["unified"] = unified()
+
+
+def events(source: str, category: str, date: str, key: str, text: str, status: str = "NULL", amount: str = "NULL", notes: str = "NULL", customer: str = "customer_id") -> str:
+    return f"""
+SELECT {customer} AS customer_id, CAST({date} AS TIMESTAMP) AS event_date, '{category}' AS event_category, {text} AS event_description, CAST({status} AS VARCHAR) AS event_status,
+ TRY_CAST({amount} AS DOUBLE) AS event_amount, CAST({notes} AS VARCHAR) AS event_notes, {key} AS event_id FROM {source} WHERE {customer} IS NOT NULL"""
+
+
+CTES["timeline"] = " UNION ALL ".join(
+    [
+        events("clean_policies", "Policy", "created_at", "concat('policy_', policy_id)", "policy_type || ' policy ' || lower(policy_status)", "policy_status", "premium_amount"),
+        events("clean_claims", "Claim", "filed_date", "concat('claim_', claim_id)", "claim_type || ' claim - ' || lower(claim_status)", "claim_status", "claim_amount", "description"),
+        events("clean_loans", "Loan", "origination_date", "concat('loan_', loan_id)", "loan_type || ' loan - ' || lower(loan_status)", "loan_status", "principal_amount"),
+        events("clean_interactions", "Interaction", "interaction_date", "concat('interaction_', interaction_id)", "channel || ' - ' || interaction_type || ': ' || subject", "resolution_status", notes="notes"),
+        events("clean_call_transcripts", "Call", "call_date", "concat('call_', transcript_id)", "'Phone call - ' || call_reason", notes="left(transcript_text, 500)"),
+        events("document_extracted", "Document", "file_modified_at", "concat('doc_', file_name)", "document_type || ' - ' || coalesce(reference_number, file_name)", "coalesce(status, 'Processed')",
+               "translate(amount, '$,', '')", "left(description, 500)", "source_customer_id"),
+    ]
+)
 
 # -------------------------------------------------------------- enrichment
 CTES["call_words"] = r"""

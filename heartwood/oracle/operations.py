@@ -391,4 +391,13 @@ ORACLES |= {
         WHERE c.customer_segment IN ('VIP', 'Premium') AND a.complaint_count >= 3""",
 }
 
+ORACLES |= {
+    "campaign_log": f"SELECT customer_id, full_name, action_type, status AS email_status FROM ({CAMPAIGN})",
+    "quality_log": " UNION ALL ".join(
+        f"SELECT * FROM ({ORACLES[name]})"
+        for name in ("check_churn_completeness", "check_nba_completeness", "check_churn_range", "check_sentiment_range")
+    )
+    + " UNION ALL SELECT 'pipeline_health', 'ALL', 'health_check_run', 1, 1, 'PASS', 'Health check completed'",
+}
+
 ORACLES = {key: re.sub(r"\n\s+", "\n", sql).strip() for key, sql in ORACLES.items()}

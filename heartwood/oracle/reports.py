@@ -24,7 +24,7 @@ def wide(column: str, digits: int) -> str:
 
 
 def when(condition: str) -> str:
-    return f"CAST(coalesce(sum(CASE WHEN {condition} THEN 1 ELSE 0 END), 0) AS BIGINT)"
+    return f"count(*) FILTER ({condition})"
 
 
 ORACLES |= {
@@ -52,13 +52,8 @@ ORACLES |= {
     "customer_360_unified": doubles(
         "unified", "annual_income", "total_premium", "max_coverage", "total_claim_amount", "total_outstanding_balance", "total_monthly_payment"
     ),
-    "composite_risk": """
-        SELECT customer_id, CASE WHEN d >= 90 OR m >= 3 OR p >= 2 THEN 'High' WHEN d >= 30 OR m >= 1 OR p >= 1 THEN 'Medium' ELSE 'Low' END AS composite_risk_level
-        FROM (SELECT c.customer_id, coalesce(max_days_past_due, 0) AS d, coalesce(complaint_count, 0) AS m, coalesce(lapsed_policies, 0) AS p
-         FROM clean_customers c LEFT JOIN loan_agg l USING (customer_id) LEFT JOIN interaction_agg i USING (customer_id) LEFT JOIN policy_agg q USING (customer_id))""",
-    "estimated_clv": """
-        SELECT c.customer_id, CASE WHEN c.tenure_months IS NOT NULL THEN CAST(coalesce(p.total_premium, 0) * greatest(c.tenure_months, 1) AS DOUBLE) / 12 END AS estimated_clv
-        FROM clean_customers c LEFT JOIN policy_agg p USING (customer_id)""",
+    "composite_risk": "SELECT customer_id, composite_risk_level FROM unified",
+    "estimated_clv": "SELECT customer_id, estimated_clv FROM unified",
     "interaction_timeline": "SELECT * FROM timeline",
     "transcript_sentiment": "SELECT * FROM transcript_sentiment",
     "call_summary": "SELECT * FROM call_summary",
@@ -208,7 +203,7 @@ ORACLES |= {
         ORDER BY file_modified_at DESC NULLS FIRST, document_id LIMIT 20""",
     "nb_segment_profile": f"""
         SELECT customer_segment, count(*) AS customers, {wide('credit_score', 0)} AS avg_credit, {wide('annual_income', 0)} AS avg_income, {wide('total_premium', 0)} AS avg_premium,
-         {wide('estimated_clv', 0)} AS avg_clv, {share('sum(CASE WHEN is_active THEN 1 ELSE 0 END)', 'count(*)', 1)} AS active_pct FROM unified GROUP BY 1""",
+         {wide('estimated_clv', 0)} AS avg_clv, {share('count(*) FILTER (is_active)', 'count(*)', 1)} AS active_pct FROM unified GROUP BY 1""",
     "nb_risk_factors": f"""
         SELECT CASE WHEN r.churn_risk_score >= 0.6 THEN 'High Risk' ELSE 'Low Risk' END AS risk_group, {wide('c.complaint_count', 2)} AS avg_complaints,
          {wide('c.max_days_past_due', 0)} AS avg_dpd, {wide('c.lapsed_policies', 2)} AS avg_lapsed, {wide('c.days_since_last_interaction', 0)} AS avg_days_no_contact, count(*) AS customers

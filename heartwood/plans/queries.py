@@ -282,7 +282,25 @@ def dashboard(t: Tables) -> DataFrame:
     return QUERIES["ai_quality_dashboard"](t)
 
 
+def campaign_log(t: Tables) -> DataFrame:
+    """The drafts are written once as the audit log; what is returned comes from there."""
+    log = ingest.replace_table(alerts.retention_campaign(t["scored"]), ingest.new_folder(t.spark, "campaign"))
+    return log.select("customer_id", "full_name", "action_type", F.col("status").alias("email_status"))
+
+
+def quality_log(t: Tables) -> DataFrame:
+    """All scheduled checks appended to one log, then its latest entries."""
+    log_dir = ingest.new_folder(t.spark, "quality")
+    names = ("check_churn_completeness", "check_nba_completeness", "check_churn_range", "check_sentiment_range")
+    for name in names:
+        quality.append_log(QUERIES[name](t), log_dir)
+    quality.append_log(quality.heartbeat(t.spark), log_dir)
+    return quality.latest_log(t.spark, log_dir).drop("check_timestamp")
+
+
 QUERIES |= {
+    "campaign_log": campaign_log,
+    "quality_log": quality_log,
     "alert_critical_churn": lambda t: alerts.alert_critical_churn(t["churn_risk"]),
     "alert_vip_complaint": lambda t: alerts.alert_vip_complaint(t["customer_360_unified"]),
     "alert_quality": lambda t: alerts.alert_quality(dashboard(t), 1.0),

@@ -40,6 +40,12 @@ def read_batches(spark: SparkSession, table_dir: str, like: DataFrame) -> DataFr
     return spark.read.schema(schema).parquet(table_dir)
 
 
+def replace_table(df: DataFrame, table_dir: str) -> DataFrame:
+    """Create a table from a result, in place of an earlier one, and read it back."""
+    df.write.mode("overwrite").parquet(table_dir)
+    return df.sparkSession.read.schema(df.schema).parquet(table_dir)
+
+
 def newest(df: DataFrame, id_col: str, n: int) -> DataFrame:
     """Rows with the ``n`` largest keys."""
     return df.orderBy(F.col(id_col).desc()).limit(n)
