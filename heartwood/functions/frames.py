@@ -11,17 +11,29 @@ from heartwood.functions.columns import newest_first
 from heartwood.session import work_dir
 
 
+# Spark limits groups before the shuffle up to this many rows (windowGroupLimitThreshold).
+GROUP_LIMIT = 1000
+SALTS = 64
+
+
 def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, rank: str | None = None) -> DataFrame:
     """First ``n`` rows of each key.
 
     Spark limits each group inside every map task before the shuffle
     (WindowGroupLimit), so a key that holds a third of all rows sends ``n``
-    rows per task, not all of them.
+    rows per task, not all of them. Above Spark's threshold for that, a first
+    round keeps the best ``n`` per key and salt, spread over many tasks.
     """
-    name = rank or "_rank"
-    ranked = df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    kept = ranked.filter(F.col(name) <= n)
-    return kept.withColumn(name, F.col(name).cast("bigint")) if rank else kept.drop(name)
+    if n > GROUP_LIMIT:
+        salted = df.withColumn("_salt", F.spark_partition_id() % SALTS)
+        df = _first_rows(salted, [*keys, "_salt"], order, n, "_rank").drop("_rank", "_salt")
+    kept = _first_rows(df, keys, order, n, rank or "_rank")
+    return kept.withColumn(rank, F.col(rank).cast("bigint")) if rank else kept.drop("_rank")
+
+
+def _first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, rank: str) -> DataFrame:
+    window = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= n)
 
 
 def dedup_latest(df: DataFrame, keys: Sequence[str], order_col: str, tiebreak: Sequence[str] = ()) -> DataFrame:

@@ -174,12 +174,8 @@ VALIDATED = (
 )
 APP_TABLES = ("role_region_mapping", "ai_quality_log", "nba_email_log")
 
-# How each derived table is kept fresh: new rows only, or rebuilt.
-REFRESH_MODES = {
-    name: "INCREMENTAL" if name in ("clean_interactions", "interaction_agg") else "FULL"
-    for layer in ("CLEAN", "CURATED", "AI")
-    for name in LAYERS[layer]
-}
+# Derived tables that take new rows only; the others are rebuilt.
+INCREMENTAL = ("clean_interactions",)
 
 
 def layer_row_counts(t: Tables) -> DataFrame:
@@ -198,9 +194,9 @@ def layer_totals(t: Tables) -> DataFrame:
 
 
 def refresh_mode_counts(t: Tables) -> DataFrame:
-    counts = quality.row_counts({name: t[name] for name in REFRESH_MODES})
-    incremental = [name for name, mode in REFRESH_MODES.items() if mode == "INCREMENTAL"]
-    mode = F.when(F.col("table_name").isin(*incremental), "INCREMENTAL").otherwise("FULL")
+    """Derived tables and their rows by the way they are refreshed."""
+    counts = quality.row_counts({name: t[name] for layer in ("CLEAN", "CURATED", "AI") for name in LAYERS[layer]})
+    mode = F.when(F.col("table_name").isin(*INCREMENTAL), "INCREMENTAL").otherwise("FULL")
     return counts.groupBy(mode.alias("refresh_mode")).agg(
         F.count("*").alias("tables"), F.sum("row_count").alias("row_count")
     )

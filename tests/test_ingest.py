@@ -71,6 +71,14 @@ def test_a_hot_key_is_limited_before_the_shuffle(spark):
     assert top.count() == 20002
 
 
+def test_many_rows_per_key_are_exact(spark):
+    df = spark.range(9000).selectExpr("CASE WHEN id % 3 = 0 THEN 0 ELSE 1 END AS k", "id AS t").repartition(6)
+    top = top_per_key(df, ["k"], [F.col("t").desc()], 2000, rank="rank")
+    zeros = sorted((r.rank, r.t) for r in top.filter("k = 0").collect())
+    assert zeros == [(i + 1, 8997 - 3 * i) for i in range(2000)]
+    assert top.count() == 4000
+
+
 def test_null_keys_of_an_outer_join_are_spread_and_kept(spark):
     left = spark.range(900).selectExpr("id", "CASE WHEN id % 3 = 0 THEN NULL ELSE id END AS k").repartition(6)
     keyed = left.withColumn("key", outer_key(F.col("k")))

@@ -96,3 +96,35 @@ def test_written_tables_give_the_same_scores(spark, sf_dir, tmp_path):
 
 def test_work_folder_comes_from_the_session(spark):
     assert work_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_a_hot_customer_is_split_in_the_document_join(spark):
+    """A third of the documents name one customer: the adaptive join cuts that partition and keeps every row."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10KB",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.shuffle.partitions": "40",
+    }
+    before = {name: spark.conf.get(name, None) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        documents = spark.range(30000).repartition(8).selectExpr(
+            "id AS document_id", "concat('f', id) AS file_name", "'Claim Form' AS document_type", "sha2(CAST(id AS STRING), 512) AS reference_number",
+            "CASE id % 3 WHEN 0 THEN '42' WHEN 1 THEN 'unknown' ELSE CAST(id AS STRING) END AS customer_id", "'$1' AS amount",
+        )
+        people = spark.range(20000).selectExpr(
+            "id AS customer_id", "concat('C', id) AS full_name", "'VIP' AS customer_segment", "true AS is_active", "0.5D AS churn_risk_score"
+        )
+        found = REPORTS["document_xref"]({"document_extracted": documents, "scored": people})
+        rows = found.collect()
+        assert len(rows) == 30000
+        assert sum(r.customer_name == "C42" for r in rows) == 10000
+        assert sum(r.customer_name is None for r in rows) == 10000 + sum(1 for i in range(30000) if i % 3 == 2 and i >= 20000)
+        assert "skew=true" in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
