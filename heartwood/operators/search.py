@@ -90,32 +90,38 @@ def search_bm25(
     return top_per_key(scored, ["query_id"], [F.col("score").desc(), F.col("document_key").asc()], k, rank="rank")
 
 
-def search_knn(embeddings: DataFrame, query_ids: Sequence[int], k: int = 10) -> DataFrame:
+def _dot(a: Column, b: Column) -> Column:
+    products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
+    return F.aggregate(products, F.lit(0.0), lambda total, x: total + x)
+
+
+def _norm(v: Column) -> Column:
+    return F.sqrt(_dot(v, v))
+
+
+def search_knn(embeddings: DataFrame, query_ids: Sequence[int], k: int = 10, at_once: int = 1000) -> DataFrame:
     """Exact cosine neighbours of the named vectors, the query itself left out.
 
     One array holds the query vectors: its size is the number of ids asked for,
-    never that of the table. Each row is compared with that array in place.
+    never that of the table. Each row is compared with that array in place. More
+    ids than ``at_once`` are answered in several passes.
     """
-    if len(query_ids) > 1000:
-        raise ValueError("ask for at most 1000 query vectors at a time")
+    if len(query_ids) > at_once:
+        first, rest = query_ids[:at_once], query_ids[at_once:]
+        return search_knn(embeddings, first, k, at_once).unionByName(search_knn(embeddings, rest, k, at_once))
     wanted = embeddings.filter(F.col("vec_id").isin(*query_ids)).groupBy(F.col("vec_id").alias("query_id"))
     # One vector per id, so copies of an id cannot lengthen the list.
-    asked = wanted.agg(F.min("embedding").alias("q")).agg(F.collect_list(F.struct("query_id", "q")))
-    dot = lambda a, b: F.aggregate(
-        F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x
-    )
-    v = F.col("embedding")
+    asked = wanted.agg(F.min("embedding").alias("q")).withColumn("norm", _norm(F.col("q")))
     compared = (
-        embeddings.withColumn("_norm", F.sqrt(dot(v, v)))
-        .withColumn("_query", F.explode(asked.scalar()))
+        embeddings.withColumn("_norm", _norm(F.col("embedding")))
+        .withColumn("_query", F.explode(asked.agg(F.collect_list(F.struct("query_id", "q", "norm"))).scalar()))
         .filter(F.col("vec_id") != F.col("_query.query_id"))
-        .withColumn("_q", F.col("_query.q"))
         .select(
             F.col("_query.query_id").alias("query_id"),
             "vec_id",
             "label",
             F.round(
-                F.try_divide(dot(v, F.col("_q")), F.col("_norm") * F.sqrt(dot(F.col("_q"), F.col("_q")))), 6
+                F.try_divide(_dot(F.col("embedding"), F.col("_query.q")), F.col("_norm") * F.col("_query.norm")), 6
             ).alias("similarity"),
         )
     )

@@ -159,7 +159,7 @@ ORACLES |= {
         SELECT file_name, document_type, reference_number, policy_number, customer_name, customer_id, amount, category, status, document_date FROM document_extracted""",
     "document_text": "SELECT file_name, parsed_text, document_type, file_size_bytes FROM parsed_documents WHERE file_name = 'claim_form_CLM-2.txt'",
     "document_xref": """
-        SELECT d.file_name, d.document_type, d.reference_number, d.customer_id AS doc_customer_id, d.amount, c.full_name AS customer_name, c.customer_segment, c.is_active,
+        SELECT d.file_name, d.document_type, d.reference_number, d.customer_id AS doc_customer_id, d.amount, c.full_name AS c360_name, c.customer_segment, c.is_active,
          round(r.churn_risk_score, 3) AS churn_risk
         FROM document_extracted d LEFT JOIN unified c ON TRY_CAST(d.customer_id AS DECIMAL(38,0)) = c.customer_id
         LEFT JOIN churn_risk r ON TRY_CAST(d.customer_id AS DECIMAL(38,0)) = r.customer_id""",

@@ -477,7 +477,7 @@ def document_xref(t: Tables) -> DataFrame:
         "reference_number",
         c("customer_id").alias("doc_customer_id"),
         "amount",
-        c("full_name").alias("customer_name"),
+        c("full_name").alias("c360_name"),
         "customer_segment",
         "is_active",
         F.round("churn_risk_score", 3).alias("churn_risk"),

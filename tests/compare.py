@@ -35,7 +35,7 @@ def _rows(table: pa.Table) -> list[str]:
 
 def difference(spark_df: DataFrame, con: duckdb.DuckDBPyConnection, sql: str) -> str | None:
     """None when both sides agree on names, types and values, else what differs first."""
-    found = con.execute(sql).to_arrow_table()
+    found = con.sql(sql).to_arrow_table()
     actual = spark_df.toArrow()
     types = [{f.name: _kind(f.type) for f in t.schema} for t in (actual, found)]
     if types[0] != types[1]:

@@ -122,8 +122,8 @@ def test_a_hot_customer_is_split_in_the_document_join(spark):
         found = REPORTS["document_xref"]({"document_extracted": documents, "scored": people})
         rows = found.collect()
         assert len(rows) == 30000
-        assert sum(r.customer_name == "C42" for r in rows) == 10000
-        assert sum(r.customer_name is None for r in rows) == 10000 + sum(1 for i in range(30000) if i % 3 == 2 and i >= 20000)
+        assert sum(r.c360_name == "C42" for r in rows) == 10000
+        assert sum(r.c360_name is None for r in rows) == 10000 + sum(1 for i in range(30000) if i % 3 == 2 and i >= 20000)
         assert "skew=true" in found._jdf.queryExecution().executedPlan().toString()
     finally:
         for name, value in before.items():

@@ -81,6 +81,7 @@ def test_knn_asks_each_id_once(rows):
     assert [(r.vec_id, r.similarity) for r in found] == [(2, 0.707107)]
 
 
-def test_knn_refuses_long_lists(rows):
-    with pytest.raises(ValueError, match="1000"):
-        search_knn(rows("vec_id, embedding, label", "(1L, array(1f), 0)"), range(1001))
+def test_knn_in_passes_equals_one_pass(spark, sf_dir):
+    embeddings = load_table(spark, sf_dir, "embeddings")
+    ids = list(range(7))
+    assert sorted(search_knn(embeddings, ids, 3, at_once=2).collect()) == sorted(search_knn(embeddings, ids, 3).collect())
