@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import DataFrame, SparkSession
 
 from heartwood.operators import clean, curated, documents, enrich, scoring, search
+from heartwood.sources.ingest import replace_table
 from heartwood.sources.raw import RAW_VIEWS
 from heartwood.sources.tables import load_table
 
@@ -80,20 +81,25 @@ class Tables:
         lexicon: enrich.Lexicon = enrich.TEST_LEXICON,
     ) -> None:
         self.spark, self.sf_dir, self.as_of, self.lexicon = spark, sf_dir, as_of, lexicon
-        self._frames: dict[str, DataFrame] = {}
+        self._planned: dict[str, DataFrame] = {}
+        self._given: dict[str, DataFrame] = {}
 
     def __getitem__(self, name: str) -> DataFrame:
-        if name not in self._frames:
+        if name in self._given:
+            return self._given[name]
+        if name not in self._planned:
             if name in RAW_VIEWS:
                 view, sources = RAW_VIEWS[name]
                 frame = view(*[load_table(self.spark, self.sf_dir, s) for s in sources])
             else:
                 frame = RECIPES[name](self)
-            self._frames[name] = frame
-        return self._frames[name]
+            self._planned[name] = frame
+        return self._planned[name]
 
     def __setitem__(self, name: str, frame: DataFrame) -> None:
-        self._frames[name] = frame
+        """Use this frame for a table, such as your own raw data. Tables planned before are planned anew."""
+        self._given[name] = frame
+        self._planned.clear()
 
     def write(self, path: str, names: Iterable[str]) -> None:
         """Write tables to ``path`` in the given order and read them from there afterwards.
@@ -101,10 +107,7 @@ class Tables:
         Later tables then start from the written ones instead of the raw layer.
         """
         for name in names:
-            target = f"{path.rstrip('/')}/{name}"
-            schema = self[name].schema
-            self[name].write.mode("overwrite").parquet(target)
-            self[name] = self.spark.read.schema(schema).parquet(target)
+            self[name] = replace_table(self[name], f"{path.rstrip('/')}/{name}")
 
 
 def build(spark: SparkSession, sf_dir: str, as_of: datetime.date = AS_OF) -> Tables:
