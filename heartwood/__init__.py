@@ -1,0 +1 @@
+"""Customer intelligence tables, scores and reports as Spark DataFrames."""

@@ -48,7 +48,8 @@ def search_bm25(
     The asked terms are part of the plan, so each document counts only those
     words, in its own row: no index of all words is shuffled, and a stop word
     costs nothing unless it is asked for. Collection statistics come from one
-    aggregate with a count per asked term. ``where`` restricts the hits, not the
+    aggregate with a count per asked term, so the corpus is read twice: for many
+    searches, hand in a written one. ``where`` restricts the hits, not the
     statistics.
     """
     asked = {name: sorted(set(re.findall(WORD, text.lower()))) for name, text in queries.items()}
