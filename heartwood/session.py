@@ -27,21 +27,23 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **extra:
     }
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    own_work_dir(spark)
+    return spark
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as the cluster names it.
-
-    Only a local session may fall back to a temporary folder: there the driver
-    is the single executor. Elsewhere a missing setting is an error.
-    """
+    """The folder every executor can reach, as the cluster names it in spark.checkpoint.dir."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        configured = tempfile.mkdtemp(prefix="heartwood-")
-        spark.conf.set("spark.checkpoint.dir", configured)
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(configured)
     return configured.rstrip("/")
+
+
+def own_work_dir(spark: SparkSession) -> None:
+    """For a session inside one process, as in tests, that names no shared folder: a folder of its own."""
+    alone = spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")
+    if alone and not spark.conf.get("spark.checkpoint.dir", None):
+        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="heartwood-"))

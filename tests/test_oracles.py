@@ -6,9 +6,11 @@ import pytest
 
 import __spark_entry__ as entry
 from compare import connect, difference
+from heartwood import oracle
+from heartwood.plans import queries as registry
 
-QUERIES = entry.queries()
-ORACLES = entry.oracle_sql()
+QUERIES = registry.queries()
+ORACLES = oracle.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -17,6 +19,8 @@ def duck(sf_dir):
 
 
 def test_every_oracle_belongs_to_a_query():
+    assert set(QUERIES) <= set(entry.queries())
+    assert set(ORACLES) <= set(entry.oracle_sql()) <= set(entry.queries())
     assert set(ORACLES) <= set(QUERIES)
     assert set(QUERIES) - set(ORACLES) == {"run_history_summary"}
 
