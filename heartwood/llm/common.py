@@ -21,22 +21,18 @@ def new_folder(spark: SparkSession, name: str) -> str:
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: later jobs start there, whatever executors are lost."""
     spark = df.sparkSession
+    free_shuffles(spark)
     folder = new_folder(spark, name)
     df.write.parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
 
 
-def drop(kept: DataFrame) -> None:
-    """Delete a kept table that no result reads any more, and let Spark free the shuffles behind it.
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffles behind tables that are written and plans that are dropped.
 
-    Shuffle files go when the JVM collects their owners, which a quiet driver may not do for half an hour.
+    It does so when the driver's JVM collects their owners, which a quiet driver may not do for half an hour.
     """
-    spark = kept.sparkSession
-    jvm = spark.sparkContext._jvm
-    for folder in {file.rsplit("/", 1)[0] for file in kept.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    jvm.System.gc()
+    spark.sparkContext._jvm.System.gc()
 
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from heartwood.llm.common import keep, texts, utf8
+from heartwood.llm.common import free_shuffles, keep, texts, utf8
 
 BLOCK_BYTES = 2 << 20
 #: Keys of a range that a task should hold.
@@ -259,6 +259,7 @@ def per_block(
                     yield from run(block, [])
 
         return blocks.mapInArrow(alone, schema)
+    free_shuffles(blocks.sparkSession)
     got = marks[0].withColumn("round", F.lit(0))
     for number, more in enumerate(marks[1:], 1):
         got = got.unionByName(more.withColumn("round", F.lit(number)))

@@ -30,7 +30,7 @@ from heartwood.llm.exchange import (
 from heartwood.llm.substrings import repeated
 
 #: Suffix buckets by leading bytes, and positions of a block from which their borders are drawn.
-BUCKETS, DRAWN = 64, 64
+BUCKET_BITS, DRAWN = 6, 64
 #: Positions that are hashed at a time.
 SLICE = 1 << 20
 
@@ -55,30 +55,38 @@ def leading(body: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 class Suffixes:
-    """The suffixes of a block: the cover sample, and those that the sample's ranks leave to be sorted."""
+    """The suffixes of a block: the cover sample, and those that the sample's ranks leave to be sorted.
 
-    def __init__(self, block: Block, window: int):
-        self.block, self.window, self.sample = block, window, window - PERIOD + 1
+    `back` holds what the exchanges returned so far; texts that the first one found to be copies of an earlier
+    document are left out, as the earlier one has all their strings.
+    """
+
+    def __init__(self, block: Block, window: int, ranges: int, back: list[dict[int, bytes]]):
+        self.block, self.window, self.sample, self.ranges, self.back = block, window, window - PERIOD + 1, ranges, back
         self.n = len(block.body)
+        self.texts = window_keys(prefix_sums(BYTE_VALUES[block.body]), block.starts, block.ends)
+        self.copy = np.zeros(len(self.texts), bool)
+        if back:
+            first = np.zeros(len(self.texts), bool)
+            first[np.unique(self.texts, return_index=True)[1]] = True
+            self.copy = ~first | np.isin(self.texts, marked(hash_ranges(self.texts, 64, ranges), back[0]))
+
+    def starts(self, window: int, cover: bool) -> np.ndarray:
+        return starts_mask(self.n, self.block.starts[~self.copy], self.block.ends[~self.copy], window, cover)
 
     def samples(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
-        at = np.flatnonzero(starts_mask(self.n, self.block.starts, self.block.ends, self.sample, True))
+        at = np.flatnonzero(self.starts(self.sample, True))
         return at, byte_keys(self.block.body, at, self.sample) >> np.uint64(64 - bits)
 
-    def tied(self, bits: int, ranges: int, back: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Suffixes that can agree with another for a whole window, and the keys of those windows."""
-        at, keys = self.samples(bits)
-        shared = np.union1d(marked(hash_ranges(keys, bits, ranges), back), repeated(keys))
-        reached = reach(self.n, at[np.isin(keys, shared)])
-        start = np.flatnonzero(reached & starts_mask(self.n, self.block.starts, self.block.ends, self.window, False))
-        return start, byte_keys(self.block.body, start, self.window)
-
-    def buckets(self, start: np.ndarray, keys: np.ndarray, borders: np.ndarray, cuts: int) -> list[np.ndarray]:
-        """Distinct keys per suffix bucket, each bucket cut into `cuts` again so that a frequent start stays small."""
-        bucket = np.searchsorted(borders, leading(self.block.body, start), side="right")
-        order = np.argsort(bucket, kind="stable")
-        parts = np.split(keys[order], np.searchsorted(bucket[order], np.arange(1, len(borders) + 1)))
-        return [cut for part in parts for cut in hash_ranges(part, 64, cuts)]
+    def tied(self, bits: int, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Suffixes that can agree with another for a whole window, and their keys: bucket, then fingerprint."""
+        at, names = self.samples(bits)
+        shared = np.union1d(marked(hash_ranges(names, bits, self.ranges), self.back[1]), repeated(names))
+        reached = reach(self.n, at[np.isin(names, shared)])
+        start = np.flatnonzero(reached & self.starts(self.window, False))
+        bucket = np.searchsorted(borders, leading(self.block.body, start), side="right").astype(np.uint64)
+        keys = byte_keys(self.block.body, start, self.window) >> np.uint64(BUCKET_BITS)
+        return start, (bucket << np.uint64(64 - BUCKET_BITS)) | keys
 
 
 def borders_of(blocks: DataFrame) -> np.ndarray:
@@ -90,7 +98,7 @@ def borders_of(blocks: DataFrame) -> np.ndarray:
                 at = np.random.default_rng(block.number).integers(0, max(1, len(block.body)), DRAWN)
                 yield pa.record_batch({"lead": leading(block.body, np.sort(at)) if len(block.body) else np.zeros(0, np.int64)})
 
-    shares = [k / BUCKETS for k in range(1, BUCKETS)]
+    shares = [k / 2**BUCKET_BITS for k in range(1, 2**BUCKET_BITS)]
     found = blocks.mapInArrow(draw, "lead long").agg(F.percentile_approx("lead", shares, 1000)).first()[0]
     return np.unique(np.array(found or [], np.int64))
 
@@ -101,38 +109,44 @@ def drop_repeated_substrings(docs: DataFrame, window: int = 50, id_col: str = "d
     A byte goes if it lies in a string of `window` (at least 22) bytes that also starts in a document with a
     smaller doc_id; overlaps count, and texts are judged as given.
 
-    Cover sample: at the byte positions of a difference cover modulo 21, strings of window - 20 bytes are named,
-    and an exchange finds the names that occur twice. Two suffixes that agree for `window` bytes share a named
-    pair at one of their first 21 positions, so a suffix that reaches no such pair ties with nothing and is never
-    sorted. The rest go to buckets by leading bytes; one bucket at a time is sorted by the 64-bit names of the
-    whole windows, and a name's first block and document are its smallest. Names stand for ranks: only equality
-    is asked for, so any order in which equal strings are equal will do.
+    Texts that are wholly equal to an earlier one are found first and take no further part. Cover sample: at the
+    byte positions of a difference cover modulo 21, strings of window - 20 bytes are named, and an exchange finds
+    the names that occur twice. Two suffixes that agree for `window` bytes share a named pair at one of their first
+    21 positions, so a suffix that reaches no such pair ties with nothing and is never sorted. The rest go to
+    buckets by leading bytes, cut again by name where a start is frequent; one bucket at a time is sorted by the
+    names of whole windows (58 bits beside the bucket), and a name's first block and document are its smallest.
+    Names stand for ranks: only equality is asked for, so any order in which equal strings are equal will do.
 
     Null text: no bytes. Rows that share a doc_id are documents in order of a hash of their text, null ids come
     first; of wholly equal rows one counts as the first. An empty table gives no rows; other columns are not read.
     """
     blocks = write_blocks(docs, id_col, text_col, in_order=True)
     size = text_bytes(blocks)
+    # A short name only filters: eight bits more than there are samples let one in 256 through.
     bits, ranges = min(64, max(16, int(size // 4).bit_length() + 8)), range_count(size // 4)
-    borders, cuts = borders_of(blocks), max(1, ranges // BUCKETS)
+    borders = borders_of(blocks)
+
+    def whole_texts(block: Block, back: list[dict[int, bytes]]) -> list[np.ndarray]:
+        return hash_ranges(Suffixes(block, window, ranges, back).texts, 64, ranges)
 
     def sample(block: Block, back: list[dict[int, bytes]]) -> list[np.ndarray]:
-        return hash_ranges(Suffixes(block, window).samples(bits)[1], bits, ranges)
+        return hash_ranges(Suffixes(block, window, ranges, back).samples(bits)[1], bits, ranges)
 
     def suffixes(block: Block, back: list[dict[int, bytes]]) -> list[np.ndarray]:
-        found = Suffixes(block, window)
-        return found.buckets(*found.tied(bits, ranges, back[0]), borders, cuts)
+        return hash_ranges(Suffixes(block, window, ranges, back).tied(bits, borders)[1], 64, ranges)
 
     def cut(block: Block, back: list[dict[int, bytes]]) -> Iterator[pa.RecordBatch]:
-        found = Suffixes(block, window)
-        start, keys = found.tied(bits, ranges, back[0])
-        seen = marked(found.buckets(start, keys, borders, cuts), back[1])
+        found = Suffixes(block, window, ranges, back)
+        start, keys = found.tied(bits, borders)
+        seen = marked(hash_ranges(keys, 64, ranges), back[2])
         doc = np.searchsorted(block.ends, start, side="right")
         distinct, first, group = np.unique(keys, return_index=True, return_inverse=True)
         gone = covered(found.n, start[(doc > doc[first][group]) | np.isin(distinct, seen)[group]], window)
         body, spans, kept = block.body, [], []
-        for low, high in zip(block.starts.tolist(), block.ends.tolist(), strict=True):
+        for low, high, copy in zip(block.starts.tolist(), block.ends.tolist(), found.copy.tolist(), strict=True):
             mine = gone[low:high]
+            if copy and high - low >= window:
+                mine[:] = True
             kept.append(body[low:high][~mine].tobytes())
             edge = np.flatnonzero(np.diff(mine, prepend=False, append=False)).tolist() if mine.any() else []
             spans.append([{"start": i, "end": j} for i, j in zip(edge[::2], edge[1::2], strict=True)])
@@ -141,7 +155,8 @@ def drop_repeated_substrings(docs: DataFrame, window: int = 50, id_col: str = "d
             {"doc_id": block.ids, "n_bytes": block.ends - block.starts, "spans": pa.array(spans, kind), "kept": pa.array(kept, pa.binary())}
         )
 
-    near = exchange(blocks, [], sample, earlier=False)
-    same = exchange(blocks, [near], suffixes, earlier=True)
+    marks: list[DataFrame] = []
+    for emit, earlier in ((whole_texts, True), (sample, False), (suffixes, True)):
+        marks.append(exchange(blocks, marks, emit, earlier))
     schema = "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary"
-    return per_block(blocks, [near, same], cut, schema)
+    return per_block(blocks, marks, cut, schema)
