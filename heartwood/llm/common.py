@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 from uuid import uuid4
 
@@ -32,6 +33,7 @@ def free_shuffles(spark: SparkSession) -> None:
 
     It does so when the driver's JVM collects their owners, which a quiet driver may not do for half an hour.
     """
+    gc.collect()  # Python's ends of dropped plans
     spark.sparkContext._jvm.System.gc()
 
 

@@ -188,13 +188,29 @@ def decode(blob: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
-def hash_ranges(keys: np.ndarray, bits: int, ranges: int) -> list[np.ndarray]:
-    """Distinct keys of `bits` bits, sorted and cut into `ranges` (a power of two)."""
-    distinct = np.unique(keys)
+def hash_ranges(distinct: np.ndarray, bits: int, ranges: int) -> list[np.ndarray]:
+    """Sorted distinct keys of `bits` bits, cut into `ranges` (a power of two)."""
     cuts = np.arange(1, ranges, dtype=np.uint64) << np.uint64(bits - ranges.bit_length() + 1)
     return np.split(distinct, np.searchsorted(distinct, cuts))
 
 
+def distinct_and_repeated(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys and those that occur more than once, both sorted."""
+    ordered = np.sort(keys)
+    if not len(ordered):
+        return ordered, ordered
+    new = np.concatenate(([True], ordered[1:] != ordered[:-1]))
+    heads = np.flatnonzero(new)
+    return ordered[heads], ordered[heads[np.diff(np.append(heads, len(ordered))) > 1]]
+
+
+def member(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Which keys are in a sorted table."""
+    if not len(table):
+        return np.zeros(len(keys), bool)
+    return table[np.minimum(np.searchsorted(table, keys), len(table) - 1)] == keys
+
+
 def range_count(keys: int) -> int:
     """Ranges for so many keys: a power of two."""
     return max(64, 1 << max(0, (keys - 1) // RANGE_KEYS).bit_length())
@@ -217,8 +233,7 @@ def exchange(blocks: DataFrame, marks: list[DataFrame], emit: Emit, earlier: boo
     def meet(table: pa.Table) -> pa.Table:
         table = table.sort_by("block")
         lists = [decode(blob) for blob in table["keys"].to_pylist()]
-        every = np.sort(np.concatenate(lists))
-        shared = np.unique(every[1:][every[1:] == every[:-1]])
+        shared = distinct_and_repeated(np.concatenate(lists))[1]
         if earlier:
             unseen = np.ones(len(shared), bool)
         packed = []

@@ -16,9 +16,11 @@ from heartwood.llm.exchange import (
     Block,
     carried,
     covered,
+    distinct_and_repeated,
     exchange,
     hash_ranges,
     marked,
+    member,
     per_block,
     prefix_sums,
     range_count,
@@ -56,17 +58,13 @@ class Windows:
 
     def candidates(self, bits: int, ranges: int, back: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
         at, keys = self.anchors(bits)
-        shared = np.union1d(marked(hash_ranges(keys, bits, ranges), back), repeated(keys))
-        reached = reach(self.n, at[np.isin(keys, shared)])
+        distinct, repeated = distinct_and_repeated(keys)
+        shared = np.union1d(marked(hash_ranges(distinct, bits, ranges), back), repeated)
+        reached = reach(self.n, at[member(keys, shared)])
         start = np.flatnonzero(reached & starts_mask(self.n, self.firsts, self.lasts, self.window, False))
         return start, window_keys(self.sums, start, start + self.window)
 
 
-def repeated(keys: np.ndarray) -> np.ndarray:
-    ordered = np.sort(keys)
-    return np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
-
-
 def drop_shared_windows(
     docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text", whole_rows: bool = False
 ) -> DataFrame:
@@ -91,16 +89,17 @@ def drop_shared_windows(
     bits, ranges = min(64, max(16, int(size // 16).bit_length() + 8)), range_count(size // 16)
 
     def anchors(block: Block, back: list[dict[int, bytes]]) -> list[np.ndarray]:
-        return hash_ranges(Windows(block, window).anchors(bits)[1], bits, ranges)
+        return hash_ranges(np.unique(Windows(block, window).anchors(bits)[1]), bits, ranges)
 
     def whole(block: Block, back: list[dict[int, bytes]]) -> list[np.ndarray]:
-        return hash_ranges(Windows(block, window).candidates(bits, ranges, back[0])[1], 64, ranges)
+        return hash_ranges(np.unique(Windows(block, window).candidates(bits, ranges, back[0])[1]), 64, ranges)
 
     def cut(block: Block, back: list[dict[int, bytes]]) -> Iterator[pa.RecordBatch]:
         found = Windows(block, window)
         start, keys = found.candidates(bits, ranges, back[0])
-        shared = np.union1d(marked(hash_ranges(keys, 64, ranges), back[1]), repeated(keys))
-        gone = covered(found.n, start[np.isin(keys, shared)], window)
+        distinct, repeated = distinct_and_repeated(keys)
+        shared = np.union1d(marked(hash_ranges(distinct, 64, ranges), back[1]), repeated)
+        gone = covered(found.n, start[member(keys, shared)], window)
         body, removed, kept = block.body.tobytes(), [], []
         edges = zip(found.firsts.tolist(), found.lasts.tolist(), block.starts.tolist(), block.ends.tolist(), strict=True)
         for first, last, low, high in edges:

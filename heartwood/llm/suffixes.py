@@ -14,9 +14,11 @@ from heartwood.llm.exchange import (
     PERIOD,
     Block,
     covered,
+    distinct_and_repeated,
     exchange,
     hash_ranges,
     marked,
+    member,
     per_block,
     prefix_sums,
     range_count,
@@ -27,7 +29,6 @@ from heartwood.llm.exchange import (
     window_keys,
     write_blocks,
 )
-from heartwood.llm.substrings import repeated
 
 #: Suffix buckets by leading bytes, and positions of a block from which their borders are drawn.
 BUCKET_BITS, DRAWN = 6, 64
@@ -69,7 +70,7 @@ class Suffixes:
         if back:
             first = np.zeros(len(self.texts), bool)
             first[np.unique(self.texts, return_index=True)[1]] = True
-            self.copy = ~first | np.isin(self.texts, marked(hash_ranges(self.texts, 64, ranges), back[0]))
+            self.copy = ~first | member(self.texts, marked(hash_ranges(np.unique(self.texts), 64, ranges), back[0]))
 
     def starts(self, window: int, cover: bool) -> np.ndarray:
         return starts_mask(self.n, self.block.starts[~self.copy], self.block.ends[~self.copy], window, cover)
@@ -81,8 +82,9 @@ class Suffixes:
     def tied(self, bits: int, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Suffixes that can agree with another for a whole window, and their keys: bucket, then fingerprint."""
         at, names = self.samples(bits)
-        shared = np.union1d(marked(hash_ranges(names, bits, self.ranges), self.back[1]), repeated(names))
-        reached = reach(self.n, at[np.isin(names, shared)])
+        distinct, repeated = distinct_and_repeated(names)
+        shared = np.union1d(marked(hash_ranges(distinct, bits, self.ranges), self.back[1]), repeated)
+        reached = reach(self.n, at[member(names, shared)])
         start = np.flatnonzero(reached & self.starts(self.window, False))
         bucket = np.searchsorted(borders, leading(self.block.body, start), side="right").astype(np.uint64)
         keys = byte_keys(self.block.body, start, self.window) >> np.uint64(BUCKET_BITS)
@@ -127,21 +129,25 @@ def drop_repeated_substrings(docs: DataFrame, window: int = 50, id_col: str = "d
     borders = borders_of(blocks)
 
     def whole_texts(block: Block, back: list[dict[int, bytes]]) -> list[np.ndarray]:
-        return hash_ranges(Suffixes(block, window, ranges, back).texts, 64, ranges)
+        return hash_ranges(np.unique(Suffixes(block, window, ranges, back).texts), 64, ranges)
 
     def sample(block: Block, back: list[dict[int, bytes]]) -> list[np.ndarray]:
-        return hash_ranges(Suffixes(block, window, ranges, back).samples(bits)[1], bits, ranges)
+        return hash_ranges(np.unique(Suffixes(block, window, ranges, back).samples(bits)[1]), bits, ranges)
 
     def suffixes(block: Block, back: list[dict[int, bytes]]) -> list[np.ndarray]:
-        return hash_ranges(Suffixes(block, window, ranges, back).tied(bits, borders)[1], 64, ranges)
+        return hash_ranges(np.unique(Suffixes(block, window, ranges, back).tied(bits, borders)[1]), 64, ranges)
 
     def cut(block: Block, back: list[dict[int, bytes]]) -> Iterator[pa.RecordBatch]:
         found = Suffixes(block, window, ranges, back)
         start, keys = found.tied(bits, borders)
-        seen = marked(hash_ranges(keys, 64, ranges), back[2])
-        doc = np.searchsorted(block.ends, start, side="right")
-        distinct, first, group = np.unique(keys, return_index=True, return_inverse=True)
-        gone = covered(found.n, start[(doc > doc[first][group]) | np.isin(distinct, seen)[group]], window)
+        distinct, repeated = distinct_and_repeated(keys)
+        hit = member(keys, marked(hash_ranges(distinct, 64, ranges), back[2]))
+        # Strings that occur more than once in the block: all but those of the first document to have them.
+        again = np.flatnonzero(member(keys, repeated))
+        doc = np.searchsorted(block.ends, start[again], side="right")
+        _, first, group = np.unique(keys[again], return_index=True, return_inverse=True)
+        hit[again] |= doc > doc[first][group]
+        gone = covered(found.n, start[hit], window)
         body, spans, kept = block.body, [], []
         for low, high, copy in zip(block.starts.tolist(), block.ends.tolist(), found.copy.tolist(), strict=True):
             mine = gone[low:high]
