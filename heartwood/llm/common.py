@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Iterator
 from uuid import uuid4
 
@@ -28,13 +29,15 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
-def free_shuffles(spark: SparkSession) -> None:
+def free_shuffles(spark: SparkSession, pause: float = 0.0) -> None:
     """Let Spark delete the shuffles behind tables that are written and plans that are dropped.
 
-    It does so when the driver's JVM collects their owners, which a quiet driver may not do for half an hour.
+    It does so in the background when the driver's JVM collects their owners, which a quiet driver may not do for
+    half an hour. A pause lets large ones go before the next job writes its own.
     """
     gc.collect()  # Python's ends of dropped plans
     spark.sparkContext._jvm.System.gc()
+    time.sleep(pause)
 
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

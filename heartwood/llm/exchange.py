@@ -57,7 +57,7 @@ def write_blocks(docs: DataFrame, id_col: str, text_col: str, in_order: bool, ca
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 32
-        pack = zstandard.ZstdCompressor(level=1)
+        pack = zstandard.ZstdCompressor(level=3)
         ids: list[int | None] = []
         held: list[bytes] = []
         rest: list[pa.RecordBatch] = []
@@ -274,7 +274,7 @@ def per_block(
                     yield from run(block, [])
 
         return blocks.mapInArrow(alone, schema)
-    free_shuffles(blocks.sparkSession)
+    free_shuffles(blocks.sparkSession, pause=1.5)
     got = marks[0].withColumn("round", F.lit(0))
     for number, more in enumerate(marks[1:], 1):
         got = got.unionByName(more.withColumn("round", F.lit(number)))
