@@ -33,17 +33,20 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **extra:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as the cluster names it in spark.checkpoint.dir."""
+    """The folder every executor can reach: spark.checkpoint.dir, or what the caller told the context."""
+    context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
+    if configured and not context.getCheckpointDir():
+        context.setCheckpointDir(configured)
+    folder = configured or context.getCheckpointDir()
+    if not folder:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(configured)
-    return configured.rstrip("/")
+    return folder.rstrip("/")
 
 
 def own_work_dir(spark: SparkSession) -> None:
     """For a session inside one process, as in tests, that names no shared folder: a folder of its own."""
-    alone = spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")
-    if alone and not spark.conf.get("spark.checkpoint.dir", None):
-        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="heartwood-"))
+    context = spark.sparkContext
+    alone = context.master == "local" or context.master.startswith("local[")
+    if alone and not spark.conf.get("spark.checkpoint.dir", None) and not context.getCheckpointDir():
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="heartwood-"))
