@@ -11,8 +11,8 @@ from heartwood.functions.columns import newest_first
 from heartwood.session import work_dir
 
 
-# Spark limits groups before the shuffle up to this many rows (windowGroupLimitThreshold).
-GROUP_LIMIT = 1000
+# Up to this setting of the session Spark limits groups before the shuffle.
+GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
 SALTS = 64
 
 
@@ -24,7 +24,7 @@ def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n:
     rows per task, not all of them. Above Spark's threshold for that, a first
     round keeps the best ``n`` per key and salt, spread over many tasks.
     """
-    if n > GROUP_LIMIT:
+    if n > int(df.sparkSession.conf.get(GROUP_LIMIT)):
         salted = df.withColumn("_salt", F.spark_partition_id() % SALTS)
         df = _first_rows(salted, [*keys, "_salt"], order, n, "_rank").drop("_rank", "_salt")
     kept = _first_rows(df, keys, order, n, rank or "_rank")

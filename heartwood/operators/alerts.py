@@ -34,16 +34,16 @@ def messages(
     )
 
 
-def alert_critical_churn(churn: DataFrame) -> DataFrame:
+def alert_critical_churn(churn: DataFrame, lines_per_message: int = LINES_PER_MESSAGE) -> DataFrame:
     critical = churn.filter((c("churn_risk_score") >= 0.8) & (c("retention_urgency") == "Critical"))
     line = F.concat(
         "full_name", F.lit(" ("), "customer_segment", F.lit(") - Score: "),
         F.round("churn_risk_score", 2).cast("string"), F.lit(" - "), "retention_urgency",
     )
-    return messages(critical, "critical_churn", line, "churn_risk_score", "Critical churn risk customers detected:\n\n")
+    return messages(critical, "critical_churn", line, "churn_risk_score", "Critical churn risk customers detected:\n\n", lines_per_message)
 
 
-def alert_vip_complaint(unified: DataFrame) -> DataFrame:
+def alert_vip_complaint(unified: DataFrame, lines_per_message: int = LINES_PER_MESSAGE) -> DataFrame:
     at_risk = unified.filter(
         c("customer_segment").isin("VIP", "Premium") & (c("complaint_count") >= 3) & (c("composite_risk_level") == "High")
     )
@@ -51,7 +51,7 @@ def alert_vip_complaint(unified: DataFrame) -> DataFrame:
         "full_name", F.lit(" ("), "customer_segment", F.lit(") - "), c("complaint_count").cast("string"),
         F.lit(" complaints, Risk: "), "composite_risk_level",
     )
-    return messages(at_risk, "vip_complaint", line, "complaint_count")
+    return messages(at_risk, "vip_complaint", line, "complaint_count", size=lines_per_message)
 
 
 def _one_message(rows: DataFrame, alert: str, line: Column, *order: Column) -> DataFrame:

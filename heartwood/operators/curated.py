@@ -28,16 +28,22 @@ from heartwood.functions.columns import (
 
 def policy_agg(policies: DataFrame) -> DataFrame:
     status = F.col("policy_status")
-    per_category = policies.groupBy("customer_id", "risk_category").agg(
+    # Plain sums by type first: sets are collected over the few types left, not over the policies.
+    per_type = policies.groupBy("customer_id", "risk_category", "policy_type").agg(
         F.count("*").alias("n"),
         count_when(status == "ACTIVE").alias("active"),
         count_when(status.isin("LAPSED", "CANCELLED")).alias("lapsed"),
         F.sum("premium_amount").alias("premium"),
         F.count("premium_amount").alias("premiums"),
         F.max("coverage_amount").alias("coverage"),
-        F.collect_set("policy_type").alias("types"),
         F.min("days_to_renewal").alias("renewal"),
     )
+    per_category = per_type.groupBy("customer_id", "risk_category").agg(
+        *[F.sum(name).cast(per_type.schema[name].dataType).alias(name) for name in ("n", "active", "lapsed", "premium", "premiums")],
+        F.max("coverage").alias("coverage"),
+        F.collect_set("policy_type").alias("types"),
+        F.min("renewal").alias("renewal"),
+    )
     return per_category.groupBy("customer_id").agg(
         F.sum("n").alias("total_policies"),
         F.sum("active").alias("active_policies"),
@@ -66,18 +72,32 @@ def claims_agg(claims: DataFrame) -> DataFrame:
 
 def loan_agg(loans: DataFrame) -> DataFrame:
     status = F.col("loan_status")
-    return loans.groupBy("customer_id").agg(
+    per_type = loans.groupBy("customer_id", "loan_type").agg(
         F.count("*").alias("total_loans"),
         count_when(status == "ACTIVE").alias("active_loans"),
         count_when(status.isin("DEFAULT", "DELINQUENT")).alias("problem_loans"),
         F.sum("outstanding_balance").alias("total_outstanding_balance"),
         F.sum("monthly_payment").alias("total_monthly_payment"),
         F.max("days_past_due").alias("max_days_past_due"),
+    )
+    sums = ("total_loans", "active_loans", "problem_loans", "total_outstanding_balance", "total_monthly_payment")
+    return per_type.groupBy("customer_id").agg(
+        *[F.sum(name).cast(per_type.schema[name].dataType).alias(name) for name in sums],
+        F.max("max_days_past_due").alias("max_days_past_due"),
         F.array_join(F.array_sort(F.collect_set("loan_type")), ", ").alias("loan_types"),
     )
 
 
 def interaction_agg(interactions: DataFrame, as_of: datetime.date | str) -> DataFrame:
+    return days_since(interaction_sums(interactions), as_of)
+
+
+def days_since(aggregate: DataFrame, as_of: datetime.date | str) -> DataFrame:
+    return aggregate.withColumn("days_since_last_interaction", F.datediff(as_date(as_of), "last_interaction_date"))
+
+
+def interaction_sums(interactions: DataFrame) -> DataFrame:
+    """The part of the interaction aggregate that does not depend on today."""
     per_channel = interactions.groupBy("customer_id", "channel").agg(
         F.count("*").alias("n"),
         count_when(F.col("interaction_type") == "Complaint").alias("complaints"),
@@ -90,7 +110,6 @@ def interaction_agg(interactions: DataFrame, as_of: datetime.date | str) -> Data
         F.sum("escalations").alias("escalation_count"),
         F.max("last_date").alias("last_interaction_date"),
         most_common("channel", "n").alias("preferred_channel"),
-        F.datediff(as_date(as_of), F.max("last_date")).alias("days_since_last_interaction"),
     )
 
 

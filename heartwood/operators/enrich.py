@@ -24,6 +24,19 @@ class Lexicon:
     negative: tuple[str, ...]
 
 
+# Words of service calls.
+DEFAULT_LEXICON = Lexicon(
+    positive=tuple(
+        "appreciate appreciated easy excellent fantastic fast friendly glad good great happy helpful kind love nice"
+        " perfect pleased polite quick resolved satisfied smooth solved thank thanks wonderful".split()
+    ),
+    negative=tuple(
+        "angry annoyed awful bad cancel complaint confusing delay delayed denied disappointed error failed"
+        " frustrated frustrating horrible late lost mistake poor problem rude slow terrible unacceptable unhappy"
+        " unresolved upset waiting worst wrong".split()
+    ),
+)
+
 # Fixed values for the test texts, which are syllables with common words.
 TEST_LEXICON = Lexicon(
     positive=("is", "it", "with", "und", "en", "y"),

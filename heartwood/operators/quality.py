@@ -88,12 +88,13 @@ def heartbeat(spark: SparkSession) -> DataFrame:
     )
 
 
-def append_log(checks: DataFrame, log_dir: str) -> None:
-    checks.withColumn("check_timestamp", F.current_timestamp()).write.mode("append").parquet(log_dir)
+def write_log(checks: DataFrame, log_dir: str, run_id: str) -> None:
+    """One write per run, into a folder of the run's own: a run that is tried again replaces its rows."""
+    checks.withColumn("check_timestamp", F.current_timestamp()).write.mode("overwrite").parquet(f"{log_dir}/run={run_id}")
 
 
 def latest_log(spark: SparkSession, log_dir: str, limit: int = 50) -> DataFrame:
-    return spark.read.parquet(log_dir).orderBy(c("check_timestamp").desc()).limit(limit)
+    return spark.read.parquet(log_dir).drop("run").orderBy(c("check_timestamp").desc()).limit(limit)
 
 
 # -------------------------------------------------------------- validation

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from heartwood.operators import alerts, curated, enrich, governance, quality, routing, scoring, search, whatif
+from heartwood.operators.enrich import TEST_LEXICON
 from heartwood.plans import semantic
 from heartwood.plans.reports import REPORTS
 from heartwood.plans.tables import LAYERS, Tables, build
@@ -28,7 +29,7 @@ def tables_for(spark: SparkSession, sf_dir: str) -> Tables:
     """One mapping per session and folder, so that plans are analysed once."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _built:
-        _built[key] = build(spark, sf_dir)
+        _built[key] = build(spark, sf_dir, lexicon=TEST_LEXICON)
     return _built[key]
 
 
@@ -285,12 +286,13 @@ def campaign_log(t: Tables) -> DataFrame:
 
 
 def quality_log(t: Tables) -> DataFrame:
-    """All scheduled checks appended to one log, then its latest entries."""
+    """All scheduled checks written to one log as one run, then its latest entries."""
     log_dir = ingest.new_folder(t.spark, "quality")
     names = ("check_churn_completeness", "check_nba_completeness", "check_churn_range", "check_sentiment_range")
+    checks = quality.heartbeat(t.spark)
     for name in names:
-        quality.append_log(QUERIES[name](t), log_dir)
-    quality.append_log(quality.heartbeat(t.spark), log_dir)
+        checks = checks.unionByName(QUERIES[name](t))
+    quality.write_log(checks, log_dir, "first")
     return quality.latest_log(t.spark, log_dir).drop("check_timestamp")
 
 

@@ -764,6 +764,7 @@ def recent_complaint_high_churn(t: Tables, days: int = 30) -> DataFrame:
     complaints = t["clean_interactions"].filter(
         (c("interaction_type") == "Complaint") & (c("interaction_date") >= since)
     )
+    complaints = complaints.select("customer_id").distinct()  # one row per customer reaches the join
     return (
         t["churn_risk"]
         .filter(c("churn_risk_score") > 0.7)

@@ -78,7 +78,7 @@ class Tables:
         spark: SparkSession,
         sf_dir: str,
         as_of: datetime.date = AS_OF,
-        lexicon: enrich.Lexicon = enrich.TEST_LEXICON,
+        lexicon: enrich.Lexicon = enrich.DEFAULT_LEXICON,
     ) -> None:
         self.spark, self.sf_dir, self.as_of, self.lexicon = spark, sf_dir, as_of, lexicon
         self._planned: dict[str, DataFrame] = {}
@@ -97,7 +97,15 @@ class Tables:
         return self._planned[name]
 
     def __setitem__(self, name: str, frame: DataFrame) -> None:
-        """Use this frame for a table, such as your own raw data. Tables planned before are planned anew."""
+        """Use this frame for a table, such as your own raw data. Tables planned before are planned anew.
+
+        New raw data also replaces what was written or given for the tables derived from it.
+        """
+        if name in RAW_VIEWS:
+            self._given = {known: given for known, given in self._given.items() if known in RAW_VIEWS}
+        self._give(name, frame)
+
+    def _give(self, name: str, frame: DataFrame) -> None:
         self._given[name] = frame
         self._planned.clear()
 
@@ -107,8 +115,10 @@ class Tables:
         Later tables then start from the written ones instead of the raw layer.
         """
         for name in names:
-            self[name] = replace_table(self[name], f"{path.rstrip('/')}/{name}")
+            self._give(name, replace_table(self[name], f"{path.rstrip('/')}/{name}"))
 
 
-def build(spark: SparkSession, sf_dir: str, as_of: datetime.date = AS_OF) -> Tables:
-    return Tables(spark, sf_dir, as_of)
+def build(
+    spark: SparkSession, sf_dir: str, as_of: datetime.date = AS_OF, lexicon: enrich.Lexicon = enrich.DEFAULT_LEXICON
+) -> Tables:
+    return Tables(spark, sf_dir, as_of, lexicon)

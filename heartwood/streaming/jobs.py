@@ -25,7 +25,7 @@ def interaction_table(t: Tables, folder: str) -> r.BatchTable:
 
 
 def interaction_agg_table(t: Tables, folder: str) -> r.BatchTable:
-    return r.aggregate_table(f"{folder}/interaction_agg", t["interaction_agg"].schema)
+    return r.aggregate_table(f"{folder}/interaction_agg", t["interaction_agg"].drop("days_since_last_interaction").schema)
 
 
 def clean_step(table: r.BatchTable) -> r.OnBatch:
@@ -42,9 +42,9 @@ def stream_clean_interactions(t: Tables) -> DataFrame:
 def stream_interaction_agg(t: Tables) -> DataFrame:
     folder = new_folder(t.spark, "stream")
     table, aggregate = interaction_table(t, folder), interaction_agg_table(t, folder)
-    steps = clean_step(table), r.refresh_interaction_agg(table, aggregate, t.as_of)
+    steps = clean_step(table), r.refresh_interaction_agg(table, aggregate)
     r.run(given_stream(t, "events"), f"{folder}/checkpoint", *steps)
-    return r.current_aggregate(t.spark, aggregate, "total_interactions")
+    return r.current_interaction_agg(t.spark, aggregate, t.as_of)
 
 
 def stream_parse_failure(t: Tables) -> DataFrame:
@@ -56,8 +56,8 @@ def stream_parse_failure(t: Tables) -> DataFrame:
         return raw_model_output(batch).select("customer_id", fields["churn_risk_score"].alias("churn_risk_score"))
 
     schema = parsed(t.spark.createDataFrame([], SCHEMAS["customer"])).schema
-    table = r.BatchTable(f"{folder}/replies", schema, ("customer_id",), "churn_risk_score")
-    steps = r.refresh(table, parsed), r.refresh_parse_failure(table, "churn_risk_score", f"{folder}/rates")
+    table = r.BatchTable(f"{folder}/replies", schema, ("customer_id",), "batch", ("churn_risk_score",))
+    steps = r.refresh_arrivals(table, parsed), r.refresh_parse_failure(table, "churn_risk_score", f"{folder}/rates")
     r.run(given_stream(t, "customer"), f"{folder}/checkpoint", *steps)
     return r.latest_metric(t.spark, f"{folder}/rates")
 
@@ -69,7 +69,7 @@ def stream_alerts(t: Tables) -> DataFrame:
     alerts = r.aggregate_table(f"{folder}/alerts", alert_schema)
     steps = (
         clean_step(table),
-        r.refresh_interaction_agg(table, aggregate, t.as_of),
+        r.refresh_interaction_agg(table, aggregate),
         r.refresh_vip_alerts(aggregate, t["clean_customers"], alerts),
     )
     r.run(given_stream(t, "events"), f"{folder}/checkpoint", *steps)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from heartwood.functions.frames import dedup_latest
-from heartwood.operators.curated import interaction_agg
+from heartwood.operators.curated import days_since, interaction_sums
 from heartwood.operators.quality import parse_failure_rate
 
 OnBatch = Callable[[DataFrame, int], None]
@@ -103,16 +103,27 @@ def aggregate_table(path: str, schema: T.StructType) -> BatchTable:
     return BatchTable(path, schema, ("customer_id",), "batch")
 
 
-def refresh_interaction_agg(source: BatchTable, target: BatchTable, as_of: datetime.date) -> OnBatch:
+def refresh_arrivals(table: BatchTable, transform: Callable[[DataFrame], DataFrame]) -> OnBatch:
+    """Step for rows without a time of their own: the batch is their time, the table's tiebreak decides within it."""
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        rows = transform(batch).withColumn("batch", F.lit(batch_id).cast("bigint"))
+        table.append(table.latest(rows).drop("batch"), batch_id)
+
+    return step
+
+
+def refresh_interaction_agg(source: BatchTable, target: BatchTable) -> OnBatch:
     """Step: recompute the aggregate of the customers a batch touches, no others.
 
+    What depends on today is left out, so untouched customers do not grow stale; `current_interaction_agg` adds it.
     A customer left without rows is written with NULLs, which hides the earlier aggregate.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         customers = touched_customers(source, batch_id, spark)
-        fresh = interaction_agg(rows_of_customers(source, customers, spark), as_of)
+        fresh = interaction_sums(rows_of_customers(source, customers, spark))
         target.append(customers.join(fresh, "customer_id", "left"), batch_id)
 
     return step
@@ -122,6 +133,10 @@ def current_aggregate(spark: SparkSession, target: BatchTable, measure: str) ->
     return target.current(spark).filter(F.col(measure).isNotNull())
 
 
+def current_interaction_agg(spark: SparkSession, target: BatchTable, as_of: datetime.date) -> DataFrame:
+    return days_since(current_aggregate(spark, target, "total_interactions"), as_of)
+
+
 def refresh_parse_failure(table: BatchTable, name: str, log_dir: str) -> OnBatch:
     """Step: the failure rate of the whole table after each change."""
 
@@ -159,7 +174,7 @@ def logged(spark: SparkSession, log_dir: str, job: str, action: Callable[[], Non
     try:
         action()
     except Exception as error:
-        state, message = "FAILED", str(error)[:500]
+        state, message = "FAILED", str(error)
         raise
     finally:
         moment = [datetime.datetime.fromtimestamp(s) for s in (started, time.time())]

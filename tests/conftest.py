@@ -32,9 +32,10 @@ def sf_dir() -> str:
 
 @pytest.fixture(scope="session")
 def tables(spark, sf_dir):
+    from heartwood.operators.enrich import TEST_LEXICON
     from heartwood.plans.tables import build
 
-    return build(spark, sf_dir)
+    return build(spark, sf_dir, lexicon=TEST_LEXICON)
 
 
 @pytest.fixture

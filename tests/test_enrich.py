@@ -106,3 +106,9 @@ def test_routes(rows):
     turns = rows("conv_id, turn, role, text", values)
     assert [r.route for r in route_questions(turns).orderBy("conv_id").collect()] == [route for _, route in questions]
     assert route_questions(turns, ["Acme"]).filter("conv_id = 9").first().route == "other"
+
+
+def test_the_default_list_reads_plain_english(rows):
+    texts = "Thank you, that was quick and the agent was very helpful.", "I am frustrated, the claim was denied and the delay is unacceptable.", "It is with the office that was by the river."
+    found = {r.transcript_id: r.sentiment_label for r in enrich.transcript_sentiment(calls(rows, *texts), enrich.DEFAULT_LEXICON).collect()}
+    assert [found[k] for k in sorted(found)] == ["Positive", "Negative", "Neutral"]

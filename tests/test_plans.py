@@ -8,7 +8,7 @@ import pytest
 
 from heartwood.plans import semantic
 from heartwood.plans.reports import REPORTS, name_pattern
-from heartwood.session import work_dir
+from heartwood.session import own_work_dir, work_dir
 
 
 def plan(df) -> str:
@@ -104,10 +104,41 @@ def test_own_raw_data_takes_the_place_of_a_view(spark, sf_dir):
     assert own["customer_360_unified"].count() == 10 < everyone
 
 
+def test_new_raw_data_reaches_written_tables(spark, sf_dir, tmp_path):
+    from heartwood.plans.tables import build
+
+    own = build(spark, sf_dir)
+    own.write(str(tmp_path), ["clean_customers"])
+    own["raw_customers"] = own["raw_customers"].filter("customer_id < 10")
+    assert own["clean_customers"].count() == 10
+
+
 def test_work_folder_comes_from_the_session(spark):
     assert work_dir(spark) == spark.conf.get("spark.checkpoint.dir")
 
 
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    class Context:
+        master = "spark://host"
+        folder = None
+
+        def getCheckpointDir(self):
+            return self.folder
+
+        def setCheckpointDir(self, folder):
+            self.folder = folder
+
+    class Session:
+        sparkContext, conf = Context(), {}
+
+    own_work_dir(Session)
+    with pytest.raises(ValueError):
+        work_dir(Session)
+    Session.sparkContext.master = "local[2]"
+    own_work_dir(Session)
+    assert work_dir(Session) == Session.sparkContext.folder
+
+
 def test_a_hot_customer_is_split_in_the_document_join(spark):
     """A third of the documents name one customer: the adaptive join cuts that partition and keeps every row."""
     settings = {

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import datetime
+
 import pytest
 
-from heartwood.operators.curated import interaction_agg
+from heartwood.operators.curated import interaction_agg, interaction_sums
 from heartwood.operators.quality import run_history_summary
 from heartwood.plans.tables import AS_OF
 from heartwood.streaming import refresh as r
@@ -45,11 +47,11 @@ class Setup:
         self.spark, self.folder = spark, folder
         schema = spark.createDataFrame([], SCHEMA).schema
         self.table = r.BatchTable(f"{folder}/t", schema, ("interaction_id",), "created_at", ("customer_id",))
-        sample = interaction_agg(spark.createDataFrame([], SCHEMA), AS_OF)
+        sample = interaction_sums(spark.createDataFrame([], SCHEMA))
         self.aggregate = r.aggregate_table(f"{folder}/a", sample.schema)
         self.steps = (
             r.refresh(self.table, lambda batch: batch),
-            r.refresh_interaction_agg(self.table, self.aggregate, AS_OF),
+            r.refresh_interaction_agg(self.table, self.aggregate),
         )
 
     def land(self, batches):
@@ -67,7 +69,7 @@ class Setup:
         return sorted(self.table.current(self.spark).collect())
 
     def aggregates(self):
-        return sorted(r.current_aggregate(self.spark, self.aggregate, "total_interactions").collect())
+        return sorted(r.current_interaction_agg(self.spark, self.aggregate, AS_OF).collect())
 
 
 @pytest.fixture
@@ -142,6 +144,34 @@ def test_alerts_follow_the_aggregate(spark, setup, rows):
     assert current() == []
 
 
+def test_untouched_customers_age_with_today(spark, setup):
+    setup.land([[0], [4]]).run()
+    later = AS_OF + datetime.timedelta(days=30)
+    found = {x.customer_id: x for x in r.current_interaction_agg(spark, setup.aggregate, later).collect()}
+    everything = setup.table.current(spark)
+    assert sorted(found.values()) == sorted(interaction_agg(everything, later).collect())
+    assert len(found) == 2
+
+
+def test_a_mended_reply_replaces_a_failed_one(spark, tmp_path):
+    schema = spark.createDataFrame([], "customer_id BIGINT, score DOUBLE").schema
+    table = r.BatchTable(str(tmp_path / "replies"), schema, ("customer_id",), "batch", ("score",))
+    steps = r.refresh_arrivals(table, lambda batch: batch), r.refresh_parse_failure(table, "score", str(tmp_path / "rates"))
+    for number, (score, rate) in enumerate([(None, 100.0), (0.4, 0.0), (None, 100.0), (0.1, 0.0), (0.1, 0.0)]):
+        for step in steps:
+            step(spark.createDataFrame([(1, score)], schema), number)
+        assert r.latest_metric(spark, str(tmp_path / "rates")).first().failure_rate == rate
+
+
+def test_run_log_keeps_whole_messages(spark, tmp_path):
+    def fail():
+        raise ValueError("x" * 2000)
+
+    with pytest.raises(ValueError):
+        r.logged(spark, str(tmp_path / "runs"), "job", fail)
+    assert len(r.run_log(spark, str(tmp_path / "runs")).first().message) == 2000
+
+
 def test_run_log_keeps_failures(spark, tmp_path):
     folder = str(tmp_path / "runs")
     r.logged(spark, folder, "job", lambda: None)
