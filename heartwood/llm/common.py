@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import time
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from heartwood.session import work_dir
 
 
+#: Rows of an Arrow batch.
+BATCH_ROWS = 1000
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A folder of its own below the one all executors share."""
     return f"{work_dir(spark)}/{name}-{uuid4().hex}"
@@ -40,9 +46,30 @@ def free_shuffles(spark: SparkSession, pause: float = 0.0) -> None:
     time.sleep(pause)
 
 
-def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The two columns an operator reads, under names that no other column can clash with."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carried: list[str] | None = None) -> DataFrame:
+    """`doc_id`, `text`, and a struct `doc` of the carried columns, so that no other column can clash with them.
+
+    Rows go to Python and back in batches that hold few texts: documents are long, and each worker holds a batch
+    on its way in, the same one in work, and one on its way out.
+    """
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    columns = [F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")]
+    if carried is not None:
+        columns.append(F.struct(*[F.col(f"`{name}`") for name in carried]).alias("doc"))
+    return docs.select(*columns)
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """`mapInArrow`, giving memory back when a task ends: workers live on, and what they hold adds up beside the heap."""
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return df.mapInArrow(tidy, schema)
 
 
 def utf8(column: pa.Array) -> list[bytes]:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from heartwood.llm.common import free_shuffles, keep, texts, utf8
+from heartwood.llm.common import free_shuffles, keep, map_arrow, texts, utf8
 
 BLOCK_BYTES = 2 << 20
 #: Keys of a range that a task should hold.
@@ -47,10 +47,7 @@ def write_blocks(docs: DataFrame, id_col: str, text_col: str, in_order: bool, ca
     """Documents as kept blocks of about 2 MB, texts compressed. `in_order`: ascending by doc_id, then by a hash
     of the text, also across blocks. `carry`: with the whole rows but for the text, as an Arrow stream. Memory: a
     block, or the longest text if that is longer."""
-    rows = texts(docs, id_col, text_col)
-    if carry:
-        doc = F.struct(*[F.col(f"`{name}`") for name in docs.columns if name != text_col]).alias("doc")
-        rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"), doc)
+    rows = texts(docs, id_col, text_col, [name for name in docs.columns if name != text_col] if carry else None)
     if in_order:
         order = ["doc_id", F.xxhash64("text")]
         rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
@@ -85,7 +82,7 @@ def write_blocks(docs: DataFrame, id_col: str, text_col: str, in_order: bool, ca
             yield block()
 
     schema = "block long, ids array<long>, lengths array<long>, body binary, rest binary"
-    return keep(rows.mapInArrow(run, schema), "blocks")
+    return keep(map_arrow(rows, run, schema), "blocks")
 
 
 def stream(batches: list[pa.RecordBatch]) -> bytes:
@@ -273,7 +270,7 @@ def per_block(
                 for block in read_blocks(batch):
                     yield from run(block, [])
 
-        return blocks.mapInArrow(alone, schema)
+        return map_arrow(blocks, alone, schema)
     free_shuffles(blocks.sparkSession, pause=1.5)
     got = marks[0].withColumn("round", F.lit(0))
     for number, more in enumerate(marks[1:], 1):

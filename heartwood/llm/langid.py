@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from heartwood.llm.common import map_arrow, texts
+
 
 #: Units per direction and bytes that the state is carried over: texts are cut into windows of this length.
 HIDDEN, STEPS = 8, 64
@@ -198,7 +200,7 @@ def fold(id_col: str) -> Column:
     return F.crc32(F.col(id_col).cast("string")) % 4
 
 
-def tagged(docs: DataFrame, net: Network | None, carried: list[str], text_col: str = "text") -> DataFrame:
+def tagged(docs: DataFrame, net: Network | None, carried: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`doc` (a struct of the carried columns), `lang_pred`, `score` for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,9 +217,9 @@ def tagged(docs: DataFrame, net: Network | None, carried: list[str], text_col: s
                 names = [net.labels[k] if yes else UNKNOWN for k, yes in zip(best.tolist(), known, strict=True)]
                 yield pa.record_batch({"doc": part["doc"], "lang_pred": pa.array(names, pa.string()), "score": np.clip(score, 0, 1)})
 
-    rows = docs.select(F.struct(*[F.col(f"`{name}`") for name in carried]).alias("doc"), F.coalesce(text_col, F.lit("")).alias("text"))
+    rows = texts(docs, id_col, text_col, carried)
     schema = StructType([rows.schema["doc"], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-    return rows.mapInArrow(run, schema)
+    return map_arrow(rows, run, schema)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -232,7 +234,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     from. A null doc_id is not held out and not learnt from. Repeated rows get the same prediction. An empty
     table gives no rows; other columns are not read.
     """
-    found = tagged(docs, learn(docs, id_col, text_col, lang_col), [id_col], text_col)
+    found = tagged(docs, learn(docs, id_col, text_col, lang_col), [id_col], id_col, text_col)
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
     doc = F.col("doc")[id_col].cast("long").alias("doc_id")
     return found.select(doc, "lang_pred", "score").select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
@@ -247,6 +249,6 @@ def known_language(docs: DataFrame, least: float = 0.5, id_col: str = "doc_id",
     net = learn(docs, id_col, text_col, lang_col)
     if net is None:
         return docs
-    sure = tagged(docs, net, docs.columns, text_col).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
+    sure = tagged(docs, net, docs.columns, id_col, text_col).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
     filled = F.coalesce(F.col("doc")[lang_col], F.col("lang_pred")).alias(lang_col)
     return sure.select(*[filled if name == lang_col else F.col("doc")[name].alias(name) for name in docs.columns])

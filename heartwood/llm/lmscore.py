@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heartwood.llm.common import keep
+from heartwood.llm.common import keep, map_arrow
 from heartwood.llm.exchange import BYTE_VALUES, Block, decode, encode, per_block, prefix_sums, range_count, read_blocks, text_bytes, window_keys, write_blocks
 from heartwood.llm.substrings import words
 
@@ -114,7 +114,7 @@ def lm_scores(docs: DataFrame, order: int = 2, id_col: str = "doc_id", text_col:
         for batch in batches:
             yield pa.record_batch({"n": pa.array([sum(len(words(b)[0]) for b in read_blocks(batch))], pa.int64())})
 
-    all_words = blocks.mapInArrow(total, "n long").agg(F.sum("n")).first()[0] or 0
+    all_words = map_arrow(blocks, total, "n long").agg(F.sum("n")).first()[0] or 0
 
     def score(block: Block, back: list[dict[int, bytes]]) -> Iterator[pa.RecordBatch]:
         grams = Grams(block, order)

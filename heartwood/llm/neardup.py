@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heartwood.llm.common import binaries, group_starts, keep, whole_groups
+from heartwood.llm.common import binaries, group_starts, keep, map_arrow, whole_groups
 from heartwood.llm.components import components
 from heartwood.llm.tiles import comparable, spanning, tiled
 
@@ -56,7 +56,7 @@ def signatures(nodes: DataFrame, bits: int, tables: int) -> DataFrame:
                         }
                     )
 
-    return nodes.mapInArrow(run, "bucket long, slot int, node long, mult long, vec binary, sigs binary")
+    return map_arrow(nodes, run, "bucket long, slot int, node long, mult long, vec binary, sigs binary")
 
 
 def tile_links(table: pa.Table, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -127,7 +127,7 @@ def embedding_groups(
             yield pa.record_batch({"a": a, "links": n, "b": b})
 
     hashed = keep(signatures(nodes.select("node", "dim", "mult", "vec"), bits, tables), "signatures")
-    found = keep(tiled(hashed, "node").mapInArrow(verify, "a long, links long, b long"), "found")
+    found = keep(map_arrow(tiled(hashed, "node"), verify, "a long, links long, b long"), "found")
     drop_columns = nodes.select("node", "vec", "first", "mult")
     degree = found.groupBy("a").agg(F.sum("links").alias("links")).withColumnRenamed("a", "node")
     groups = components(found).withColumnsRenamed({"id": "node", "component": "root"})

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heartwood.llm.common import keep
+from heartwood.llm.common import keep, map_arrow
 from heartwood.llm.tokens import encoded, id_type
 
 #: Pieces that are packed with one another.
@@ -93,7 +93,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str =
             yield pa.record_batch({name: pa.array(columns[name], k) for name, k in zip(columns, kinds, strict=True)})
 
     schema = "doc_id long, piece int, start long, length long, ids binary, ids_crc32 long"
-    rows = encoded(docs, path, end_id, id_col, text_col).mapInArrow(cut, schema)
+    rows = map_arrow(encoded(docs, path, end_id, id_col, text_col), cut, schema)
     return keep(rows.select(F.monotonically_increasing_id().alias("row"), "*"), "pieces")
 
 

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from heartwood.llm.common import texts, utf8
+from heartwood.llm.common import map_arrow, texts, utf8
 from heartwood.llm.exchange import BYTE_VALUES, Block, covered, prefix_sums, window_keys
 from heartwood.llm.substrings import words
 
@@ -124,4 +124,4 @@ def repetition(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     schema = "doc_id long, " + ", ".join(f"{name} long" for name in names) + ", base_failed boolean, kept boolean"
     order = [*names[:5], "base_failed", "kept", *names[5:]]
-    return texts(docs, id_col, text_col).mapInArrow(run, schema).select("doc_id", *order)
+    return map_arrow(texts(docs, id_col, text_col), run, schema).select("doc_id", *order)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from heartwood.llm.common import group_starts, keep, texts, utf8, whole_groups
+from heartwood.llm.common import group_starts, keep, map_arrow, texts, utf8, whole_groups
 from heartwood.llm.components import components
 from heartwood.llm.tiles import comparable, spanning, tiled
 
@@ -48,7 +48,7 @@ def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_c
             fps = [fingerprint(text, words) for text in utf8(batch["text"])]
             yield pa.record_batch({"doc_id": batch["doc_id"], "fp": pa.array(fps, pa.int64())})
 
-    return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
+    return map_arrow(texts(docs, id_col, text_col), run, "doc_id long, fp long")
 
 
 def grid_rows(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -115,8 +115,9 @@ def links(fps: DataFrame, distance: int = 3) -> DataFrame:
             a, b = cell_links(table, distance)
             yield pa.record_batch({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    grid = keep(fps.select("fp").distinct().mapInArrow(cells, own_schema), "grid")
-    return tiled(grid, "fp").select("bucket", "tile", "side", "cross", "fp", "own").mapInArrow(verify, "a long, b long")
+    grid = keep(map_arrow(fps.select("fp").distinct(), cells, own_schema), "grid")
+    tiles = tiled(grid, "fp").select("bucket", "tile", "side", "cross", "fp", "own")
+    return map_arrow(tiles, verify, "a long, b long")
 
 
 def rooted(prints: DataFrame, distance: int) -> DataFrame:
@@ -156,10 +157,9 @@ def one_per_group(
             fps = [fingerprint(text, words) for text in utf8(batch["text"])]
             yield pa.record_batch({"doc": batch["doc"], "doc_id": batch["doc_id"], "fp": pa.array(fps, pa.int64())})
 
-    whole = F.struct(*[F.col(f"`{name}`") for name in docs.columns]).alias("doc")
-    rows = docs.select(whole, F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    rows = texts(docs, id_col, text_col, docs.columns)
     schema = StructType([rows.schema["doc"], StructField("doc_id", LongType()), StructField("fp", LongType())])
-    printed = keep(rows.mapInArrow(run, schema), "printed")
+    printed = keep(map_arrow(rows, run, schema), "printed")
     best = F.min(F.struct(F.col("first").isNull().alias("no_id"), "first", "fp")).alias("best")
     chosen = rooted(printed, distance).groupBy("root").agg(best).select("best.first", "best.fp")
     counts = printed.groupBy("fp", "doc_id").count().withColumnsRenamed({"doc_id": "first"})

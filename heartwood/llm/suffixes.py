@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from heartwood.llm.common import map_arrow
 from heartwood.llm.exchange import (
     BYTE_VALUES,
     PERIOD,
@@ -101,7 +102,7 @@ def borders_of(blocks: DataFrame) -> np.ndarray:
                 yield pa.record_batch({"lead": leading(block.body, np.sort(at)) if len(block.body) else np.zeros(0, np.int64)})
 
     shares = [k / 2**BUCKET_BITS for k in range(1, 2**BUCKET_BITS)]
-    found = blocks.mapInArrow(draw, "lead long").agg(F.percentile_approx("lead", shares, 1000)).first()[0]
+    found = map_arrow(blocks, draw, "lead long").agg(F.percentile_approx("lead", shares, 1000)).first()[0]
     return np.unique(np.array(found or [], np.int64))
 
 

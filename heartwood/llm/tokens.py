@@ -14,10 +14,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from heartwood.llm.common import keep, new_folder, texts
+from heartwood.llm.common import keep, map_arrow, new_folder, texts
 
 #: Pieces a task remembers the ids of; beyond that it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
+#: Pieces that are encoded in one call.
+TOGETHER = 4096
 #: Ids that are read back at a time.
 READ_IDS = 1 << 21
 NO_ID = np.iinfo(np.int64).min
@@ -69,7 +71,9 @@ class PieceEncoder:
             if len(self.ids) + len(new) > REMEMBERED:
                 self.ids.clear()
                 new = list({p for some in pieces for p in some})
-            self.ids.update(zip(new, self._encode(new), strict=True))
+            for low in range(0, len(new), TOGETHER):
+                some = new[low : low + TOGETHER]
+                self.ids.update(zip(some, self._encode(some), strict=True))
             look = self.ids.__getitem__
             for some in pieces:
                 yield b"".join(map(look, some))
@@ -87,7 +91,7 @@ def encoded(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", tex
             ids = [ids + end for ids in encoder.encode(batch["text"].to_pylist())]
             yield pa.record_batch({"doc_id": batch["doc_id"], "ids": pa.array(ids, pa.binary())})
 
-    return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids binary")
+    return map_arrow(texts(docs, id_col, text_col), run, "doc_id long, ids binary")
 
 
 def id_type(path: str) -> np.dtype:
@@ -149,7 +153,7 @@ def write_token_files(
             }
         )
 
-    shards = keep(rows.mapInArrow(write, "shard int, file string, docs long, tokens long, bytes_per_id int"), "shards")
+    shards = keep(map_arrow(rows, write, "shard int, file string, docs long, tokens long, bytes_per_id int"), "shards")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
     return keep(shards.withColumn("base", F.coalesce(F.sum("tokens").over(before), F.lit(0).cast("long"))), "shards")
 
@@ -190,4 +194,4 @@ def read_token_files(spark: SparkSession, shards: DataFrame) -> DataFrame:
                     first = last
 
     count = max(1, shards.count())
-    return shards.repartition(count, "shard").mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
+    return map_arrow(shards.repartition(count, "shard"), read, "doc_id long, start long, n_tokens long, ids binary")
