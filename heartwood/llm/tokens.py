@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Iterator
 from uuid import uuid4
 
@@ -17,7 +18,7 @@ from tokenizers import Tokenizer
 from heartwood.llm.common import keep, map_arrow, new_folder, texts
 
 #: Pieces a task remembers the ids of; beyond that it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 #: Pieces that are encoded in one call.
 TOGETHER = 4096
 #: Ids that are read back at a time.
@@ -31,6 +32,8 @@ SPACE_LED = re.compile(rf" ?[{_LETTERS}]+(?=[ .,\n]|\Z)|[.,](?=[ \n]|\Z)|\n(?=[{
 SPACE_FREE = re.compile(rf"[{_LETTERS}]+(?=[ .,\n]|\Z)|[.,](?=[ \n]|\Z)|\n(?=[{_LETTERS}])|[^ ]+")
 #: White space that a byte-level tokenizer reads as one run around a space: such texts are encoded in one go.
 WIDE_SPACE = re.compile(r"\s \s|\s \Z|  |\A |[\x1c-\x1f\x85]")
+#: Characters of which lower case may depend on more than the character, or on the library.
+BEYOND_LATIN = re.compile("[İ\u0250-\U0010ffff]")
 
 _loaded: dict[str, PieceEncoder] = {}
 
@@ -45,6 +48,7 @@ class PieceEncoder:
         self.ids: dict[str, bytes] = {}
         spaced = [self._encode([x])[0] for x in ("a b", "a", " b", "b")]
         self.free = spaced[0] == spaced[1] + spaced[3]
+        self.folds = self.free and self._encode(["A"]) == self._encode(["a"])
         self.led = not self.free and spaced[0] == spaced[1] + spaced[2]
 
     @staticmethod
@@ -54,11 +58,13 @@ class PieceEncoder:
         return _loaded[path]
 
     def _encode(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        kind = "H" if self.dtype.itemsize == 2 else "I"
+        found = (e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False))
+        return [struct.pack(f"<{len(ids)}{kind}", *ids) for ids in found]
 
     def split(self, text: str) -> list[str]:
         if self.free:
-            return SPACE_FREE.findall(text)
+            return SPACE_FREE.findall(text.lower() if self.folds and not BEYOND_LATIN.search(text) else text)
         if self.led and not WIDE_SPACE.search(text):
             return SPACE_LED.findall(text)
         return [text]
