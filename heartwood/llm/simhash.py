@@ -144,6 +144,19 @@ def simhash_groups(
     return prints.join(found, "fp").select("doc_id", "fp", "component_id")
 
 
+def one_each(printed: DataFrame, groups: DataFrame) -> DataFrame:
+    """Of each `root` of `groups` (`fp`, `first`, `root`) the `doc` of `printed` (`doc`, `doc_id`, `fp`) that stays."""
+    best = F.min(F.struct(F.col("first").isNull().alias("no_id"), "first", "fp")).alias("best")
+    chosen = groups.groupBy("root").agg(best).select("best.first", "best.fp")
+    counts = printed.groupBy("fp", "doc_id").count().withColumnsRenamed({"doc_id": "first"})
+    same = chosen["fp"].eqNullSafe(counts["fp"]) & chosen["first"].eqNullSafe(counts["first"])
+    chosen = keep(chosen.join(counts, same).select(chosen["fp"], chosen["first"], "count"), "chosen")
+    staying = printed.join(chosen, "fp").where(F.col("doc_id").eqNullSafe(F.col("first")))
+    single = staying.where(F.col("count") == 1).select("doc")
+    several = staying.where(F.col("count") > 1).groupBy("fp").agg(F.first("doc").alias("doc")).select("doc")
+    return single.unionByName(several).select("doc.*")
+
+
 def one_per_group(
     docs: DataFrame, words: int = 5, distance: int = 3, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -160,12 +173,4 @@ def one_per_group(
     rows = texts(docs, id_col, text_col, docs.columns)
     schema = StructType([rows.schema["doc"], StructField("doc_id", LongType()), StructField("fp", LongType())])
     printed = keep(map_arrow(rows, run, schema), "printed")
-    best = F.min(F.struct(F.col("first").isNull().alias("no_id"), "first", "fp")).alias("best")
-    chosen = rooted(printed, distance).groupBy("root").agg(best).select("best.first", "best.fp")
-    counts = printed.groupBy("fp", "doc_id").count().withColumnsRenamed({"doc_id": "first"})
-    same = chosen["fp"].eqNullSafe(counts["fp"]) & chosen["first"].eqNullSafe(counts["first"])
-    chosen = keep(chosen.join(counts, same).select(chosen["fp"], chosen["first"], "count"), "chosen")
-    staying = printed.join(chosen, "fp").where(F.col("doc_id").eqNullSafe(F.col("first")))
-    single = staying.where(F.col("count") == 1).select("doc")
-    several = staying.where(F.col("count") > 1).groupBy("fp").agg(F.first("doc").alias("doc")).select("doc")
-    return single.unionByName(several).select("doc.*")
+    return one_each(printed, rooted(printed, distance))
