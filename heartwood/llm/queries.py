@@ -49,7 +49,7 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scores(documents(spark, sf_dir), order=2)
+    return lm_scores(documents(spark, sf_dir), order=3)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
