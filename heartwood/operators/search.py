@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -127,3 +130,57 @@ def search_knn(embeddings: DataFrame, query_ids: Sequence[int], k: int = 10, at_
         )
     )
     return top_per_key(compared, ["query_id"], [F.col("similarity").desc_nulls_last(), F.col("vec_id").asc()], k, rank="rank")
+
+
+def _packed(rows: DataFrame, name: str, block: int) -> DataFrame:
+    """Blocks of at most ``block`` rows, each one pickle of ids, labels and vectors (None where a component is null)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, block):
+                part = batch.slice(at, block).sort_by("vec_id")
+                vectors = [None if v is None or None in v else np.array(v, float) for v in part["v"].to_pylist()]
+                yield pa.record_batch({name: pa.array([pickle.dumps((part["vec_id"].to_pylist(), part["label"].to_pylist(), vectors))], pa.binary())})
+
+    return rows.where("vec_id is not null").mapInArrow(run, f"{name} binary")
+
+
+def _nearest(rows: bytes, asked: bytes, k: int) -> Iterator[tuple]:
+    ids, labels, vectors = pickle.loads(rows)
+    query_ids, _, queries = pickle.loads(asked)
+    similarity, known = np.full((len(queries), len(ids)), -np.inf), np.zeros((len(queries), len(ids)), bool)
+    for dim in {len(v) for v in vectors if v is not None} & {len(q) for q in queries if q is not None}:
+        i, j = ([n for n, v in enumerate(side) if v is not None and len(v) == dim] for side in (queries, vectors))
+        q, v = (np.array([side[n] for n in at]) for side, at in ((queries, i), (vectors, j)))
+        with np.errstate(all="ignore"):
+            norms = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(v, axis=1)[None, :]
+            similarity[np.ix_(i, j)] = np.where(norms == 0, -np.inf, np.round(q @ v.T / norms, 6))
+        known[np.ix_(i, j)] = norms != 0
+    order = np.argsort(-np.where(np.isnan(similarity), np.inf, similarity), axis=1, kind="stable")  # rows come by id
+    for n, query in enumerate(query_ids):
+        best = [j for j in order[n].tolist() if ids[j] != query][:k]
+        yield from ((query, ids[j], labels[j], float(similarity[n, j]) if known[n, j] else None) for j in best)
+
+
+def search_knn_every(embeddings: DataFrame, step: int = 100, k: int = 10, block: int = 1000) -> DataFrame:
+    """Exact cosine neighbours of every vector whose id is divisible by ``step``, the query itself left out.
+
+    Results are as in ``search_knn``. Queries and rows stand in blocks of ``block``; each block of queries meets
+    each block of rows, and only the best ``k`` per query of such a pair are handed on.
+    """
+    vectors = F.col("embedding").cast("array<double>").alias("v")
+    chunks = _packed(embeddings.select("vec_id", "label", vectors), "rows", block)
+    wanted = embeddings.filter(F.col("vec_id") % step == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    asked = _packed(wanted.select("vec_id", F.lit(None).cast("int").alias("label"), vectors), "asked", block)
+    schema = "query_id long, vec_id long, label int, similarity double"
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("query_id", "vec_id", "label", "similarity")
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.float64())
+        for batch in batches:
+            for rows, queries in zip(batch["rows"].to_pylist(), batch["asked"].to_pylist(), strict=True):
+                found = list(zip(*_nearest(rows, queries, k), strict=True)) or [()] * 4
+                yield pa.record_batch([pa.array(c, kind) for c, kind in zip(found, kinds, strict=True)], names)
+
+    compared = chunks.crossJoin(asked).mapInArrow(compare, schema)
+    return top_per_key(compared, ["query_id"], [F.col("similarity").desc_nulls_last(), F.col("vec_id").asc()], k, rank="rank")

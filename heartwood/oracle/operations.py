@@ -83,6 +83,10 @@ ORACLES |= {
         SELECT query_id, vec_id, label, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC NULLS LAST, vec_id) AS rank
         FROM (SELECT q.vec_id AS query_id, e.vec_id, e.label, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS similarity
          FROM embeddings e JOIN embeddings q ON q.vec_id IN (0, 7, 42) AND e.vec_id <> q.vec_id) QUALIFY rank <= 10""",
+    "search_knn_every": """
+        SELECT query_id, vec_id, label, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC NULLS LAST, vec_id) AS rank
+        FROM (SELECT q.vec_id AS query_id, e.vec_id, e.label, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS similarity
+         FROM embeddings e JOIN embeddings q ON q.vec_id % 100 = 0 AND e.vec_id <> q.vec_id) QUALIFY rank <= 10""",
 }
 
 # ------------------------------------------------------------------ governance

@@ -121,6 +121,7 @@ QUERIES |= {
         & (F.col("event_date") >= F.lit("2024-01-10").cast("date")),
     ),
     "search_knn": lambda t: search.search_knn(load_table(t.spark, t.sf_dir, "embeddings"), QUERY_VECTORS, 10),
+    "search_knn_every": lambda t: search.search_knn_every(load_table(t.spark, t.sf_dir, "embeddings"), 100, 10),
 }
 
 # ------------------------------------------------------------------ governance

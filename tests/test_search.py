@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from heartwood.operators.search import search_bm25, search_knn
+from heartwood.operators.search import search_bm25, search_knn, search_knn_every
 from heartwood.sources.tables import load_table
 
 
@@ -85,3 +85,18 @@ def test_knn_in_passes_equals_one_pass(spark, sf_dir):
     embeddings = load_table(spark, sf_dir, "embeddings")
     ids = list(range(7))
     assert sorted(search_knn(embeddings, ids, 3, at_once=2).collect()) == sorted(search_knn(embeddings, ids, 3).collect())
+
+
+def test_every_hundredth_vector_is_asked(spark, sf_dir):
+    embeddings = load_table(spark, sf_dir, "embeddings")
+    ids = [r.vec_id for r in embeddings.where("vec_id % 100 = 0").collect()]
+    found = search_knn_every(embeddings, 100, 3, block=64).collect()
+    assert {r.query_id for r in found} == set(ids) and len(ids) > 3
+    assert sorted(found) == sorted(search_knn(embeddings, ids, 3).collect())
+
+
+def test_every_with_nulls_zeros_and_other_lengths(rows):
+    values = "(0L, array(1f, 0f), 0), (1L, array(0f, 0f), 1), (2L, NULL, 2), (3L, array(1f, 1f, 1f), 3), (4L, array(1f, 1f), NULL), (100L, array(0f, 1f), 5)"
+    df = rows("vec_id, embedding, label", values)
+    key = lambda r: (r.query_id, r["rank"])
+    assert sorted(search_knn_every(df, 100, 9).collect(), key=key) == sorted(search_knn(df, [0, 100], 9).collect(), key=key)
