@@ -44,7 +44,7 @@ def signatures(nodes: DataFrame, bits: int, tables: int) -> DataFrame:
                 sigs = (sides @ weights).astype("<i4")
                 rows = [row.tobytes() for row in sigs]
                 for table in range(tables):
-                    bucket = (sigs[:, table].astype(np.int64) * 256 + table) * 65_536 + dim
+                    bucket = (sigs[:, table].astype(np.int64) * 256 + table) * 2**31 + dim  # 24, 8 and 31 bits
                     yield pa.record_batch(
                         {
                             "bucket": bucket,
@@ -104,7 +104,7 @@ def embedding_groups(
     """
     values = F.col(vec_col).cast("array<double>")
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), values.alias("v"))
-    sound = F.size("v").between(1, 65_535) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    sound = (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     top = F.array_max(F.transform("v", F.abs))
     sound = F.coalesce(F.col("vec_id").isNotNull() & sound & (top > 0), F.lit(False))
     usable = keep(rows.select("vec_id", F.when(sound, F.col("v")).alias("v"), top.alias("top")), "vectors")
