@@ -179,11 +179,11 @@ def train(passages: list[bytes], labels: list[str], seed: int = 5) -> Network:
 
 
 def sample(docs: DataFrame, text_col: str, lang_col: str) -> tuple[list[bytes], list[str]]:
-    """PASSAGES passages of at most STEPS characters from each of SAMPLE documents per language, chosen by hash of the text."""
+    """PASSAGES passages of at most STEPS characters from each of SAMPLE texts per language, chosen by hash; copies count once."""
     usable = docs.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
     body, size = F.col(text_col), F.length(text_col)
     cuts = [F.substring(body, F.pmod(F.xxhash64(body, F.lit(k)), F.greatest(size - STEPS, F.lit(1))).cast("int") + 1, F.lit(STEPS)) for k in range(PASSAGES)]
-    rows = usable.select(F.col(lang_col).alias("lang"), F.xxhash64(body).alias("order"), F.array(*cuts).alias("cuts"))
+    rows = usable.select(F.col(lang_col).alias("lang"), F.xxhash64(body).alias("order"), F.array(*cuts).alias("cuts")).dropDuplicates(["lang", "order"])
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("order"))
     chosen = rows.withColumn("rank", rank).where(F.col("rank") <= SAMPLE).orderBy("lang", "order").select("lang", "cuts").collect()
     pairs = [(cut.encode(), row.lang) for row in chosen for cut in row.cuts if LETTER.search(cut)]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from heartwood.llm.langid import SAMPLE, sample
 from heartwood.llm.neardup import embedding_groups
 
 
@@ -12,3 +13,12 @@ def test_vectors_of_more_than_65535_components_link(spark):
     embedding = F.when(F.col("id") < 2, ones).otherwise(F.concat(F.array_repeat(F.lit(0.5), 5), F.array_repeat(F.lit(1.0), 69_995)))
     found = embedding_groups(spark.range(3).select(F.col("id").alias("vec_id"), embedding.alias("embedding"))).collect()
     assert sorted((r.vec_id, r.n_links, r.component_id) for r in found) == [(0, 2, 0), (1, 2, 0), (2, 2, 0)]
+
+
+def test_copies_do_not_fill_the_training_sample(spark):
+    letters = [chr(97 + k % 26) + chr(97 + k // 26) * 3 for k in range(600)]
+    docs = spark.createDataFrame([("en", text) for text in letters], "lang string, text string")
+    first = docs.orderBy(F.xxhash64("text")).first().text  # the copied text has the smallest hash
+    copies = spark.range(SAMPLE + 100).select(F.lit("en").alias("lang"), F.lit(first).alias("text"))
+    passages, labels = sample(docs.unionByName(copies), "text", "lang")
+    assert len(set(passages)) == SAMPLE and set(labels) == {"en"}
