@@ -17,11 +17,13 @@ from heartwood.llm.repetition import repetition
 from heartwood.llm.simhash import simhash_groups
 from heartwood.llm.substrings import drop_shared_windows
 from heartwood.llm.suffixes import drop_repeated_substrings
+from heartwood.llm.tokencount import token_counts
 from heartwood.llm.tokens import read_token_files, write_token_files
 
 #: Where the tokenizers' files lie, and the ids that end a document in each.
 BYTE_BPE, BYTE_END = "byte_bpe_50k.json", 2
 WORD_BPE, WORD_END = "word_bpe_49k.json", 0
+PIECES = "piece_bpe_32k.model"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,6 +77,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(documents(spark, sf_dir), public_tokenizers.path(PIECES), limit=4096)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_embedding_neardup,
@@ -87,6 +93,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_mix,
         op9_token_files,
         op10_packing,
+        op12_token_counts,
     )
     return {query.__name__: query for query in every}
 
