@@ -8,6 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from heartwood.llm.dialogues import damage, repair
+from heartwood.llm.importance import importance_sample
 from heartwood.llm.langid import identify
 from heartwood.llm.lmscore import lm_scores
 from heartwood.llm.mixing import mix
@@ -77,10 +79,20 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reports, _ = repair(damage(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+    return reports
+
+
 def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), public_tokenizers.path(PIECES), limit=4096)
 
 
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return importance_sample(documents(spark, sf_dir), benchmark, percent=25, least_words=20, buckets=10_000, seed=7)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_embedding_neardup,
@@ -93,7 +105,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_mix,
         op9_token_files,
         op10_packing,
+        op11_conversation_repair,
         op12_token_counts,
+        op13_importance_resampling,
     )
     return {query.__name__: query for query in every}
 
