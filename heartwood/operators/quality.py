@@ -416,5 +416,7 @@ def run_history_summary(runs: DataFrame) -> DataFrame:
         F.count("*").alias("runs"),
         count_when(c("state") == "SUCCEEDED").alias("succeeded"),
         count_when(c("state") == "FAILED").alias("failed"),
+        F.sum("rows_read").alias("rows_read"),
+        F.sum("rows_written").alias("rows_written"),
         F.round(F.avg(seconds), 1).alias("avg_seconds"),
     )

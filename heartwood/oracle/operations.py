@@ -393,7 +393,17 @@ ORACLES |= {
     "stream_alerts": """
         SELECT a.customer_id, c.customer_segment, a.complaint_count FROM interaction_agg a JOIN clean_customers c ON a.customer_id = c.customer_id
         WHERE c.customer_segment IN ('VIP', 'Premium') AND a.complaint_count >= 3""",
+    "run_history_summary": """
+        SELECT unnest(['refresh_interactions', 'refresh_parse_failure']) AS job, CAST(1 AS BIGINT) AS runs, CAST(1 AS BIGINT) AS succeeded,
+         CAST(0 AS BIGINT) AS failed, unnest([(SELECT count(*) FROM events), (SELECT count(*) FROM customer)]) AS rows_read,
+         unnest([(SELECT count(*) FROM clean_interactions), (SELECT count(DISTINCT c_custkey) FROM customer)]) AS rows_written""",
+    "run_list": """
+        SELECT unnest(['refresh_interactions', 'refresh_parse_failure']) AS job, 'SUCCEEDED' AS state, CAST(NULL AS VARCHAR) AS message,
+         CAST(1 AS BIGINT) AS batches, unnest([(SELECT count(*) FROM events), (SELECT count(*) FROM customer)]) AS rows_read,
+         unnest([(SELECT count(*) FROM clean_interactions), (SELECT count(DISTINCT c_custkey) FROM customer)]) AS rows_written,
+         unnest([(SELECT count(*) FROM clean_interactions), (SELECT count(DISTINCT c_custkey) FROM customer)]) AS rows_changed""",
 }
+ORACLES["stream_alert_events"] = f"SELECT *, 'raised' AS state FROM ({ORACLES['stream_alerts']})"
 
 ORACLES |= {
     "campaign_log": f"SELECT customer_id, full_name, action_type, status AS email_status FROM ({CAMPAIGN})",

@@ -271,6 +271,7 @@ QUERIES |= {
         t["churn_risk"], t["next_best_action"], t["document_extracted"]
     ),
     "run_history_summary": jobs.run_history,
+    "run_list": jobs.run_list,
 }
 
 # -------------------------------------------------- alerts, campaign, semantics
@@ -372,6 +373,7 @@ QUERIES |= {
     "stream_interaction_agg": jobs.stream_interaction_agg,
     "stream_parse_failure": jobs.stream_parse_failure,
     "stream_alerts": jobs.stream_alerts,
+    "stream_alert_events": jobs.stream_alert_events,
 }
 
 

@@ -176,7 +176,7 @@ def raw_documents(documents: DataFrame) -> DataFrame:
     )
 
 
-def raw_model_output(customer: DataFrame) -> DataFrame:
+def raw_model_output(customer: DataFrame, *carried: str) -> DataFrame:
     """Stands for the text a hosted model returns: fenced JSON, refusals, broken JSON."""
     reply = (
         "concat('```json\n{\"churn_risk_score\": ', CAST((c_custkey % 101) * 0.01 AS DECIMAL(4,2)),"
@@ -186,6 +186,7 @@ def raw_model_output(customer: DataFrame) -> DataFrame:
         "c_custkey AS customer_id",
         "CASE WHEN c_custkey % 17 = 0 THEN 'I cannot answer'"
         f" WHEN c_custkey % 19 = 0 THEN '{{\"churn_risk_score\": }}' ELSE {reply} END AS raw_text",
+        *carried,
     )
 
 

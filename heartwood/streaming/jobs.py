@@ -12,73 +12,105 @@ from heartwood.plans.tables import Tables
 from heartwood.sources.ingest import new_folder
 from heartwood.sources.raw import raw_interactions, raw_model_output
 from heartwood.sources.tables import SCHEMAS
+from heartwood.streaming import history
 from heartwood.streaming import refresh as r
+from heartwood.streaming.store import VersionedTable
 
 
 def given_stream(t: Tables, name: str) -> DataFrame:
     return r.file_stream(t.spark, t.sf_dir, SCHEMAS[name], pattern=f"{name}.parquet")
 
 
-def interaction_table(t: Tables, folder: str) -> r.BatchTable:
-    schema = t["clean_interactions"].schema
-    return r.BatchTable(f"{folder}/interactions", schema, ("interaction_id",), "created_at", ("customer_id",))
+def interaction_table(t: Tables, folder: str) -> VersionedTable:
+    return r.latest_table(f"{folder}/interactions", t["clean_interactions"].schema, ("interaction_id",))
 
 
-def interaction_agg_table(t: Tables, folder: str) -> r.BatchTable:
-    return r.aggregate_table(f"{folder}/interaction_agg", t["interaction_agg"].drop("days_since_last_interaction").schema)
+def clean_step(table: VersionedTable) -> r.OnBatch:
+    return r.refresh(table, lambda batch: normalise_interactions(raw_interactions(batch)), ("created_at", "customer_id"))
 
 
-def clean_step(table: r.BatchTable) -> r.OnBatch:
-    return r.refresh(table, lambda batch: normalise_interactions(raw_interactions(batch)))
+def refresh_interactions(t: Tables, folder: str) -> VersionedTable:
+    table = interaction_table(t, folder)
+    r.run(given_stream(t, "events"), f"{folder}/checkpoint", clean_step(table))
+    return table
 
 
 def stream_clean_interactions(t: Tables) -> DataFrame:
-    folder = new_folder(t.spark, "stream")
-    table = interaction_table(t, folder)
-    r.run(given_stream(t, "events"), f"{folder}/checkpoint", clean_step(table))
-    return table.current(t.spark)
+    return refresh_interactions(t, new_folder(t.spark, "stream")).read(t.spark)
 
 
 def stream_interaction_agg(t: Tables) -> DataFrame:
     folder = new_folder(t.spark, "stream")
-    table, aggregate = interaction_table(t, folder), interaction_agg_table(t, folder)
-    steps = clean_step(table), r.refresh_interaction_agg(table, aggregate)
+    table, sums = interaction_table(t, folder), r.channel_table(f"{folder}/channel_sums")
+    steps = clean_step(table), r.refresh_interaction_agg(table, sums)
     r.run(given_stream(t, "events"), f"{folder}/checkpoint", *steps)
-    return r.current_interaction_agg(t.spark, aggregate, t.as_of)
+    return r.current_interaction_agg(t.spark, sums, t.as_of)
+
+
+def parsed_replies(batch: DataFrame) -> DataFrame:
+    score = parse_model_json(F.col("raw_text"), CHURN_FIELDS)["churn_risk_score"]
+    return raw_model_output(batch, *r.ARRIVAL).select("customer_id", score.alias("churn_risk_score"), *r.ARRIVAL)
+
+
+def reply_table(t: Tables, folder: str) -> VersionedTable:
+    schema = "customer_id bigint, churn_risk_score double, arrived_at timestamp, arrived_in string, arrived_as bigint"
+    return r.latest_table(f"{folder}/replies", r.T.StructType.fromDDL(schema), ("customer_id",))
+
+
+def refresh_replies(t: Tables, folder: str) -> VersionedTable:
+    table = reply_table(t, folder)
+    steps = r.refresh(table, parsed_replies, r.ARRIVAL), r.refresh_parse_failure(table, "churn_risk_score", f"{folder}/rates")
+    r.run(r.with_arrival(given_stream(t, "customer")), f"{folder}/checkpoint", *steps)
+    return table
 
 
 def stream_parse_failure(t: Tables) -> DataFrame:
     """Model replies as they arrive; the failure rate of all replies after the last change."""
     folder = new_folder(t.spark, "stream")
-
-    def parsed(batch: DataFrame) -> DataFrame:
-        fields = parse_model_json(F.col("raw_text"), CHURN_FIELDS)
-        return raw_model_output(batch).select("customer_id", fields["churn_risk_score"].alias("churn_risk_score"))
-
-    schema = parsed(t.spark.createDataFrame([], SCHEMAS["customer"])).schema
-    table = r.BatchTable(f"{folder}/replies", schema, ("customer_id",), "batch", ("churn_risk_score",))
-    steps = r.refresh_arrivals(table, parsed), r.refresh_parse_failure(table, "churn_risk_score", f"{folder}/rates")
-    r.run(given_stream(t, "customer"), f"{folder}/checkpoint", *steps)
+    refresh_replies(t, folder)
     return r.latest_metric(t.spark, f"{folder}/rates")
 
 
-def stream_alerts(t: Tables) -> DataFrame:
-    folder = new_folder(t.spark, "stream")
-    table, aggregate = interaction_table(t, folder), interaction_agg_table(t, folder)
-    alert_schema = t["customer_360_unified"].select("customer_id", "customer_segment", "complaint_count").schema
-    alerts = r.aggregate_table(f"{folder}/alerts", alert_schema)
+def refresh_alerts(t: Tables, folder: str) -> VersionedTable:
+    table, sums = interaction_table(t, folder), r.channel_table(f"{folder}/channel_sums")
+    alerts = r.alert_table(f"{folder}/alerts")
     steps = (
         clean_step(table),
-        r.refresh_interaction_agg(table, aggregate),
-        r.refresh_vip_alerts(aggregate, t["clean_customers"], alerts),
+        r.refresh_interaction_agg(table, sums),
+        r.refresh_vip_alerts(sums, t["clean_customers"], alerts, f"{folder}/events"),
     )
     r.run(given_stream(t, "events"), f"{folder}/checkpoint", *steps)
-    return r.current_aggregate(t.spark, alerts, "complaint_count")
+    return alerts
+
+
+def stream_alerts(t: Tables) -> DataFrame:
+    return r.current_alerts(t.spark, refresh_alerts(t, new_folder(t.spark, "stream")))
+
+
+def stream_alert_events(t: Tables) -> DataFrame:
+    """The crossings of the line as they were sent; over one batch each standing alert has crossed it once."""
+    folder = new_folder(t.spark, "stream")
+    refresh_alerts(t, folder)
+    return r.alert_events(t.spark, f"{folder}/events").drop("batch")
+
+
+def run_log(t: Tables) -> DataFrame:
+    """Two refresh jobs over the given tables, and the log they leave."""
+    log_dir, folder = new_folder(t.spark, "runs"), new_folder(t.spark, "stream")
+    jobs = {
+        "refresh_interactions": (refresh_interactions, interaction_table),
+        "refresh_parse_failure": (refresh_replies, reply_table),
+    }
+    for name, (job, table) in jobs.items():
+        own = f"{folder}/{name}"
+        history.logged(t.spark, log_dir, name, lambda job=job, own=own: job(t, own), [table(t, own)])
+    return history.run_log(t.spark, log_dir)
 
 
 def run_history(t: Tables) -> DataFrame:
-    """Two refresh jobs over the given tables, and the summary of their run log."""
-    log_dir = new_folder(t.spark, "runs")
-    r.logged(t.spark, log_dir, "refresh_interactions", lambda: stream_clean_interactions(t) and None)
-    r.logged(t.spark, log_dir, "refresh_parse_failure", lambda: stream_parse_failure(t) and None)
-    return run_history_summary(r.run_log(t.spark, log_dir))
+    return run_history_summary(run_log(t)).drop("avg_seconds")
+
+
+def run_list(t: Tables) -> DataFrame:
+    """The list of runs without its times."""
+    return history.recent_runs(run_log(t)).select("job", "state", "message", "batches", "rows_read", "rows_written", "rows_changed")

@@ -22,7 +22,7 @@ def test_every_oracle_belongs_to_a_query():
     assert set(QUERIES) <= set(entry.queries())
     assert set(ORACLES) <= set(entry.oracle_sql()) <= set(entry.queries())
     assert set(ORACLES) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLES) == {"run_history_summary"}
+    assert set(QUERIES) == set(ORACLES)
 
 
 @pytest.mark.parametrize("key", sorted(ORACLES))
@@ -30,14 +30,6 @@ def test_query_equals_its_oracle(spark, sf_dir, duck, key):
     assert difference(QUERIES[key](spark, sf_dir), duck, ORACLES[key]) is None
 
 
-def test_run_history(spark, sf_dir):
-    found = QUERIES["run_history_summary"](spark, sf_dir).collect()
-    assert sorted((r.job, r.runs, r.succeeded, r.failed) for r in found) == [
-        ("refresh_interactions", 1, 1, 0),
-        ("refresh_parse_failure", 1, 1, 0),
-    ]
-
-
 def test_entry_is_one_row_per_customer(spark):
     df = entry.entry(spark)
     assert len(df.columns) == 52
