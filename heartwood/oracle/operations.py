@@ -60,7 +60,10 @@ ORACLES |= {
 # ---------------------------------------------------------------------- search
 
 
-def bm25(where: str) -> str:
+ASKED = "(VALUES ('renewal', 'the error request and note'), ('dispute', 'was it with that signup'), ('rare', 'zu den kindern purchase')) v(query_id, t)"
+
+
+def bm25(where: str, asked: str = ASKED) -> str:
     return f"""
         SELECT query_id, document_key, customer_id, source_type, channel, event_date, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_key) AS rank
         FROM (SELECT q.query_id, d.document_key, any_value(d.customer_id) AS customer_id, any_value(d.source_type) AS source_type, any_value(d.channel) AS channel,
@@ -68,7 +71,7 @@ def bm25(where: str) -> str:
           round(sum(ln(1 + (s.n - f.df + CAST(0.5 AS DOUBLE)) / (f.df + CAST(0.5 AS DOUBLE))) * p.tf * CAST(2.2 AS DOUBLE)
            / (p.tf + CAST(1.2 AS DOUBLE) * (CAST(0.25 AS DOUBLE) + CAST(0.75 AS DOUBLE) * d.len / (s.total / s.n)))), 6) AS score
          FROM (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(t), '[a-z]+')) AS term
-           FROM (VALUES ('renewal', 'the error request and note'), ('dispute', 'was it with that signup'), ('rare', 'zu den kindern purchase')) v(query_id, t)) q
+           FROM {asked}) q
          JOIN (SELECT document_key, term, CAST(count(*) AS DOUBLE) AS tf FROM (SELECT document_key, unnest(words) AS term FROM docs) GROUP BY ALL) p ON q.term = p.term
          JOIN (SELECT term, CAST(count(DISTINCT document_key) AS DOUBLE) AS df FROM (SELECT document_key, unnest(words) AS term FROM docs) GROUP BY ALL) f ON q.term = f.term
          JOIN (SELECT *, len(words) AS len FROM docs) d ON p.document_key = d.document_key
@@ -78,6 +81,7 @@ def bm25(where: str) -> str:
 
 ORACLES |= {
     "search_bm25": bm25("true"),
+    "search_bm25_index": bm25("true", "(SELECT item_id AS query_id, text AS t FROM benchmark)"),
     "search_bm25_filtered": bm25("d.source_type = 'interaction_note' AND d.channel IN ('Chat', 'Web') AND d.event_date >= DATE '2024-01-10'"),
     "search_knn": """
         SELECT query_id, vec_id, label, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC NULLS LAST, vec_id) AS rank
@@ -89,6 +93,8 @@ ORACLES |= {
          FROM embeddings e JOIN embeddings q ON q.vec_id % 100 = 0 AND e.vec_id <> q.vec_id) QUALIFY rank <= 10""",
 }
 
+ORACLES["search_knn_pivots"] = ORACLES["search_knn_every"]
+
 # ------------------------------------------------------------------ governance
 ORACLES |= {
     "mask_email": r"SELECT customer_id, regexp_replace(email, '(^[^@]{2})[^@]*(@.*)', '\1***\2', 'g') AS email, email AS email_privileged FROM clean_customers",

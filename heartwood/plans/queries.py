@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 
 from heartwood.operators import alerts, curated, enrich, governance, quality, routing, scoring, search, whatif
 from heartwood.operators.enrich import TEST_LEXICON
+from heartwood.operators.text_index import TextIndex
+from heartwood.operators.vector_index import VectorIndex
 from heartwood.plans import semantic
 from heartwood.plans.reports import REPORTS
 from heartwood.plans.tables import LAYERS, Tables, build
@@ -110,7 +112,26 @@ QUERIES |= {
 SEARCHES = {"renewal": "the error request and note", "dispute": "was it with that signup", "rare": "zu den kindern purchase"}
 QUERY_VECTORS = (0, 7, 42)
 
+
+
+def search_bm25_index(t: Tables) -> DataFrame:
+    """Every benchmark text asked of a stored index of the corpus, in one call."""
+    index = TextIndex.build(t["search_corpus"], ingest.new_folder(t.spark, "text-index"), buckets=16)
+    asked = load_table(t.spark, t.sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return index.search(asked, 10)
+
+
+def search_knn_pivots(t: Tables) -> DataFrame:
+    """Every vector whose id is divisible by 100, asked of a stored index around pivots."""
+    embeddings = load_table(t.spark, t.sf_dir, "embeddings")
+    index = VectorIndex.build(embeddings, ingest.new_folder(t.spark, "vector-index"))
+    asked = embeddings.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return index.search(asked, 10)[0]
+
+
 QUERIES |= {
+    "search_bm25_index": search_bm25_index,
+    "search_knn_pivots": search_knn_pivots,
     "search_bm25": lambda t: search.search_bm25(t["search_corpus"], SEARCHES, 10),
     "search_bm25_filtered": lambda t: search.search_bm25(
         t["search_corpus"],

@@ -15,6 +15,7 @@ SCHEMAS = {
     "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING",
     "conversations": "conv_id BIGINT, turn BIGINT, role STRING, text STRING",
     "documents": "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT",
+    "benchmark": "item_id BIGINT, text STRING",
     "embeddings": "vec_id BIGINT, embedding ARRAY<FLOAT>, label INT",
 }
 

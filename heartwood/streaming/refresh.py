@@ -141,11 +141,13 @@ def merge_deltas(rows: Callable[[], DataFrame], held: int, cached: list[DataFram
         per_date = dates.unionByName(changed).groupBy(*keys, "at").agg(F.sum("n").alias("n")).filter("n > 0")
         merged = _left(totals, _newest_dates(per_date, held), "newest")
         above = F.coalesce(F.filter("newest", lambda d: F.col("floor").isNull() | (d["at"] > F.col("floor"))), F.array())
-        merged = merged.withColumn("newest", above).persist()
-        cached.append(merged)
-        dry = merged.filter((F.col("n") > 0) & F.col("floor").isNotNull() & (F.size("newest") == 0)).select(*keys)
-        if not dry.isEmpty():
-            merged = _refilled(merged, dry, rows(), held)
+        merged = merged.withColumn("newest", above)
+        if not stored.filter("floor IS NOT NULL").isEmpty():  # only these can run dry
+            merged = merged.persist()
+            cached.append(merged)
+            dry = merged.filter((F.col("n") > 0) & F.col("floor").isNotNull() & (F.size("newest") == 0)).select(*keys)
+            if not dry.isEmpty():
+                merged = _refilled(merged, dry, rows(), held)
         too_many = F.size("newest") > held
         return merged.select(
             *keys,
