@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import re
-import struct
 from collections.abc import Iterator
 from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -17,10 +17,10 @@ from tokenizers import Tokenizer
 
 from heartwood.llm.common import keep, map_arrow, new_folder, texts
 
-#: Pieces a task remembers the ids of; beyond that it starts anew.
-REMEMBERED = 600_000
-#: Pieces that are encoded in one call.
-TOGETHER = 4096
+#: Pieces a worker remembers the ids of; beyond that the half met last goes, as frequent pieces are met early.
+REMEMBERED = 1_000_000
+#: Pieces that are encoded in one call, and characters of texts that are cut together.
+TOGETHER, TOGETHER_CHARS = 4096, 1 << 22
 #: Ids that are read back at a time.
 READ_IDS = 1 << 21
 NO_ID = np.iinfo(np.int64).min
@@ -43,7 +43,9 @@ class PieceEncoder:
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        special = [re.escape(token.content) for token in self.tokenizer.get_added_tokens_decoder().values() if token.content]
+        # A special token inside a text ends what stands before it: such texts are encoded in one go.
+        self.special = re.compile("|".join(special) or r"(?!)", re.IGNORECASE)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.ids: dict[str, bytes] = {}
         spaced = [self._encode([x])[0] for x in ("a b", "a", " b", "b")]
@@ -58,31 +60,87 @@ class PieceEncoder:
         return _loaded[path]
 
     def _encode(self, pieces: list[str]) -> list[bytes]:
-        kind = "H" if self.dtype.itemsize == 2 else "I"
-        found = (e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False))
-        return [struct.pack(f"<{len(ids)}{kind}", *ids) for ids in found]
-
-    def split(self, text: str) -> list[str]:
-        if self.free:
-            return SPACE_FREE.findall(text.lower() if self.folds and not BEYOND_LATIN.search(text) else text)
-        if self.led and not WIDE_SPACE.search(text):
-            return SPACE_LED.findall(text)
-        return [text]
+        """The ids of pieces that are encoded each by itself, in one call."""
+        found = self.tokenizer.encode(pieces, is_pretokenized=True, add_special_tokens=False)
+        cuts = np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(pieces) + 1)) * self.dtype.itemsize
+        raw = np.array(found.ids, self.dtype).tobytes()
+        return [raw[low:high] for low, high in zip(cuts.tolist(), cuts[1:].tolist(), strict=False)]
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def _in_one_go(self, text: str) -> bool:
+        if not (self.free or self.led) or self.special.search(text):
+            return True
+        return self.led and WIDE_SPACE.search(text) is not None
+
+    def _of_words(self, words: list[str]) -> list[bytes]:
+        """The ids of words between spaces (with the one before them, if it counts): of their pieces, one by one."""
+        known, pattern = self.ids, SPACE_FREE if self.free else SPACE_LED
+        if len(known) + len(words) > REMEMBERED:
+            for piece in list(known)[REMEMBERED // 2 :]:
+                del known[piece]
+        found = list(map(known.get, words))
+        missing = [at for at, ids in enumerate(found) if ids is None]
+        pieces = [pattern.findall(words[at]) for at in missing]
+        new = list({p for some in pieces for p in some if p not in known})
+        fresh = {}
+        for low in range(0, len(new), TOGETHER):
+            some = new[low : low + TOGETHER]
+            fresh.update(zip(some, self._encode(some), strict=True))
+        known.update(fresh)
+        look = known.__getitem__
+        for at, some in zip(missing, pieces, strict=True):
+            found[at] = known[words[at]] = b"".join(map(look, some))
+        return found
 
     def encode(self, batch: list[str]) -> Iterator[bytes]:
-        """The ids of each text, as little-endian integers of `dtype`."""
-        for at in range(0, len(batch), 256):
-            pieces = [self.split(text) for text in batch[at : at + 256]]
-            new = list({p for some in pieces for p in some if p not in self.ids})
-            if len(self.ids) + len(new) > REMEMBERED:
-                self.ids.clear()
-                new = list({p for some in pieces for p in some})
-            for low in range(0, len(new), TOGETHER):
-                some = new[low : low + TOGETHER]
-                self.ids.update(zip(some, self._encode(some), strict=True))
-            look = self.ids.__getitem__
-            for some in pieces:
-                yield b"".join(map(look, some))
+        """The ids of each text, as little-endian integers of `dtype`.
+
+        Texts are cut at spaces; each distinct word of a batch is looked up once, and the ids are gathered by its
+        number.
+        """
+        out: list[bytes] = [b""] * len(batch)
+        cut = []
+        for at, text in enumerate(batch):
+            if self._in_one_go(text):
+                out[at] = self._whole(text)
+            elif text:
+                cut.append(at)
+        low = 0
+        while low < len(cut):
+            high, size = low, 0
+            while high < len(cut) and (high == low or size + len(batch[cut[high]]) <= TOGETHER_CHARS):
+                size += len(batch[cut[high]])
+                high += 1
+            some = cut[low:high]
+            for at, ids in zip(some, self._gathered([batch[at] for at in some]), strict=True):
+                out[at] = ids
+            low = high
+        yield from out
+
+    def _gathered(self, texts: list[str]) -> Iterator[bytes]:
+        if self.folds:
+            texts = [text if BEYOND_LATIN.search(text) else text.lower() for text in texts]
+        words = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        ends = words.offsets.to_numpy()
+        flat = words.flatten().dictionary_encode()
+        distinct, codes = flat.dictionary.to_pylist(), flat.indices.to_numpy().astype(np.int64)
+        if self.led:  # the first word of a text has no space before it
+            firsts = flat.take(pa.array(ends[:-1])).to_pylist()
+            codes[ends[:-1]] = np.arange(len(firsts)) + len(distinct)
+            distinct = [" " + word for word in distinct] + firsts
+        found = self._of_words(distinct)
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
+        starts = np.cumsum(lengths) - lengths
+        ids = np.frombuffer(b"".join(found), self.dtype)
+        taken = lengths[codes]
+        places = np.cumsum(taken)
+        picked = ids[np.repeat(starts[codes] - (places - taken), taken) + np.arange(int(places[-1]))] if len(places) else ids[:0]
+        edges = np.concatenate(([0], places))[ends] * self.dtype.itemsize
+        raw = picked.tobytes()
+        for low, high in zip(edges.tolist(), edges[1:].tolist(), strict=False):
+            yield raw[low:high]
 
 
 def encoded(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -30,7 +30,6 @@ BYTE, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.pat
 
 def encode(path, text):
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     return tokenizer.encode(text, add_special_tokens=False).ids
 
 
