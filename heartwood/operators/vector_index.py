@@ -37,7 +37,7 @@ def _sound(vectors: list) -> tuple[np.ndarray, np.ndarray]:
     lengths = {len(v) for v, ok in zip(vectors, usable, strict=True) if ok}
     if len(lengths) > 1:
         raise ValueError(f"vectors of several lengths: {sorted(lengths)}")
-    rows = np.array([v for v, ok in zip(vectors, usable, strict=True) if ok], float).reshape(sum(usable), -1)
+    rows = np.array([v for v, ok in zip(vectors, usable, strict=True) if ok], float).reshape(sum(usable), max(lengths, default=0))
     fine = np.isfinite(rows).all(axis=1) & (np.abs(rows).max(axis=1, initial=0) > 0)
     at = np.flatnonzero(usable)[fine]
     return at, rows[fine]
