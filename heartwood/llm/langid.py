@@ -22,7 +22,7 @@ WIDE = 4096
 #: The bound on what the network learns from: labelled documents per language, passages of each, and passes.
 SAMPLE, PASSAGES, UPDATES, BATCH = 400, 4, 160, 256
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
+ASCII_LETTER = re.compile("[A-Za-z]")
 
 
 @dataclass
@@ -186,7 +186,7 @@ def sample(docs: DataFrame, text_col: str, lang_col: str) -> tuple[list[bytes],
     rows = usable.select(F.col(lang_col).alias("lang"), F.xxhash64(body).alias("order"), F.array(*cuts).alias("cuts")).dropDuplicates(["lang", "order"])
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("order"))
     chosen = rows.withColumn("rank", rank).where(F.col("rank") <= SAMPLE).orderBy("lang", "order").select("lang", "cuts").collect()
-    pairs = [(cut.encode(), row.lang) for row in chosen for cut in row.cuts if LETTER.search(cut)]
+    pairs = [(cut.encode(), row.lang) for row in chosen for cut in row.cuts if has_letter(cut)]
     return [p for p, _ in pairs], [lang for _, lang in pairs]
 
 
@@ -196,6 +196,11 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return train(passages, labels) if passages else None
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is a letter; fractions, raised figures and circled numbers are none."""
+    return bool(ASCII_LETTER.search(text)) or (not text.isascii() and any(map(str.isalpha, text)))
+
+
 def fold(id_col: str) -> Column:
     return F.crc32(F.col(id_col).cast("string")) % 4
 
@@ -208,7 +213,7 @@ def tagged(docs: DataFrame, net: Network | None, carried: list[str], id_col: str
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 column = part["text"].to_pylist()
-                known = [bool(net and LETTER.search(text)) for text in column]
+                known = [bool(net and has_letter(text)) for text in column]
                 bodies = [text.encode() if yes else b"" for text, yes in zip(column, known, strict=True)]
                 best, score = np.zeros(len(column), np.int64), np.zeros(len(column))
                 if net and any(known):

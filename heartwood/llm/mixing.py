@@ -82,5 +82,6 @@ def mix(
     copies = copies.select("doc", "key", F.explode(F.sequence(F.lit(1), "count")).alias("copy"))
     order = F.xxhash64("key", "copy", F.lit(seed + 1))
     shuffled = copies.withColumn("order", order).repartition("order").sortWithinPartitions("order")
-    result = shuffled.select("doc.*", F.col("copy").alias("mixing copy"))
-    return result.drop("mixing copy") if copy_col is None else result.drop(copy_col).withColumnRenamed("mixing copy", copy_col)
+    if copy_col is None:
+        return shuffled.select("doc.*")
+    return shuffled.select(*[F.col("doc")[name].alias(name) for name in docs.columns if name != copy_col], F.col("copy").alias(copy_col))

@@ -99,7 +99,8 @@ def embedding_groups(
 
     Null, zero, empty vectors and those with null or non-finite components link with nothing, and so do rows
     with a null id (component_id null, kept false). Vectors link only with those of as many components. Rows
-    that share an id are vectors of their own that report the same component. An empty table gives no rows;
+    that share an id are vectors of their own; the id is one node, so they report the same component, and what is
+    reachable from one is reachable from all. An empty table gives no rows;
     other columns are not read.
     """
     values = F.col(vec_col).cast("array<double>")
@@ -130,12 +131,22 @@ def embedding_groups(
     found = keep(map_arrow(tiled(hashed, "node"), verify, "a long, links long, b long"), "found")
     drop_columns = nodes.select("node", "vec", "first", "mult")
     degree = found.groupBy("a").agg(F.sum("links").alias("links")).withColumnRenamed("a", "node")
-    groups = components(found).withColumnsRenamed({"id": "node", "component": "root"})
+    shared = usable.groupBy("vec_id").agg(F.count("*").alias("n")).where("vec_id is not null and n > 1").select("vec_id")
+    repeats = not shared.isEmpty()
+    links = found.select("a", "b")
+    if repeats:  # rows of one id belong together, whatever their vectors
+        own = packed.join(shared, "vec_id", "left_semi").join(nodes.select("vec", "node"), "vec").select("vec_id", "node")
+        one = own.groupBy("vec_id").agg(F.min("node").alias("b"))
+        links = links.unionByName(own.join(one, "vec_id").select(F.col("node").alias("a"), "b").where("a <> b"))
+    groups = components(links).withColumnsRenamed({"id": "node", "component": "root"})
     rooted = drop_columns.join(degree, "node", "left").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     n_links = (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links")
     result = rooted.join(least, "root").select("vec", n_links, "component_id")
     linked = packed.join(result, "vec").select("vec_id", "n_links", "component_id")
     alone = usable.where("v is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    if repeats:
+        known = linked.join(shared, "vec_id", "left_semi").groupBy("vec_id").agg(F.min("component_id").alias("known"))
+        alone = alone.join(known, "vec_id", "left").select("vec_id", "n_links", F.coalesce("known", "component_id").alias("component_id"))
     kept = F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False))
     return linked.unionByName(alone).withColumn("kept", kept)
