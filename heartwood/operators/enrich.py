@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heartwood.functions.columns import count_when, mean_exact, ratio
-from heartwood.functions.frames import top_per_key
+from heartwood.functions.frames import outer_key, top_per_key
 
 SENTENCE_END = r"[.!?\n]+"
 WORD = "[a-z]+"
@@ -80,6 +80,47 @@ def key_sentences(transcripts: DataFrame, k: int = 2) -> DataFrame:
     return best.groupBy("transcript_id").agg(F.array_sort(F.collect_list("sentence_no")).alias("chosen"))
 
 
+#: Words whose document frequencies are sent to every task, the most frequent ones; all others are joined by a shuffle.
+HOT_WORDS = 2000
+
+
+def document_frequencies(words: DataFrame) -> DataFrame:
+    """`word`, `df`: in how many calls each word occurs."""
+    return words.select("transcript_id", "word").distinct().groupBy("word").agg(F.count("*").alias("df"))
+
+
+def rare_sentences(transcripts: DataFrame, k: int = 2, hot_words: int = HOT_WORDS) -> DataFrame:
+    """Numbers of the ``k`` sentences of each call whose words say most: the mean inverse document frequency.
+
+    The frequencies are over all calls. A word that is in most calls would send most rows to one task, so those of
+    the ``hot_words`` most frequent words, a bounded number, go to every task inside a broadcast; only rows of rarer
+    words move, and no one of these holds many. The weights are rounded to six digits and added up as decimals, so
+    that the result has no summation order.
+    """
+    sentences = transcripts.select("transcript_id", F.posexplode(sentences_of(F.col("transcript_text"))).alias("sentence_no", "sentence"))
+    words = (
+        sentences.select("transcript_id", "sentence_no", F.explode(words_of(F.col("sentence"))).alias("word"))
+        .groupBy("transcript_id", "sentence_no", "word")
+        .agg(F.count("*").alias("n"))
+    )
+    frequencies = document_frequencies(words)
+    hot = frequencies.orderBy(F.col("df").desc(), F.col("word").asc()).limit(hot_words)
+    hot = hot.select(F.col("word").alias("_hot"), F.col("df").alias("_hot_df"))
+    marked = words.join(F.broadcast(hot), F.col("word") == F.col("_hot"), "left")
+    marked = marked.withColumn("_rare", outer_key(F.when(F.col("_hot").isNull(), F.col("word"))))
+    rare = frequencies.select(F.col("word").alias("_word"), "df")
+    counted = marked.join(rare, F.col("_rare") == F.col("_word"), "left").withColumn("df", F.coalesce("_hot_df", "df"))
+    calls = transcripts.agg(F.count("*").cast("double")).scalar()
+    idf = F.round(F.log(calls / F.col("df").cast("double")), 6).cast("decimal(18,6)")
+    scored = (
+        counted.withColumn("idf", idf)
+        .groupBy("transcript_id", "sentence_no")
+        .agg(F.round(F.sum(F.col("n") * F.col("idf")).cast("double") / F.sum("n"), 6).alias("score"))
+    )
+    best = top_per_key(scored, ["transcript_id"], [F.col("score").desc(), F.col("sentence_no").asc()], k)
+    return best.groupBy("transcript_id").agg(F.array_sort(F.collect_list("sentence_no")).alias("chosen"))
+
+
 def summary_text(text: Column, chosen: Column) -> Column:
     """The chosen sentences of a text in their own order; '' when the text has no words."""
     sentences = sentences_of(text)
@@ -93,6 +134,13 @@ def call_summary(transcripts: DataFrame, k: int = 2) -> DataFrame:
     )
 
 
+def call_summary_idf(transcripts: DataFrame, k: int = 2) -> DataFrame:
+    """The summary by corpus-wide word statistics instead of those of the call."""
+    return transcripts.join(rare_sentences(transcripts, k), "transcript_id", "left").select(
+        "transcript_id", summary_text(F.col("transcript_text"), F.col("chosen")).alias("call_summary")
+    )
+
+
 def transcript_sentiment(transcripts: DataFrame, lexicon: Lexicon) -> DataFrame:
     """Score in [-1, 1], label and summary of every call. The score is local to the row."""
     hits = lambda listed: F.size(F.filter("_words", lambda w: w.isin(*listed)))

@@ -100,23 +100,23 @@ SELECT event_id AS interaction_id, user_id*10 + event_id % 10 AS customer_id,
  CASE event_id % 6 WHEN 0 THEN 'Email' WHEN 1 THEN ' phone' WHEN 2 THEN 'Chat' WHEN 3 THEN 'Branch' WHEN 4 THEN 'Web' ELSE 'Mobile' END AS channel,
  CASE WHEN event_type='error' AND event_id % 3 = 0 THEN 'Complaint' WHEN event_type='signup' THEN 'Inquiry' WHEN event_type='purchase' THEN 'Payment' WHEN event_type='view' THEN 'ClaimUpdate' ELSE 'ServiceRequest' END AS interaction_type,
  event_type || ' request' AS subject, CASE WHEN event_id % 8 = 0 THEN '  ' WHEN event_id % 8 = 1 THEN NULL ELSE 'note ' || event_type || ' ' || props END AS notes,
- CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'Escalated' WHEN 2 THEN ' pending' ELSE 'Resolved' END AS resolution_status,
+ CASE WHEN version = 1 THEN 'Escalated' ELSE CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'Escalated' WHEN 2 THEN ' pending' ELSE 'Resolved' END END AS resolution_status,
  'AGT-' || lpad(CAST(event_id % 900 AS VARCHAR), 3, '0') AS agent_id,
- ts AS interaction_date, CASE WHEN event_id % 6 IN (1,2,3) THEN CAST(120 + event_id % 1680 AS INT) END AS duration_seconds, ts AS created_at
-FROM events"""
+ ts AS interaction_date, CASE WHEN event_id % 6 IN (1,2,3) THEN CAST(120 + event_id % 1680 AS INT) END AS duration_seconds, ts - to_days(version) AS created_at
+FROM (SELECT *, unnest(CASE WHEN event_id % 20 = 4 THEN [0, 1] ELSE [0] END) AS version FROM events)"""
 
 CTES["raw_call_transcripts"] = """
-SELECT conv_id AS transcript_id, conv_id AS customer_id, CAST(NULL AS BIGINT) AS interaction_id,
+SELECT conv_id AS transcript_id, CASE WHEN conv_id % 3 = 0 THEN 1 ELSE conv_id // 4 END AS customer_id, CASE WHEN conv_id % 2 = 0 THEN conv_id * 3 END AS interaction_id,
  CAST(DATE '2024-01-31' - CAST((conv_id*13) % 365 AS INT) AS TIMESTAMP) AS call_date, CAST(120 + conv_id % 1080 AS INT) AS duration_seconds,
  'AGT-' || lpad(CAST(conv_id % 900 AS VARCHAR), 3, '0') AS agent_id,
  CASE conv_id % 4 WHEN 0 THEN 'sarah mitchell ' WHEN 1 THEN 'Michael Torres' WHEN 2 THEN 'jessica chen' ELSE 'David Patel' END AS agent_name,
  CASE WHEN conv_id % 25 = 9 THEN '  ' ELSE string_agg(CASE role WHEN 'user' THEN 'Customer: ' WHEN 'assistant' THEN 'Agent: ' ELSE 'System: ' END || text, chr(10) ORDER BY turn) END AS transcript_text,
- CASE conv_id % 5 WHEN 0 THEN 'claim status' WHEN 1 THEN 'Complaint' WHEN 2 THEN 'Policy Renewal' WHEN 3 THEN 'Payment Issue' ELSE 'premium dispute' END AS call_reason,
- CAST(DATE '2024-01-31' - CAST((conv_id*13) % 365 AS INT) AS TIMESTAMP) AS created_at
-FROM conversations GROUP BY conv_id"""
+ CASE WHEN version = 1 THEN 'unknown' ELSE CASE conv_id % 5 WHEN 0 THEN 'claim status' WHEN 1 THEN 'Complaint' WHEN 2 THEN 'Policy Renewal' WHEN 3 THEN 'Payment Issue' ELSE 'premium dispute' END END AS call_reason,
+ CAST(DATE '2024-01-31' - CAST((conv_id*13) % 365 + version * 30 AS INT) AS TIMESTAMP) AS created_at
+FROM (SELECT *, unnest(CASE WHEN conv_id % 10 = 3 THEN [0, 1] ELSE [0] END) AS version FROM conversations) GROUP BY conv_id, version"""
 
 CTES["raw_documents"] = """
-SELECT doc_id AS document_id, CASE WHEN doc_id % 11 = 4 THEN NULL ELSE doc_id END AS customer_id,
+SELECT doc_id AS document_id, CASE WHEN doc_id % 11 = 4 THEN NULL WHEN doc_id % 3 = 0 THEN 2 ELSE doc_id // 3 END AS customer_id,
  CASE doc_id % 2 WHEN 0 THEN 'Claim Form' ELSE 'Policy Summary' END AS document_type,
  CASE doc_id % 2 WHEN 0 THEN 'claim_form_CLM-' ELSE 'policy_summary_POL-' END || CAST(doc_id AS VARCHAR) || '.txt' AS file_name,
  CASE WHEN doc_id % 13 = 5 THEN '  '
@@ -127,8 +127,8 @@ SELECT doc_id AS document_id, CASE WHEN doc_id % 11 = 4 THEN NULL ELSE doc_id EN
   ELSE 'Policy Number: POL-' || CAST(doc_id AS VARCHAR) || chr(10) || 'Customer Name: Customer ' || CAST(doc_id AS VARCHAR) || chr(10) || 'Customer ID: ' || CAST(doc_id AS VARCHAR) || chr(10)
    || 'Policy Type: Life' || chr(10) || 'Effective Date: 2023-05-01' || chr(10) || 'Annual Premium: $' || CAST(300 + doc_id % 700 AS VARCHAR) || '.00' || chr(10) END
   || CASE WHEN doc_id % 13 = 5 THEN '' ELSE text END AS document_text,
- n_chars AS file_size_bytes, CAST(DATE '2024-01-15' - CAST(doc_id % 90 AS INT) AS TIMESTAMP) AS created_at
-FROM documents"""
+ n_chars + version AS file_size_bytes, CAST(DATE '2024-01-15' - CAST(doc_id % 90 + version * 20 AS INT) AS TIMESTAMP) AS created_at
+FROM (SELECT *, unnest(CASE WHEN doc_id % 10 = 7 THEN [0, 1] ELSE [0] END) AS version FROM documents)"""
 
 CTES["raw_model_output"] = """
 SELECT c_custkey AS customer_id,
@@ -331,6 +331,19 @@ FROM clean_call_transcripts t LEFT JOIN (
    ON x.transcript_id = y.transcript_id AND x.sentence_no = y.sentence_no
  WHERE rn <= 2) s ON t.transcript_id = s.transcript_id GROUP BY t.transcript_id"""
 
+CTES["call_summary_idf"] = r"""
+SELECT t.transcript_id, coalesce(string_agg(trim(s.sentence), '. ' ORDER BY s.sentence_no) || '.', '') AS call_summary
+FROM clean_call_transcripts t LEFT JOIN (
+ SELECT x.transcript_id, x.sentence_no, y.sentence FROM (
+  SELECT w.transcript_id, w.sentence_no, row_number() OVER (PARTITION BY w.transcript_id ORDER BY round(CAST(sum(f.idf) AS DOUBLE) / count(*), 6) DESC, w.sentence_no) AS rn
+  FROM call_words w JOIN (SELECT word, CAST(round(ln((SELECT CAST(count(*) AS DOUBLE) FROM clean_call_transcripts) / CAST(count(DISTINCT transcript_id) AS DOUBLE)), 6) AS DECIMAL(18,6)) AS idf
+   FROM call_words GROUP BY word) f ON w.word = f.word
+  GROUP BY w.transcript_id, w.sentence_no) x
+ JOIN (SELECT transcript_id, unnest(s) AS sentence, generate_subscripts(s, 1) AS sentence_no
+       FROM (SELECT transcript_id, regexp_split_to_array(transcript_text, '[.!?\n]+') AS s FROM clean_call_transcripts)) y
+   ON x.transcript_id = y.transcript_id AND x.sentence_no = y.sentence_no
+ WHERE rn <= 2) s ON t.transcript_id = s.transcript_id GROUP BY t.transcript_id"""
+
 CTES["transcript_sentiment"] = """
 SELECT t.transcript_id, customer_id, call_date, call_reason, agent_name, duration_seconds, transcript_text, sentiment_score,
  CASE WHEN sentiment_score >= 0.3 THEN 'Positive' WHEN sentiment_score <= -0.3 THEN 'Negative' ELSE 'Neutral' END AS sentiment_label, call_summary

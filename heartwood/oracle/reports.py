@@ -57,6 +57,7 @@ ORACLES |= {
     "interaction_timeline": "SELECT * FROM timeline",
     "transcript_sentiment": "SELECT * FROM transcript_sentiment",
     "call_summary": "SELECT * FROM call_summary",
+    "call_summary_idf": "SELECT * FROM call_summary_idf",
     "customer_sentiment": "SELECT * FROM customer_sentiment",
     "latest_call": "SELECT * FROM latest_call",
     "churn_risk": "SELECT * REPLACE (CAST(total_premium AS DOUBLE) AS total_premium, array_to_string(risk_factors, '; ') AS risk_factors) FROM churn_risk",

@@ -69,6 +69,7 @@ QUERIES |= {
     ),
     "estimated_clv": lambda t: t["customer_360_unified"].select("customer_id", "estimated_clv"),
     "call_summary": lambda t: enrich.call_summary(t["clean_call_transcripts"]),
+    "call_summary_idf": lambda t: enrich.call_summary_idf(t["clean_call_transcripts"]),
     "sentiment_distribution_range": lambda t: REPORTS["sentiment_distribution"](
         t, datetime.date(2023, 6, 1), datetime.date(2023, 12, 31)
     ),

@@ -113,7 +113,8 @@ def raw_loans(orders: DataFrame) -> DataFrame:
 
 
 def raw_interactions(events: DataFrame) -> DataFrame:
-    return events.selectExpr(
+    versions = F.when(F.col("event_id") % 20 == 4, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    return events.withColumn("version", F.explode(versions)).selectExpr(
         "event_id AS interaction_id",
         "user_id * 10 + event_id % 10 AS customer_id",
         "CASE event_id % 6 WHEN 0 THEN 'Email' WHEN 1 THEN ' phone' WHEN 2 THEN 'Chat' WHEN 3 THEN 'Branch'"
@@ -123,11 +124,12 @@ def raw_interactions(events: DataFrame) -> DataFrame:
         " ELSE 'ServiceRequest' END AS interaction_type",
         "concat(event_type, ' request') AS subject",
         "CASE event_id % 8 WHEN 0 THEN '  ' WHEN 1 THEN NULL ELSE concat('note ', event_type, ' ', props) END AS notes",
-        "CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'Escalated' WHEN 2 THEN ' pending' ELSE 'Resolved' END AS resolution_status",
+        "CASE WHEN version = 1 THEN 'Escalated' WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 5 = 1 THEN 'Escalated'"
+        " WHEN event_id % 5 = 2 THEN ' pending' ELSE 'Resolved' END AS resolution_status",
         "concat('AGT-', lpad(CAST(event_id % 900 AS STRING), 3, '0')) AS agent_id",
         "ts AS interaction_date",
         "CASE WHEN event_id % 6 IN (1, 2, 3) THEN CAST(120 + event_id % 1680 AS INT) END AS duration_seconds",
-        "ts AS created_at",
+        "ts - make_dt_interval(version) AS created_at",
     )
 
 
@@ -137,19 +139,22 @@ def raw_call_transcripts(conversations: DataFrame) -> DataFrame:
         F.expr(f"listagg(concat({speaker}, text), '\n') WITHIN GROUP (ORDER BY turn)").alias("whole_text")
     )
     day = "CAST(date_sub(DATE '2024-01-31', CAST((conv_id * 13) % 365 AS INT)) AS TIMESTAMP_NTZ)"
-    return calls.selectExpr(
+    written = "CAST(date_sub(DATE '2024-01-31', CAST((conv_id * 13) % 365 + version * 30 AS INT)) AS TIMESTAMP_NTZ)"
+    versions = F.when(F.col("conv_id") % 10 == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    # None to many calls a customer, one customer with a third of all.
+    return calls.withColumn("version", F.explode(versions)).selectExpr(
         "conv_id AS transcript_id",
-        "conv_id AS customer_id",
-        "CAST(NULL AS BIGINT) AS interaction_id",
+        "CASE WHEN conv_id % 3 = 0 THEN 1 ELSE conv_id div 4 END AS customer_id",
+        "CASE WHEN conv_id % 2 = 0 THEN conv_id * 3 END AS interaction_id",
         f"{day} AS call_date",
         "CAST(120 + conv_id % 1080 AS INT) AS duration_seconds",
         "concat('AGT-', lpad(CAST(conv_id % 900 AS STRING), 3, '0')) AS agent_id",
         "CASE conv_id % 4 WHEN 0 THEN 'sarah mitchell ' WHEN 1 THEN 'Michael Torres' WHEN 2 THEN 'jessica chen'"
         " ELSE 'David Patel' END AS agent_name",
         "CASE WHEN conv_id % 25 = 9 THEN '  ' ELSE whole_text END AS transcript_text",
-        "CASE conv_id % 5 WHEN 0 THEN 'claim status' WHEN 1 THEN 'Complaint' WHEN 2 THEN 'Policy Renewal'"
-        " WHEN 3 THEN 'Payment Issue' ELSE 'premium dispute' END AS call_reason",
-        f"{day} AS created_at",
+        "CASE WHEN version = 1 THEN 'unknown' WHEN conv_id % 5 = 0 THEN 'claim status' WHEN conv_id % 5 = 1 THEN 'Complaint'"
+        " WHEN conv_id % 5 = 2 THEN 'Policy Renewal' WHEN conv_id % 5 = 3 THEN 'Payment Issue' ELSE 'premium dispute' END AS call_reason",
+        f"{written} AS created_at",
     )
 
 
@@ -165,14 +170,16 @@ def raw_documents(documents: DataFrame) -> DataFrame:
         "concat('Policy Number: POL-', doc_id, '\nCustomer Name: Customer ', doc_id, '\nCustomer ID: ', doc_id,"
         " '\nPolicy Type: Life\nEffective Date: 2023-05-01\nAnnual Premium: $', 300 + doc_id % 700, '.00\n', text)"
     )
-    return documents.selectExpr(
+    versions = F.when(F.col("doc_id") % 10 == 7, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    # None to many documents a customer, one customer with a third of all.
+    return documents.withColumn("version", F.explode(versions)).selectExpr(
         "doc_id AS document_id",
-        "CASE WHEN doc_id % 11 = 4 THEN NULL ELSE doc_id END AS customer_id",
+        "CASE WHEN doc_id % 11 = 4 THEN NULL WHEN doc_id % 3 = 0 THEN 2 ELSE doc_id div 3 END AS customer_id",
         "CASE doc_id % 2 WHEN 0 THEN 'Claim Form' ELSE 'Policy Summary' END AS document_type",
         "concat(CASE doc_id % 2 WHEN 0 THEN 'claim_form_CLM-' ELSE 'policy_summary_POL-' END, doc_id, '.txt') AS file_name",
         f"CASE WHEN doc_id % 13 = 5 THEN '  ' WHEN doc_id % 2 = 0 THEN {claim_form} ELSE {policy_summary} END AS document_text",
-        "n_chars AS file_size_bytes",
-        "CAST(date_sub(DATE '2024-01-15', CAST(doc_id % 90 AS INT)) AS TIMESTAMP_NTZ) AS created_at",
+        "n_chars + version AS file_size_bytes",
+        "CAST(date_sub(DATE '2024-01-15', CAST(doc_id % 90 + version * 20 AS INT)) AS TIMESTAMP_NTZ) AS created_at",
     )
 
 

@@ -1,5 +1,9 @@
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from heartwood.operators import enrich
@@ -112,3 +116,20 @@ def test_the_default_list_reads_plain_english(rows):
     texts = "Thank you, that was quick and the agent was very helpful.", "I am frustrated, the claim was denied and the delay is unacceptable.", "It is with the office that was by the river."
     found = {r.transcript_id: r.sentiment_label for r in enrich.transcript_sentiment(calls(rows, *texts), enrich.DEFAULT_LEXICON).collect()}
     assert [found[k] for k in sorted(found)] == ["Positive", "Negative", "Neutral"]
+
+
+def test_rare_sentences_by_brute_force_with_hot_words_sent_or_joined(rows):
+    calls = {1: "the cat sat. the dog ran far! zebra", 2: "the the the. the cat", 3: "", 4: "the dog. of course the dog? the cat sat"}
+    values = ", ".join(f"({k}L, '{text}')" for k, text in calls.items())
+    df = rows("transcript_id, transcript_text", values)
+    split = {k: [re.findall("[a-z]+", s) for s in re.split("[.!?\n]+", text)] for k, text in calls.items()}
+    counts = Counter(w for some in split.values() for w in {w for s in some for w in s})
+    idf = {w: round(math.log(len(calls) / n), 6) for w, n in counts.items()}
+    want = {}
+    for k, some in split.items():
+        scores = {i: round(sum(idf[w] for w in s) / len(s), 6) for i, s in enumerate(some) if s}
+        if scores:
+            want[k] = sorted(sorted(scores, key=lambda i: (-scores[i], i))[:2])
+    for hot in (1, 3, 2000):
+        found = {r.transcript_id: r.chosen for r in enrich.rare_sentences(df, 2, hot).collect()}
+        assert found == want
