@@ -287,11 +287,8 @@ CATALOG_CHECKS = (
 )
 
 
-def check_suite(tables: Mapping[str, DataFrame], checks: Iterable[Check]) -> DataFrame:
-    """All checks as rows: one aggregate per table, whatever the number of checks on it."""
-    by_table: dict[str, list[Check]] = {}
-    for check in checks:
-        by_table.setdefault(check.table, []).append(check)
+def check_rows(measured: DataFrame, checks: Iterable[Check]) -> DataFrame:
+    """One row per check from one row of measured values, named `m` and the check's number."""
 
     def row(check: Check) -> Column:
         value = c(f"m{check.id}")
@@ -305,9 +302,17 @@ def check_suite(tables: Mapping[str, DataFrame], checks: Iterable[Check]) -> Dat
             value.alias("row_count"),
         )
 
+    return measured.select(F.explode(F.array(*[row(check) for check in checks])).alias("r")).select("r.*")
+
+
+def check_suite(tables: Mapping[str, DataFrame], checks: Iterable[Check]) -> DataFrame:
+    """All checks as rows: one aggregate per table, whatever the number of checks on it."""
+    by_table: dict[str, list[Check]] = {}
+    for check in checks:
+        by_table.setdefault(check.table, []).append(check)
+
     def rows(name: str, group: list[Check]) -> DataFrame:
-        measured = tables[name].agg(*[check.metric().cast("bigint").alias(f"m{check.id}") for check in group])
-        return measured.select(F.explode(F.array(*[row(check) for check in group])).alias("r")).select("r.*")
+        return check_rows(tables[name].agg(*[check.metric().cast("bigint").alias(f"m{check.id}") for check in group]), group)
 
     return union(rows(name, group) for name, group in by_table.items())
 

@@ -420,4 +420,12 @@ ORACLES |= {
     + " UNION ALL SELECT 'pipeline_health', 'ALL', 'health_check_run', 1, 1, 'PASS', 'Health check completed'",
 }
 
+ORACLES |= {
+    "stored_check_suite": ORACLES["check_suite"],
+    "stored_layer_counts": f"""{counts(LAYERS)}
+        UNION ALL SELECT 'APP', 'role_region_mapping', count(*) FROM role_region_mapping
+        UNION ALL SELECT 'APP', 'ai_quality_log', count(*) FROM ({ORACLES["quality_log"]})
+        UNION ALL SELECT 'APP', 'nba_email_log', count(*) FROM ({CAMPAIGN})""",
+}
+
 ORACLES = {key: re.sub(r"\n\s+", "\n", sql).strip() for key, sql in ORACLES.items()}

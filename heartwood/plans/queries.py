@@ -13,9 +13,10 @@ from heartwood.operators import alerts, curated, enrich, governance, quality, ro
 from heartwood.operators.enrich import TEST_LEXICON
 from heartwood.operators.text_index import TextIndex
 from heartwood.operators.vector_index import VectorIndex
+from heartwood.plans import catalog as layers
 from heartwood.plans import semantic
 from heartwood.plans.reports import REPORTS
-from heartwood.plans.tables import LAYERS, Tables, build
+from heartwood.plans.tables import LAYERS, RECIPES, Tables, build
 from heartwood.sources import ingest
 from heartwood.sources.tables import load_table
 from heartwood.streaming import jobs
@@ -198,17 +199,13 @@ VALIDATED = (
 )
 APP_TABLES = ("role_region_mapping", "ai_quality_log", "nba_email_log")
 
-# Derived tables that take new rows only; the others are rebuilt.
-INCREMENTAL = ("clean_interactions",)
-
-
 def layer_row_counts(t: Tables) -> DataFrame:
     """Rows per table and layer."""
-    layers = [
+    counted = [
         quality.row_counts({name: t[name] for name in names}).select(F.lit(layer).alias("layer"), "*")
         for layer, names in LAYERS.items()
     ]
-    return quality.union(layers)
+    return quality.union(counted)
 
 
 def layer_totals(t: Tables) -> DataFrame:
@@ -220,7 +217,7 @@ def layer_totals(t: Tables) -> DataFrame:
 def refresh_mode_counts(t: Tables) -> DataFrame:
     """Derived tables and their rows by the way they are refreshed."""
     counts = quality.row_counts({name: t[name] for layer in ("CLEAN", "CURATED", "AI") for name in LAYERS[layer]})
-    mode = F.when(F.col("table_name").isin(*INCREMENTAL), "INCREMENTAL").otherwise("FULL")
+    mode = F.when(F.col("table_name").isin(*layers.INCREMENTAL), "INCREMENTAL").otherwise("FULL")
     return counts.groupBy(mode.alias("refresh_mode")).agg(
         F.count("*").alias("tables"), F.sum("row_count").alias("row_count")
     )
@@ -231,13 +228,42 @@ def catalog(t: Tables) -> DataFrame:
     sizes = {
         "tables": len(LAYERS["RAW"]) + derived + len(APP_TABLES),
         "derived": derived,
-        "searches": 1,
+        **registries(),
+    }
+    return quality.catalog_frame(t.spark, sizes)
+
+
+def registries() -> dict[str, int]:
+    """How many of each kind the library's own registries hold."""
+    return {
+        "searches": len([name for name in RECIPES if name.startswith("search_")]),
         "models": len([semantic.MODEL]),
         "masks": len(governance.MASKS),
         "tags": len(governance.PII_LEVELS),
-        "dashboards": 1,
+        "dashboards": len([name for name in QUERIES if name.endswith("_dashboard")]),
     }
-    return quality.catalog_frame(t.spark, sizes)
+
+
+def app_tables(t: Tables) -> dict[str, DataFrame]:
+    """The application's own tables: the access mapping, the log of quality checks, the log of drafts."""
+    return {"role_region_mapping": mapping(t), "ai_quality_log": quality_checks(t), "nba_email_log": alerts.retention_campaign(t["scored"])}
+
+
+_stored: dict[tuple[str, str], str] = {}
+
+
+def stored_catalog(t: Tables) -> DataFrame:
+    """The catalog of the layers, which are written when it is first asked for."""
+    key = (t.spark.sparkContext.applicationId, t.sf_dir)
+    if key not in _stored:
+        path = ingest.new_folder(t.spark, "layers")
+        layers.write_layers(t, path, quality.DATA_CHECKS, app_tables)
+        _stored[key] = path
+    return layers.read_catalog(t.spark, _stored[key])
+
+
+def stored_check_suite(t: Tables) -> DataFrame:
+    return layers.stored_checks(stored_catalog(t), quality.DATA_CHECKS, quality.CATALOG_CHECKS, registries())
 
 
 def check_suite(t: Tables) -> DataFrame:
@@ -248,11 +274,11 @@ def check_suite(t: Tables) -> DataFrame:
 
 
 def probe_results(t: Tables) -> DataFrame:
-    layers = quality.union(
+    filled = quality.union(
         t[name].limit(1).select(F.lit(layer).alias("layer")) for layer, names in LAYERS.items() for name in names
     )
     tables = {name: t[name] for name in ("scored", "document_extracted", "interaction_timeline", "transcript_sentiment")}
-    return quality.probe_results(tables | {"layers": layers, "role_region_mapping": mapping(t)})
+    return quality.probe_results(tables | {"layers": filled, "role_region_mapping": mapping(t)})
 
 
 QUERIES |= {
@@ -285,6 +311,8 @@ QUERIES |= {
         "retention_urgency", "action_type", "action_description", "priority",
     ),
     "check_suite": check_suite,
+    "stored_layer_counts": lambda t: layers.layer_counts(stored_catalog(t)),
+    "stored_check_suite": stored_check_suite,
     "probe_results": probe_results,
     "probe_summary": lambda t: quality.probe_summary(probe_results(t)),
     "churn_parse_failure": lambda t: quality.parse_failure_rate(t["churn_risk"], "churn_risk_score"),
@@ -309,14 +337,18 @@ def campaign_log(t: Tables) -> DataFrame:
     return log.select("customer_id", "full_name", "action_type", F.col("status").alias("email_status"))
 
 
+def quality_checks(t: Tables) -> DataFrame:
+    """All scheduled checks as the rows of one run."""
+    checks = quality.heartbeat(t.spark)
+    for name in ("check_churn_completeness", "check_nba_completeness", "check_churn_range", "check_sentiment_range"):
+        checks = checks.unionByName(QUERIES[name](t))
+    return checks
+
+
 def quality_log(t: Tables) -> DataFrame:
     """All scheduled checks written to one log as one run, then its latest entries."""
     log_dir = ingest.new_folder(t.spark, "quality")
-    names = ("check_churn_completeness", "check_nba_completeness", "check_churn_range", "check_sentiment_range")
-    checks = quality.heartbeat(t.spark)
-    for name in names:
-        checks = checks.unionByName(QUERIES[name](t))
-    quality.write_log(checks, log_dir, "first")
+    quality.write_log(quality_checks(t), log_dir, "first")
     return quality.latest_log(t.spark, log_dir).drop("check_timestamp")
 
 

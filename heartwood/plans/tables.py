@@ -7,9 +7,10 @@ for, and nothing runs until an action does.
 from __future__ import annotations
 
 import datetime
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from heartwood.operators import clean, curated, documents, enrich, scoring, search
 from heartwood.sources.ingest import replace_table
@@ -109,13 +110,21 @@ class Tables:
         self._given[name] = frame
         self._planned.clear()
 
-    def write(self, path: str, names: Iterable[str]) -> None:
+    def write(
+        self, path: str, names: Iterable[str], metrics: Mapping[str, Sequence[Column]] | None = None
+    ) -> dict[str, dict[str, int]]:
         """Write tables to ``path`` in the given order and read them from there afterwards.
 
-        Later tables then start from the written ones instead of the raw layer.
+        Later tables then start from the written ones instead of the raw layer. Row counts, and the ``metrics``
+        asked for, are observed while the tables are written and returned: nothing is read again for them.
         """
+        found = {}
         for name in names:
-            self._give(name, replace_table(self[name], f"{path.rstrip('/')}/{name}"))
+            seen = Observation()
+            watched = self[name].observe(seen, F.count("*").alias("row_count"), *(metrics or {}).get(name, ()))
+            self._give(name, replace_table(watched, f"{path.rstrip('/')}/{name}"))
+            found[name] = seen.get
+        return found
 
 
 def build(
