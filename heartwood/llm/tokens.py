@@ -32,6 +32,8 @@ SPACE_LED = re.compile(rf" ?[{_LETTERS}]+(?=[ .,\n]|\Z)|[.,](?=[ \n]|\Z)|\n(?=[{
 SPACE_FREE = re.compile(rf"[{_LETTERS}]+(?=[ .,\n]|\Z)|[.,](?=[ \n]|\Z)|\n(?=[{_LETTERS}])|[^ ]+")
 #: White space that a byte-level tokenizer reads as one run around a space: such texts are encoded in one go.
 WIDE_SPACE = re.compile(r"\s \s|\s \Z|  |\A |[\x1c-\x1f\x85]")
+#: What such white space needs at least, quicker to look for: a space before other white space, or these characters.
+SPACE_BEFORE_SPACE, ODD_SPACE = re.compile(r" (?:\s|\Z)"), re.compile("[\x1c-\x1f\x85]")
 #: Characters of which lower case may depend on more than the character, or on the library.
 BEYOND_LATIN = re.compile("[İ\u0250-\U0010ffff]")
 
@@ -72,7 +74,17 @@ class PieceEncoder:
     def _in_one_go(self, text: str) -> bool:
         if not (self.free or self.led) or self.special.search(text):
             return True
-        return self.led and WIDE_SPACE.search(text) is not None
+        if not self.led or not (text[:1] == " " or SPACE_BEFORE_SPACE.search(text) or ODD_SPACE.search(text)):
+            return False
+        return WIDE_SPACE.search(text) is not None
+
+    @staticmethod
+    def _folded(text: str) -> str:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text if BEYOND_LATIN.search(text) else text.lower()
+        return text.lower()
 
     def _of_words(self, words: list[str]) -> list[bytes]:
         """The ids of words between spaces (with the one before them, if it counts): of their pieces, one by one."""
@@ -121,7 +133,7 @@ class PieceEncoder:
 
     def _gathered(self, texts: list[str]) -> Iterator[bytes]:
         if self.folds:
-            texts = [text if BEYOND_LATIN.search(text) else text.lower() for text in texts]
+            texts = [self._folded(text) for text in texts]
         words = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
         ends = words.offsets.to_numpy()
         flat = words.flatten().dictionary_encode()
