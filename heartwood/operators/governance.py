@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -117,3 +118,24 @@ def pii_tag_coverage(df: DataFrame) -> DataFrame:
         for f in tagged
     ]
     return counts.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
+def tag_table(df: DataFrame, domain: str) -> DataFrame:
+    """Attach the domain of a table to each of its columns, which is where a frame can carry it."""
+    return tag(df, {name: {"data_domain": domain} for name in df.columns})
+
+
+def table_domain(df: DataFrame) -> str | None:
+    """The domain that all columns of a frame agree on."""
+    found = {field.metadata.get("data_domain") for field in df.schema}
+    return found.pop() if len(found) == 1 else None
+
+
+def table_tag_coverage(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """Each tagged table with its domain and its rows."""
+    counts = [
+        df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("table_name"), F.lit(table_domain(df)).alias("data_domain"), "rows")
+        for name, df in tables.items()
+        if table_domain(df)
+    ]
+    return reduce(DataFrame.unionByName, counts)

@@ -24,8 +24,13 @@ class Scenario:
     outreach: bool = False
     clear_past_due: bool = False
     resolve_complaints: bool = False
+    #: Days past due that `clear_past_due` brings a customer down to.
+    past_due_target: int = 0
 
 
+#: A premium lower by a twentieth takes a point of a hundred off the risk, whatever the other changes.
+POINTS_PER_PREMIUM = 20
+
 ALL_SCENARIOS = tuple(Scenario(*choice) for choice in product((0, 10, 50), *[(False, True)] * 4))
 
 
@@ -53,6 +58,8 @@ def whatif_baseline(scored: DataFrame) -> DataFrame:
 def whatif(scored: DataFrame, scenarios: Sequence[Scenario] = ALL_SCENARIOS) -> DataFrame:
     """Predicted score, change and direction per customer and scenario.
 
+    The live rules score the changed features; on top of them a lower premium takes points off.
+
     The scenarios are a short list in the plan that each row is expanded by;
     the scoring itself stays local to the row.
     """
@@ -70,13 +77,17 @@ def whatif(scored: DataFrame, scenarios: Sequence[Scenario] = ALL_SCENARIOS) ->
             ),
             "open_claims": F.when(c("s.resolve_claims"), 0).otherwise(c("open_claims")),
             "days_since_last_interaction": F.when(c("s.outreach"), 1).otherwise(c("days_since_last_interaction")),
-            "max_days_past_due": F.when(c("s.clear_past_due"), 0).otherwise(c("max_days_past_due")),
+            "max_days_past_due": F.when(
+                c("s.clear_past_due"), F.least(c("s.past_due_target"), c("max_days_past_due"))
+            ).otherwise(c("max_days_past_due")),
             "complaint_count": F.when(c("s.resolve_complaints"), 0).otherwise(c("complaint_count")),
         }
     )
-    rescored = changed.withColumn(
-        "predicted_churn_risk", F.coalesce(churn_columns()["churn_risk_score"], c("current_churn_risk"))
-    )
+    paid_less = 1 - F.try_divide(c("modified_premium"), c("total_premium").cast("double"))
+    relief = F.coalesce(F.round(POINTS_PER_PREMIUM * paid_less), F.lit(0.0)) / 100
+    predicted = F.round(F.greatest(churn_columns()["churn_risk_score"] - relief, F.lit(0.0)), 4)
+    known = churn_columns()["churn_risk_score"].isNotNull()
+    rescored = changed.withColumn("predicted_churn_risk", F.when(known, predicted).otherwise(c("current_churn_risk")))
     delta = F.round(c("predicted_churn_risk") - c("current_churn_risk"), 4)
     return rescored.select(
         "customer_id",

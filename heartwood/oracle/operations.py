@@ -113,6 +113,13 @@ ORACLES |= {
         SELECT 'email' AS column_name, 'HIGH' AS pii_level, count(*) AS rows, count(email) AS filled FROM raw_customers
         UNION ALL SELECT 'phone', 'HIGH', count(*), count(phone) FROM raw_customers UNION ALL SELECT 'annual_income', 'MEDIUM', count(*), count(annual_income) FROM raw_customers
         UNION ALL SELECT 'credit_score', 'MEDIUM', count(*), count(credit_score) FROM raw_customers""",
+    "table_tag_coverage": " UNION ALL ".join(
+        f"SELECT '{name}' AS table_name, '{domain}' AS data_domain, count(*) AS rows FROM {name}"
+        for name, domain in (
+            ("raw_customers", "CUSTOMER"), ("raw_policies", "POLICY"), ("raw_claims", "CLAIM"), ("raw_loans", "LOAN"),
+            ("raw_interactions", "INTERACTION"), ("raw_documents", "DOCUMENT"),
+        )
+    ),
 }
 
 # --------------------------------------------------------------------- quality
@@ -354,18 +361,19 @@ ORACLES |= {
          r.retention_urgency, coalesce(h.health_score, 50) AS current_health_score, coalesce(h.health_grade, 'C') AS current_health_grade
         FROM unified c LEFT JOIN churn_risk r ON c.customer_id = r.customer_id LEFT JOIN health h ON c.customer_id = h.customer_id""",
     "whatif_scenarios": f"""
-        SELECT customer_id, scenario_id, premium_discount, resolve_claims, outreach, clear_past_due, resolve_complaints, modified_premium, current_churn_risk, predicted_churn_risk,
+        SELECT customer_id, scenario_id, premium_discount, resolve_claims, outreach, clear_past_due, resolve_complaints, past_due_target, modified_premium, current_churn_risk, predicted_churn_risk,
          round(predicted_churn_risk - current_churn_risk, 4) AS delta, CASE WHEN round(predicted_churn_risk - current_churn_risk, 4) < 0 THEN 'decreased'
          WHEN round(predicted_churn_risk - current_churn_risk, 4) > 0 THEN 'increased' ELSE 'unchanged' END AS risk_change
         FROM (SELECT s.*, u.customer_id, {half_up('u.total_premium * 100 * (100 - s.premium_discount)', '10000', 2)} AS modified_premium,
           coalesce(r.churn_risk_score, 0.5) AS current_churn_risk,
-          CASE WHEN u.tenure_months IS NULL THEN CAST(0.5 AS DOUBLE) ELSE CAST(least(greatest(15 + k.p_lapsed
+          CASE WHEN u.tenure_months IS NULL THEN CAST(0.5 AS DOUBLE) ELSE round(greatest(CAST(least(greatest(15 + k.p_lapsed
            + CASE WHEN s.resolve_complaints THEN 0 ELSE k.p_complaints END + CASE WHEN s.clear_past_due THEN 0 ELSE k.p_dpd END + k.p_loans
            + CASE WHEN s.resolve_claims THEN 0 ELSE k.p_open END + k.p_denied + k.p_calls + CASE WHEN s.outreach THEN 0 ELSE k.p_contact END + k.p_inactive
-           - CASE WHEN u.tenure_months >= 60 THEN 10 ELSE 0 END - CASE WHEN u.active_policies >= 8 THEN 5 ELSE 0 END, 0), 100) AS DOUBLE) / 100 END AS predicted_churn_risk
+           - CASE WHEN u.tenure_months >= 60 THEN 10 ELSE 0 END - CASE WHEN u.active_policies >= 8 THEN 5 ELSE 0 END, 0), 100) AS DOUBLE) / 100
+           - CASE WHEN u.total_premium > 0 THEN CAST(s.premium_discount // 5 AS DOUBLE) ELSE 0 END / 100, 0), 4) END AS predicted_churn_risk
          FROM unified u JOIN churn_risk r ON u.customer_id = r.customer_id JOIN churn_points k ON u.customer_id = k.customer_id
          CROSS JOIN (SELECT CAST(row_number() OVER (ORDER BY a.d, b.v, c.v, e.v, f.v) - 1 AS INT) AS scenario_id, CAST(a.d AS INT) AS premium_discount, b.v AS resolve_claims, c.v AS outreach,
-           e.v AS clear_past_due, f.v AS resolve_complaints FROM (VALUES (0), (10), (50)) a(d), (VALUES (false), (true)) b(v), (VALUES (false), (true)) c(v),
+           e.v AS clear_past_due, f.v AS resolve_complaints, CAST(0 AS INT) AS past_due_target FROM (VALUES (0), (10), (50)) a(d), (VALUES (false), (true)) b(v), (VALUES (false), (true)) c(v),
            (VALUES (false), (true)) e(v), (VALUES (false), (true)) f(v)) s)""",
 }
 

@@ -173,6 +173,11 @@ def pii_tag_coverage(t: Tables) -> DataFrame:
     return governance.pii_tag_coverage(governance.tag(t["raw_customers"], tags))
 
 
+def table_tag_coverage(t: Tables) -> DataFrame:
+    tagged = {name: governance.tag_table(t[name], domain) for name, domain in governance.DATA_DOMAINS.items()}
+    return governance.table_tag_coverage(tagged)
+
+
 QUERIES |= {
     "mask_email": mask("email", "email", "email"),
     "mask_phone": mask("phone", "phone", "phone"),
@@ -185,6 +190,7 @@ QUERIES |= {
     "row_access_none": access("VISITOR"),
     "role_region_mapping": lambda t: governance.role_visibility(t["customer_360_unified"], mapping(t)),
     "pii_tag_coverage": pii_tag_coverage,
+    "table_tag_coverage": table_tag_coverage,
 }
 
 # --------------------------------------------------------------------- quality

@@ -48,3 +48,11 @@ def test_tags_travel_with_the_columns(tables):
     assert tagged.select("email", "city").schema["email"].metadata == {"pii_level": "HIGH"}
     row = g.pii_tag_coverage(tagged).collect()
     assert [(r.column_name, r.pii_level, r.rows == r.filled) for r in row] == [("email", "HIGH", True)]
+
+
+def test_tables_carry_their_domain(rows):
+    first, second = rows("a, b", "(1, 2), (3, 4)"), rows("a", "(1)")
+    tagged = {"first": g.tag_table(first, "CLAIM"), "second": second, "third": g.tag_table(second, "LOAN")}
+    assert g.table_domain(tagged["first"].filter("a > 1")) == "CLAIM" and g.table_domain(second) is None
+    found = sorted(tuple(r) for r in g.table_tag_coverage(tagged).collect())
+    assert found == [("first", "CLAIM", 2), ("third", "LOAN", 1)]

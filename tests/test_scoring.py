@@ -150,5 +150,18 @@ def test_every_change_lowers_or_keeps_the_risk(tables):
 
 def test_resolving_complaints(scored):
     row = whatif(scored(complaint_count=3), [Scenario(resolve_complaints=True, premium_discount=10)]).first()
-    assert (row.current_churn_risk, row.predicted_churn_risk, row.delta, row.risk_change) == (0.35, 0.15, -0.2, "decreased")
+    assert (row.current_churn_risk, row.predicted_churn_risk, row.delta, row.risk_change) == (0.35, 0.13, -0.22, "decreased")
     assert row.modified_premium == 1080.0
+
+
+def test_a_lower_premium_lowers_the_risk(scored):
+    found = [whatif(scored(complaint_count=3), [Scenario(premium_discount=d)]).first().delta for d in (0, 10, 25, 50, 100)]
+    assert found == [0.0, -0.02, -0.05, -0.1, -0.2]
+    free = scored(complaint_count=3).withColumn("total_premium", F.lit(0).cast("decimal(14,2)"))
+    assert whatif(free, [Scenario(premium_discount=50)]).first().delta == 0.0
+
+
+def test_days_past_due_come_down_to_their_target(scored):
+    late = scored(max_days_past_due=120)
+    scores = [whatif(late, [Scenario(clear_past_due=True, past_due_target=n)]).first().predicted_churn_risk for n in (0, 45, 100, 500)]
+    assert scores[0] < scores[1] < scores[2] == scores[3] == whatif(late, [Scenario()]).first().predicted_churn_risk
