@@ -19,7 +19,7 @@ BACKOFF = 0.4
 
 
 class Grams:
-    """The n-grams of a block, as one table of keys and counts for all orders."""
+    """The n-grams of a block, per order: where they end, and their keys."""
 
     def __init__(self, block: Block, order: int):
         starts, ends, self.firsts, self.lasts = words(block)
@@ -34,8 +34,43 @@ class Grams:
             self.at.append(first + size - 1)
             self.keys.append(window_keys(sums, first, first + size) + np.uint64(size))
 
-    def table(self) -> tuple[np.ndarray, np.ndarray]:
-        return np.unique(np.concatenate(self.keys), return_counts=True)
+    def spread(self, size: int, values: np.ndarray) -> np.ndarray:
+        """Values of the n-grams of a size by the position of their last word, zero where none ends."""
+        out = np.zeros(self.n, values.dtype)
+        out[self.at[size - 1]] = values
+        return out
+
+    def sent(self, level: int, seen: list[np.ndarray]) -> np.ndarray:
+        """The keys that an exchange asks for: words and pairs first, then one order more each time.
+
+        An n-gram can occur in another document only if both n-grams one word shorter inside it do. So only those
+        go; `seen` says for the orders below how often each n-gram occurs elsewhere. All its occurrences in a
+        document go or none, and all documents that share it send it, so the counts that matter are whole.
+        """
+        if level == 0:
+            return np.concatenate(self.keys[:2])
+        return self.keys[level + 1][self.open(level + 2, seen)]
+
+    def open(self, size: int, seen: list[np.ndarray]) -> np.ndarray:
+        """Which n-grams of a size can occur in another document."""
+        shorter, at = self.spread(size - 1, seen[size - 2]), self.at[size - 1]
+        return (shorter[at] > 0) & (shorter[at - 1] > 0)
+
+    def elsewhere(self, back: list[dict[int, bytes]], ranges: int) -> list[np.ndarray]:
+        """Per order, how often each n-gram occurs in other documents, as far as the exchanges have told."""
+        seen: list[np.ndarray] = []
+        empty = np.zeros(0, np.int64)
+        for level, told in enumerate(back):
+            distinct = np.unique(self.sent(level, seen))
+            counts = np.concatenate([unpack(told[p]) if p in told else empty for p in range(ranges)])
+            for size in range(1, min(2, len(self.keys)) + 1) if level == 0 else (level + 2,):
+                keys, doc = self.keys[size - 1], self.doc[self.at[size - 1]]
+                asked = np.ones(len(keys), bool) if level == 0 else self.open(size, seen)
+                found = np.zeros(len(keys), np.int64)
+                own = own_counts(keys[asked], doc[asked], len(self.firsts))
+                found[asked] = counts[np.searchsorted(distinct, keys[asked])] - own
+                seen.append(found)
+        return seen
 
 
 def cut(keys: np.ndarray, ranges: int) -> np.ndarray:
@@ -52,15 +87,17 @@ def unpack(blob: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u8").ravel().astype(np.int64)
 
 
-def ngram_counts(blocks: DataFrame, order: int, ranges: int) -> DataFrame:
-    """`block`, `part`, `bits`: for each distinct n-gram of a block, in key order, its count in the whole corpus.
+def ngram_counts(blocks: DataFrame, known: list[DataFrame], order: int, ranges: int) -> DataFrame:
+    """`block`, `part`, `bits`: for each distinct n-gram that a block sends, in key order, its count in the corpus.
 
-    A block sends its distinct n-grams with their counts, already summed, to the task of their hash range; that
-    task holds the range of the count table and joins the blocks' n-grams to it.
+    `known` holds the counts of the orders below. A block sends its distinct n-grams with their counts, already
+    summed, to the task of their hash range; that task holds the range of the count table and joins the blocks'
+    n-grams to it.
     """
 
     def send(block: Block, back: list[dict[int, bytes]]) -> Iterator[pa.RecordBatch]:
-        keys, counts = Grams(block, order).table()
+        grams = Grams(block, order)
+        keys, counts = np.unique(grams.sent(len(back), grams.elsewhere(back, ranges)), return_counts=True)
         at = cut(keys, ranges)
         rows = [(p, encode(k), pack(c)) for p, (k, c) in enumerate(zip(np.split(keys, at), np.split(counts, at), strict=True)) if len(k)]
         parts, blobs, sizes = zip(*rows, strict=True) if rows else ((), (), ())
@@ -83,7 +120,7 @@ def ngram_counts(blocks: DataFrame, order: int, ranges: int) -> DataFrame:
         back = [pack(totals[np.searchsorted(distinct, keys)]) for keys in lists]
         return pa.table({"block": table["block"], "part": table["part"], "bits": pa.array(back, pa.binary())})
 
-    sent = per_block(blocks, [], send, "block long, part int, keys binary, counts binary")
+    sent = per_block(blocks, known, send, "block long, part int, keys binary, counts binary")
     return keep(sent.groupBy("part").applyInArrow(join, "block long, part int, bits binary"), "counts")
 
 
@@ -102,7 +139,8 @@ def lm_scores(docs: DataFrame, order: int = 2, id_col: str = "doc_id", text_col:
     down to the share of the word among all words, where a word seen nowhere else counts as half a time. Contexts
     do not cross documents, so a text's first words have shorter ones.
 
-    Counts are those of all documents, up to `order` words, exact but for 64-bit fingerprints. A copy of a
+    Counts are those of all documents, up to `order` words, exact but for 64-bit fingerprints; of longer n-grams
+    than pairs only those are exchanged whose shorter parts occur elsewhere, as all others back off. A copy of a
     document elsewhere counts, as in any corpus. Null and empty texts have no words and a score of zero. Repeated
     rows are documents of their own. An empty table gives no rows; other columns are not read.
     """
@@ -118,15 +156,11 @@ def lm_scores(docs: DataFrame, order: int = 2, id_col: str = "doc_id", text_col:
 
     def score(block: Block, back: list[dict[int, bytes]]) -> Iterator[pa.RecordBatch]:
         grams = Grams(block, order)
-        distinct, _ = grams.table()
-        empty = np.zeros(0, np.int64)
-        counts = np.concatenate([unpack(back[0][p]) if p in back[0] else empty for p in range(ranges)])
         n_words = grams.lasts - grams.firsts
         others = (all_words - n_words)[grams.doc].astype(np.float64)
         score = below = np.zeros(grams.n)  # below: how often the n-gram one shorter that ends at a word was seen
-        for size, (at, keys) in enumerate(zip(grams.at, grams.keys, strict=True), 1):
-            doc = grams.doc[at]
-            seen = (counts[np.searchsorted(distinct, keys)] - own_counts(keys, doc, len(n_words))).astype(np.float64)
+        for size, (at, found) in enumerate(zip(grams.at, grams.elsewhere(back, ranges), strict=True), 1):
+            seen = found.astype(np.float64)
             if size == 1:
                 score = np.log(np.maximum(seen, 0.5) / np.maximum(others, 1.0))
                 score = np.minimum(score, 0.0)
@@ -136,12 +170,12 @@ def lm_scores(docs: DataFrame, order: int = 2, id_col: str = "doc_id", text_col:
             hit = seen > 0
             lower = score[at] + np.log(BACKOFF)
             score[at] = np.where(hit, np.log(np.where(hit, seen, 1.0) / np.where(hit, context, 1.0)), lower)
-            spread = np.zeros(grams.n)
-            spread[at] = seen
-            below = spread
+            below = grams.spread(size, seen)
         summed = np.bincount(grams.doc, weights=score, minlength=len(n_words)).astype(np.float64)
         mean = pa.array(summed / np.maximum(n_words, 1), mask=n_words == 0)
         yield pa.record_batch({"doc_id": block.ids, "n_words": n_words, "log_score": summed, "mean_log_score": mean})
 
-    counted = ngram_counts(blocks, order, ranges)
-    return per_block(blocks, [counted], score, "doc_id long, n_words long, log_score double, mean_log_score double")
+    counted: list[DataFrame] = []
+    for _ in range(max(1, order - 1)):  # words and pairs together, then one order at a time
+        counted.append(ngram_counts(blocks, counted, order, ranges))
+    return per_block(blocks, counted, score, "doc_id long, n_words long, log_score double, mean_log_score double")
