@@ -94,7 +94,9 @@ def write_log(checks: DataFrame, log_dir: str, run_id: str) -> None:
 
 
 def latest_log(spark: SparkSession, log_dir: str, limit: int = 50) -> DataFrame:
-    return spark.read.parquet(log_dir).drop("run").orderBy(c("check_timestamp").desc()).limit(limit)
+    """The newest entries; rows of one run share their time and come in the order of what they check."""
+    order = [c("check_timestamp").desc(), c("check_type").asc(), c("table_name").asc(), c("metric_name").asc()]
+    return spark.read.parquet(log_dir).drop("run").orderBy(*order).limit(limit)
 
 
 # -------------------------------------------------------------- validation

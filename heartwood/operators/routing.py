@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -31,7 +32,7 @@ PATTERNS = (
 
 
 def in_scope(question: Column, company_words: Sequence[str] = ()) -> Column:
-    words = [w.lower() for w in (*DOMAIN_WORDS, *company_words)]
+    words = [re.escape(w.lower()) for w in (*DOMAIN_WORDS, *company_words)]
     return F.regexp_like(F.lower(question), F.lit("|".join(words)))
 
 

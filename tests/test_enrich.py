@@ -133,3 +133,9 @@ def test_rare_sentences_by_brute_force_with_hot_words_sent_or_joined(rows):
     for hot in (1, 3, 2000):
         found = {r.transcript_id: r.chosen for r in enrich.rare_sentences(df, 2, hot).collect()}
         assert found == want
+
+
+def test_words_of_the_caller_are_no_patterns(rows):
+    turns = rows("conv_id, turn, role, text", "(1L, 1L, 'user', 'is a.b+c here'), (2L, 1L, 'user', 'is axbbc here')")
+    found = {r.conv_id: r.route for r in route_questions(turns, ["A.B+C"]).collect()}
+    assert found == {1: "other", 2: "guard"}
