@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,9 +37,28 @@ def _first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n:
     return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= n)
 
 
-def dedup_latest(df: DataFrame, keys: Sequence[str], order_col: str, tiebreak: Sequence[str] = ()) -> DataFrame:
-    """Newest row of each key. An unknown time counts as newest; ``tiebreak`` settles equal times."""
-    return top_per_key(df, keys, [newest_first(c) for c in (order_col, *tiebreak)], 1)
+def dedup_latest(
+    df: DataFrame, keys: Sequence[str], order_col: str, tiebreak: Sequence[str] = (), repeated: DataFrame | None = None
+) -> DataFrame:
+    """Newest row of each key. An unknown time counts as newest; ``tiebreak`` settles equal times.
+
+    ``repeated`` may name all keys that occur more than once (others among them do no harm), as `repeated_keys`
+    finds them. Then only their rows are sorted, and all others stay where they are.
+    """
+    order = [newest_first(c) for c in (order_col, *tiebreak)]
+    if repeated is None:
+        return top_per_key(df, keys, order, 1)
+    if repeated.isEmpty():
+        return df
+    named = repeated.select(*[F.col(key).alias(f"_{key}") for key in keys])
+    same = reduce(Column.__and__, [F.col(key).eqNullSafe(F.col(f"_{key}")) for key in keys])
+    once = df.join(named, same, "left_anti")
+    return once.unionByName(top_per_key(df.join(named, same, "left_semi"), keys, order, 1))
+
+
+def repeated_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The keys, NULL included, that more than one row has. Only keys and counts move."""
+    return df.groupBy(*keys).agg(F.count("*").alias("_n")).filter("_n > 1").select(*keys)
 
 
 def outer_key(key: Column) -> Column:

@@ -21,9 +21,9 @@ def or_zero(name: str):
     return F.coalesce(F.col(name), F.lit(0))
 
 
-def clean_customers(raw: DataFrame, as_of: AsOf) -> DataFrame:
+def clean_customers(raw: DataFrame, as_of: AsOf, repeated: DataFrame | None = None) -> DataFrame:
     today = as_date(as_of)
-    return dedup_latest(raw, ["customer_id"], "updated_at", ["created_at", "city"]).select(
+    return dedup_latest(raw, ["customer_id"], "updated_at", ["created_at", "city"], repeated).select(
         "customer_id",
         title_case(F.col("first_name")).alias("first_name"),
         title_case(F.col("last_name")).alias("last_name"),
@@ -47,11 +47,11 @@ def clean_customers(raw: DataFrame, as_of: AsOf) -> DataFrame:
     )
 
 
-def clean_policies(raw: DataFrame, as_of: AsOf) -> DataFrame:
+def clean_policies(raw: DataFrame, as_of: AsOf, repeated: DataFrame | None = None) -> DataFrame:
     """``is_expired`` compares the normalised status, so an active policy past its end date is found."""
     today = as_date(as_of)
     status = upper_trim("policy_status")
-    return dedup_latest(raw, ["policy_id"], "created_at", ["customer_id"]).select(
+    return dedup_latest(raw, ["policy_id"], "created_at", ["customer_id"], repeated).select(
         "policy_id",
         "customer_id",
         upper_trim("policy_type").alias("policy_type"),
@@ -70,10 +70,10 @@ def clean_policies(raw: DataFrame, as_of: AsOf) -> DataFrame:
     )
 
 
-def clean_claims(raw: DataFrame, as_of: AsOf) -> DataFrame:
+def clean_claims(raw: DataFrame, as_of: AsOf, repeated: DataFrame | None = None) -> DataFrame:
     ties = ["claim_amount", "settlement_amount", "filed_date", "resolved_date"]
     settled = F.col("settlement_amount").isNotNull() & (F.col("claim_amount") > 0)
-    return dedup_latest(raw, ["claim_id"], "created_at", ties).select(
+    return dedup_latest(raw, ["claim_id"], "created_at", ties, repeated).select(
         "claim_id",
         "policy_id",
         "customer_id",
@@ -90,10 +90,10 @@ def clean_claims(raw: DataFrame, as_of: AsOf) -> DataFrame:
     )
 
 
-def clean_loans(raw: DataFrame, as_of: AsOf) -> DataFrame:
+def clean_loans(raw: DataFrame, as_of: AsOf, repeated: DataFrame | None = None) -> DataFrame:
     owed = (F.col("outstanding_balance") > 0) & (F.col("principal_amount") > 0)
     late = F.col("days_past_due")
-    return dedup_latest(raw, ["loan_id"], "created_at", ["customer_id"]).select(
+    return dedup_latest(raw, ["loan_id"], "created_at", ["customer_id"], repeated).select(
         "loan_id",
         "customer_id",
         upper_trim("loan_type").alias("loan_type"),
@@ -135,13 +135,13 @@ def normalise_interactions(raw: DataFrame) -> DataFrame:
     )
 
 
-def clean_interactions(raw: DataFrame, as_of: AsOf | None = None) -> DataFrame:
-    return normalise_interactions(dedup_latest(raw, ["interaction_id"], "created_at", ["customer_id"]))
+def clean_interactions(raw: DataFrame, as_of: AsOf | None = None, repeated: DataFrame | None = None) -> DataFrame:
+    return normalise_interactions(dedup_latest(raw, ["interaction_id"], "created_at", ["customer_id"], repeated))
 
 
-def clean_call_transcripts(raw: DataFrame, as_of: AsOf | None = None) -> DataFrame:
+def clean_call_transcripts(raw: DataFrame, as_of: AsOf | None = None, repeated: DataFrame | None = None) -> DataFrame:
     spoken = raw.filter(~is_blank(F.col("transcript_text")))
-    return dedup_latest(spoken, ["transcript_id"], "created_at", ["customer_id"]).select(
+    return dedup_latest(spoken, ["transcript_id"], "created_at", ["customer_id"], repeated).select(
         "transcript_id",
         "customer_id",
         "interaction_id",

@@ -22,9 +22,9 @@ LABELS: dict[str, tuple[str, ...]] = {
 DESCRIPTION = r"(?dms)^Description:\n(.*?)(?:\n\n|\z)"
 
 
-def parsed_documents(raw: DataFrame) -> DataFrame:
+def parsed_documents(raw: DataFrame, repeated: DataFrame | None = None) -> DataFrame:
     written = raw.filter(~is_blank(F.col("document_text")))
-    return dedup_latest(written, ["document_id"], "created_at", ["customer_id"]).select(
+    return dedup_latest(written, ["document_id"], "created_at", ["customer_id"], repeated).select(
         "document_id",
         "customer_id",
         "file_name",

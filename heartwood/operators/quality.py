@@ -235,8 +235,8 @@ def values_of(name: str, where: Callable[[], Column] | None = None) -> Callable[
     return lambda: F.size(F.collect_set(c(name) if where is None else F.when(where(), c(name)))).cast("bigint")
 
 
-def whole_percent(part: Callable[[], Column]) -> Callable[[], Column]:
-    return lambda: F.round(percentage(part(), F.count("*"), 1), 0).cast("bigint")
+def whole_percent(part: Callable[[], Column], whole: Callable[[], Column] = rows_where()) -> Callable[[], Column]:
+    return lambda: F.round(percentage(part(), whole(), 1), 0).cast("bigint")
 
 
 def _scored() -> Column:
@@ -270,7 +270,7 @@ DATA_CHECKS = (
     Check(25, "Document", "Customer cross-reference", "scored", rows_where(lambda: c("total_documents") > 0), at_least(1), " customers with docs"),
     Check(26, "Document", "Timeline includes documents", "interaction_timeline", rows_where(lambda: c("event_category") == "Document"), at_least(1), " doc events"),
     Check(27, "AI Quality", "Churn parse success", "scored", whole_percent(lambda: count_when(c("churn_risk_score").isNull())), lambda v: v < 5, "% null scores (need < 5%)"),
-    Check(28, "AI Quality", "NBA parse success", "next_best_action", whole_percent(lambda: count_when(c("action_type").isNull())), lambda v: v < 5, "% null actions (need < 5%)"),
+    Check(28, "AI Quality", "NBA parse success", "scored", whole_percent(lambda: count_when(_scored() & c("action_type").isNull()), lambda: F.count("churn_risk_score")), lambda v: v < 5, "% null actions (need < 5%)"),
     Check(33, "Data Quality", "Timeline: 6 event categories", "interaction_timeline", values_of("event_category"), at_least(6), " categories (need >= 6)"),
     Check(35, "App Health", "All layers populated", "populated", rows_where(), at_least(20), " populated tables"),
     Check(36, "App Health", "Doc-customer cross-ref probe", "scored", rows_where(lambda: c("total_documents") > 0), at_least(1), " customers with docs"),

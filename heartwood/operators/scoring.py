@@ -34,6 +34,11 @@ def risk_points() -> dict[str, Column]:
     }
 
 
+def has_score() -> Column:
+    """Which customers get a churn score, and with it an action."""
+    return F.col("tenure_months").isNotNull() & F.col("is_active").isNotNull()
+
+
 def churn_columns() -> dict[str, Column]:
     """Score, urgency, factors and confidence; all NULL when tenure or activity is unknown."""
     points = risk_points()
@@ -42,7 +47,7 @@ def churn_columns() -> dict[str, Column]:
         total = total + value
     total = total - F.when(F.col("tenure_months") >= 60, 10).otherwise(0)
     total = total - F.when(F.col("active_policies") >= 8, 5).otherwise(0)
-    known = F.col("tenure_months").isNotNull() & F.col("is_active").isNotNull()
+    known = has_score()
     score = F.least(F.greatest(total, F.lit(0)), F.lit(100)).cast("double") / F.lit(100.0)
     raised = F.array_compact(F.array(*[F.when(value > 0, name) for name, value in points.items()]))
     domains = ["total_policies", "total_claims", "total_loans", "total_interactions", "total_calls"]

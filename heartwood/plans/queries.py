@@ -208,7 +208,7 @@ APP_TABLES = ("role_region_mapping", "ai_quality_log", "nba_email_log")
 def layer_row_counts(t: Tables) -> DataFrame:
     """Rows per table and layer."""
     counted = [
-        quality.row_counts({name: t[name] for name in names}).select(F.lit(layer).alias("layer"), "*")
+        quality.row_counts({name: t.rows(name) for name in names}).select(F.lit(layer).alias("layer"), "*")
         for layer, names in LAYERS.items()
     ]
     return quality.union(counted)
@@ -222,7 +222,7 @@ def layer_totals(t: Tables) -> DataFrame:
 
 def refresh_mode_counts(t: Tables) -> DataFrame:
     """Derived tables and their rows by the way they are refreshed."""
-    counts = quality.row_counts({name: t[name] for layer in ("CLEAN", "CURATED", "AI") for name in LAYERS[layer]})
+    counts = quality.row_counts({name: t.rows(name) for layer in ("CLEAN", "CURATED", "AI") for name in LAYERS[layer]})
     mode = F.when(F.col("table_name").isin(*layers.INCREMENTAL), "INCREMENTAL").otherwise("FULL")
     return counts.groupBy(mode.alias("refresh_mode")).agg(
         F.count("*").alias("tables"), F.sum("row_count").alias("row_count")
@@ -272,18 +272,23 @@ def stored_check_suite(t: Tables) -> DataFrame:
     return layers.stored_checks(stored_catalog(t), quality.DATA_CHECKS, quality.CATALOG_CHECKS, registries())
 
 
+# Tables of which the check suite and the probes ask for counts alone, or rows by category.
+COUNTED = ("clean_claims", "clean_loans", "interaction_timeline", "document_extracted")
+
+
 def check_suite(t: Tables) -> DataFrame:
     names = {check.table for check in quality.DATA_CHECKS} - {"populated"}
-    every = {name: t[name] for names_ in LAYERS.values() for name in names_}
-    tables = {name: t[name] for name in names} | {"populated": quality.populated(every), "catalog": catalog(t)}
+    every = {name: t.rows(name, any_row=True) for names_ in LAYERS.values() for name in names_}
+    tables = {name: t.rows(name) if name in COUNTED else t[name] for name in names} | {"populated": quality.populated(every), "catalog": catalog(t)}
     return quality.check_suite(tables, (*quality.CATALOG_CHECKS, *quality.DATA_CHECKS))
 
 
 def probe_results(t: Tables) -> DataFrame:
     filled = quality.union(
-        t[name].limit(1).select(F.lit(layer).alias("layer")) for layer, names in LAYERS.items() for name in names
+        t.rows(name, any_row=True).limit(1).select(F.lit(layer).alias("layer")) for layer, names in LAYERS.items() for name in names
     )
-    tables = {name: t[name] for name in ("scored", "document_extracted", "interaction_timeline", "transcript_sentiment")}
+    tables = {name: t[name] for name in ("scored", "transcript_sentiment")}
+    tables |= {name: t.rows(name) for name in ("document_extracted", "interaction_timeline")}
     return quality.probe_results(tables | {"layers": filled, "role_region_mapping": mapping(t)})
 
 
@@ -295,7 +300,7 @@ QUERIES |= {
     "check_nba_completeness": lambda t: quality.check_nba_completeness(t["next_best_action"]),
     "check_churn_range": lambda t: quality.check_churn_range(t["churn_risk"]),
     "check_sentiment_range": lambda t: quality.check_sentiment_range(t["transcript_sentiment"]),
-    "validation_row_counts": lambda t: quality.row_counts({name: t[name] for name in VALIDATED}),
+    "validation_row_counts": lambda t: quality.row_counts({name: t.rows(name) for name in VALIDATED}),
     "orphan_policies": lambda t: quality.orphan_policies(t["raw_policies"], t["raw_customers"]),
     "orphan_claims": lambda t: quality.orphan_claims(t["raw_claims"], t["raw_policies"], t["raw_customers"]),
     "orphan_loans": lambda t: quality.orphan_loans(t["raw_loans"], t["raw_customers"]),

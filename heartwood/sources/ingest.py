@@ -42,7 +42,7 @@ def read_batches(spark: SparkSession, table_dir: str, like: DataFrame) -> DataFr
 
 def replace_table(df: DataFrame, table_dir: str) -> DataFrame:
     """Create a table from a result, in place of an earlier one, and read it back."""
-    df.write.mode("overwrite").parquet(table_dir)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(table_dir)
     return df.sparkSession.read.schema(df.schema).parquet(table_dir)
 
 
