@@ -15,7 +15,7 @@ from heartwood.sources.files import SharedFiles
 #: Folders of the postings by default; a search reads those that its terms fall into.
 BUCKETS = 64
 #: Documents of a term that one task writes, about; more frequent terms are dealt out over several.
-DOCUMENTS_PER_PART = 1_000_000
+DOCUMENTS_PER_PART = 500_000
 #: Asked terms that are sent to every task, and whose folders are named; more are joined by a shuffle.
 FEW_TERMS = 20_000
 
@@ -49,8 +49,9 @@ class TextIndex:
         """Index a corpus with one row per `document_key`.
 
         Words are counted per document before the shuffle. Postings lie in folders by a hash of the term, sorted by
-        term, so that a search skips what it does not ask for; a frequent term is spread over the tasks by a hash of
-        the document, in proportion to its frequency. Documents without words count for the mean length.
+        term, so that a search skips what it does not ask for. A folder is dealt out over tasks by a hash of the term
+        and a frequent term by a hash of the document, both in proportion to their postings: what a task sorts does
+        not grow with the corpus. Documents without words count for the mean length.
         """
         spark = corpus.sparkSession
         index = TextIndex(path.rstrip("/"))
@@ -68,9 +69,15 @@ class TextIndex:
         frequencies = counts.groupBy("term", "bucket").agg(F.count("*").alias("df"))
         frequencies.repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{index.path}/terms")
         frequent = index.terms(spark).filter(F.col("df") > DOCUMENTS_PER_PART).select("term", F.ceil(F.col("df") / DOCUMENTS_PER_PART).alias("parts"))
-        part = F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("document_key"), "parts")).otherwise(0)
-        placed = counts.join(frequent, "term", "left").withColumn("part", part).repartition("bucket", "part")
-        placed = placed.sortWithinPartitions("bucket", "term", "document_key").drop("parts", "part")
+        folders = [r.n for r in index.terms(spark).groupBy("bucket").agg(F.sum("df").alias("n")).collect()]
+        shares = -(-max(folders, default=1) // DOCUMENTS_PER_PART)  # of the fullest folder
+        spread = F.col("parts").isNotNull()
+        by_document = F.pmod(F.xxhash64("document_key", F.lit(1)), "parts")
+        part = F.when(spread, by_document).otherwise(F.pmod(F.xxhash64("term", F.lit(1)), F.lit(shares)))
+        placed = counts.join(frequent, "term", "left").withColumn("part", part).withColumn("alone", F.when(spread, F.col("term")))
+        tasks = max(min(buckets, spark.sparkContext.defaultParallelism), 2 * (sum(folders) // DOCUMENTS_PER_PART))
+        placed = placed.repartition(tasks, "bucket", "part", "alone")
+        placed = placed.sortWithinPartitions("bucket", "term", "document_key").drop("parts", "part", "alone")
         placed.write.mode("overwrite").partitionBy("bucket").parquet(f"{index.path}/postings")
         SharedFiles(spark, index.path).remove("counts")
         return index
@@ -101,8 +108,11 @@ class TextIndex:
         norm = 1 - F.lit(B) + F.lit(B) * F.col("length") / F.lit(mean or 1.0)
         weight = F.col("idf") * tf * (K1 + 1) / (tf + F.lit(K1) * norm)
         found = hits.join(F.broadcast(weighted) if few else weighted, "term")
-        scored = found.groupBy("query_id", "document_key").agg(
-            *[F.any_value(name).alias(name) for name in ATTRIBUTES], F.round(F.sum(weight), 6).alias("score")
-        )
-        scored = scored.filter("score > 0").select("query_id", "document_key", *ATTRIBUTES, "score")
-        return top_per_key(scored, ["query_id"], [F.col("score").desc(), F.col("document_key").asc()], k, rank="rank")
+        # Attributes are looked up for the best alone: sums are kept by hash, texts among them would have to be sorted.
+        scored = found.groupBy("query_id", "document_key").agg(F.round(F.sum(weight), 6).alias("score")).filter("score > 0")
+        best = top_per_key(scored, ["query_id"], [F.col("score").desc(), F.col("document_key").asc()], k, rank="rank")
+        asked_for = best.select(F.col("document_key").alias("_key")).distinct()
+        carried = hits.join(asked_for, F.col("document_key").eqNullSafe(F.col("_key"))).groupBy("_key")
+        carried = carried.agg(*[F.any_value(name).alias(name) for name in ATTRIBUTES])
+        named = best.join(carried, F.col("document_key").eqNullSafe(F.col("_key")))
+        return named.select("query_id", "document_key", *ATTRIBUTES, "score", "rank").orderBy("query_id", "rank")
