@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 from uuid import uuid4
 
 import numpy as np
@@ -18,7 +19,7 @@ from tokenizers import Tokenizer
 from heartwood.llm.common import keep, map_arrow, new_folder, texts
 
 #: Pieces a worker remembers the ids of; beyond that the half met last goes, as frequent pieces are met early.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 #: Pieces that are encoded in one call, and characters of texts that are cut together.
 TOGETHER, TOGETHER_CHARS = 4096, 1 << 22
 #: Ids that are read back at a time.
@@ -30,6 +31,8 @@ _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: text. A run of letters counts only up to a space, line end, full stop or comma; all else goes to the next space.
 SPACE_LED = re.compile(rf" ?[{_LETTERS}]+(?=[ .,\n]|\Z)|[.,](?=[ \n]|\Z)|\n(?=[{_LETTERS}])| ?[^ ]+| +")
 SPACE_FREE = re.compile(rf"[{_LETTERS}]+(?=[ .,\n]|\Z)|[.,](?=[ \n]|\Z)|\n(?=[{_LETTERS}])|[^ ]+")
+#: Pieces that no tokenizer's pattern cuts: the model alone may encode them, where it is tried to give the same ids.
+LETTERS, LOWER = re.compile(rf" ?[{_LETTERS}]+"), re.compile(" ?[a-zß-öø-ÿ]+")
 #: White space that a byte-level tokenizer reads as one run around a space: such texts are encoded in one go.
 WIDE_SPACE = re.compile(r"\s \s|\s \Z|  |\A |[\x1c-\x1f\x85]")
 #: What such white space needs at least, quicker to look for: a space before other white space, or these characters.
@@ -37,6 +40,17 @@ SPACE_BEFORE_SPACE, ODD_SPACE = re.compile(r" (?:\s|\Z)"), re.compile("[\x1c-\x1
 #: Characters of which lower case may depend on more than the character, or on the library.
 BEYOND_LATIN = re.compile("[İ\u0250-\U0010ffff]")
 
+
+def _byte_letters() -> dict[int, str]:
+    """The letters that stand for bytes in byte-level vocabularies."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [byte for byte in range(256) if byte not in shown]
+    return {byte: chr(byte) for byte in shown} | {byte: chr(256 + at) for at, byte in enumerate(hidden)}
+
+
+#: For pieces of letters, one a line: what stands for their bytes.
+SHOWN = {c: "".join(map(_byte_letters().get, chr(c).encode())) for c in range(256) if c != ord("\n")}
+
 _loaded: dict[str, PieceEncoder] = {}
 
 
@@ -54,6 +68,8 @@ class PieceEncoder:
         self.free = spaced[0] == spaced[1] + spaced[3]
         self.folds = self.free and self._encode(["A"]) == self._encode(["a"])
         self.led = not self.free and spaced[0] == spaced[1] + spaced[2]
+        self.letters = LOWER if self.folds else LETTERS
+        self.direct = (self.free or self.led) and self._model_suffices()
 
     @staticmethod
     def of(path: str) -> PieceEncoder:
@@ -68,6 +84,41 @@ class PieceEncoder:
         raw = np.array(found.ids, self.dtype).tobytes()
         return [raw[low:high] for low, high in zip(cuts.tolist(), cuts[1:].tolist(), strict=False)]
 
+    def _by_model(self, pieces: list[str]) -> list[bytes]:
+        """The ids of pieces of letters by the model alone, without the steps before it and the records of its places."""
+        if not pieces:
+            return []
+        tokenize, lines = self.tokenizer.model.tokenize, "\n".join(pieces)
+        shown = lines.replace(" ", SHOWN[32]) if lines.isascii() else lines.translate(SHOWN)
+        found = [[t.id for t in tokenize(p)] for p in shown.split("\n")]
+        ends = np.cumsum([0, *map(len, found)]) * self.dtype.itemsize
+        raw = np.array(list(chain.from_iterable(found)), self.dtype).tobytes()
+        return [raw[low:high] for low, high in zip(ends.tolist(), ends[1:].tolist(), strict=False)]
+
+    def _model_suffices(self) -> bool:
+        """Whether the model alone gives the same ids for every letter, at all places of a piece."""
+        letters = [c for c in map(chr, range(256)) if self.letters.fullmatch(c) and c != " "]
+        tried = [p for c in letters for p in (c, f"{c}a", f"a{c}a", f"e{c}", c * 3)]
+        tried += ["".join(letters[at : at + 9]) for at in range(len(letters))]
+        if self.led:
+            tried += [f" {p}" for p in tried]
+        try:
+            return self._by_model(tried) == self._encode(tried)
+        except Exception:  # noqa: BLE001 - a model that does not know the letters of bytes
+            return False
+
+    def _learn(self, pieces: list[str]) -> list[str]:
+        """Remember the ids of the distinct pieces of letters, and give back the others."""
+        if not self.direct:
+            return pieces
+        whole = self.letters.fullmatch
+        rest = [p for p in pieces if not whole(p)]
+        plain = list(filter(whole, pieces)) if len(rest) < len(pieces) else []
+        for text in (True, False):  # those in ASCII need no table
+            some = [p for p in plain if p.isascii() is text]
+            self.ids.update(zip(some, self._by_model(some), strict=True))
+        return rest
+
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
@@ -87,24 +138,23 @@ class PieceEncoder:
         return text.lower()
 
     def _of_words(self, words: list[str]) -> list[bytes]:
-        """The ids of words between spaces (with the one before them, if it counts): of their pieces, one by one."""
+        """The ids of words between spaces (with the one before them, if it counts): of their pieces, one by one.
+
+        Words of one piece are remembered, others joined anew from theirs.
+        """
         known, pattern = self.ids, SPACE_FREE if self.free else SPACE_LED
         if len(known) + len(words) > REMEMBERED:
             for piece in list(known)[REMEMBERED // 2 :]:
                 del known[piece]
-        found = list(map(known.get, words))
-        missing = [at for at, ids in enumerate(found) if ids is None]
-        pieces = [pattern.findall(words[at]) for at in missing]
-        new = list({p for some in pieces for p in some if p not in known})
-        fresh = {}
+        rest = self._learn([word for word in words if word not in known])
+        pieces = [pattern.findall(word) for word in rest]
+        new = self._learn(list({p for some in pieces for p in some if p not in known}))
         for low in range(0, len(new), TOGETHER):
             some = new[low : low + TOGETHER]
-            fresh.update(zip(some, self._encode(some), strict=True))
-        known.update(fresh)
+            known.update(zip(some, self._encode(some), strict=True))
         look = known.__getitem__
-        for at, some in zip(missing, pieces, strict=True):
-            found[at] = known[words[at]] = b"".join(map(look, some))
-        return found
+        joined = {word: b"".join(map(look, some)) for word, some in zip(rest, pieces, strict=True)}
+        return [joined[word] if word in joined else known[word] for word in words]
 
     def encode(self, batch: list[str]) -> Iterator[bytes]:
         """The ids of each text, as little-endian integers of `dtype`.
