@@ -1,4 +1,4 @@
-"""Near-duplicate documents by the Jaccard similarity of word shingles: MinHash bands, exact check, components."""
+"""Near-duplicate documents by the Jaccard similarity of word shingles: SimHash, grid over segment popcounts, exact check."""
 
 from __future__ import annotations
 
@@ -12,13 +12,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from heartwood.llm.common import group_starts, keep, map_arrow, texts, utf8, whole_groups
+from heartwood.llm.common import binaries, group_starts, keep, map_arrow, texts, utf8, whole_groups
 from heartwood.llm.components import components
 from heartwood.llm.simhash import SEED, one_each
 from heartwood.llm.tiles import tiled
 
-#: Minima that make a band, and the share of pairs just at the least similarity that no band may bring together.
-ROWS, MISS = 5, 0.0004
+#: The share of pairs just at the least similarity that no group of the grid may bring together.
+MISS = 0.0004
+#: Rows that a cell of the grid should hold, those of a tile, and the rows of a tile that are compared at a time.
+CELL, CHUNK, TOGETHER = 2000, 2048, 256
+#: Sets of fewer shingles have ties more often, so their bits differ more: at most this share of them.
+SHORT, SHORT_SHARE = 32, 0.1875
+#: The share of random pairs of segments of two bits that hold as many ones.
+MEET = 0.375
+#: Words of 64 bits on which the fingerprints of a cell are compared.
+CHECKED = 3
 #: Shingles that are hashed at a time.
 SLICE = 4096
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -36,21 +44,124 @@ def shingles(text: bytes, words: int) -> np.ndarray:
     return np.unique(keys)
 
 
-def band_count(least: float) -> int:
-    """Bands for which a pair just at `least` is missed with probability MISS."""
-    return math.ceil(math.log(MISS) / math.log1p(-(least**ROWS)))
+def bit_share(least: float) -> float:
+    """The share of fingerprint bits in which sets of Jaccard similarity `least` differ: their angle."""
+    return math.acos(2 * least / (1 + least)) / math.pi
 
 
-def band_keys(keys: np.ndarray, bands: int) -> np.ndarray:
-    """Per band, a hash of its minima."""
+def shape(nodes: int, least: float) -> tuple[int, int, int]:
+    """Segments in a group, groups, and groups of short sets: cells stay as full and the recall stays the same."""
+    dims = max(2, math.ceil(math.log(max(nodes, 1) / CELL) / -math.log(MEET)))
+
+    def groups(differ: float) -> int:
+        same = ((1 - differ) ** 2 + differ**2 / 2) ** dims
+        return math.ceil(math.log(MISS) / math.log1p(-same))
+
+    differ = bit_share(least)
+    return dims, groups(differ), groups(max(differ, SHORT_SHARE))
+
+
+def width(dims: int, groups: int) -> int:
+    """Words of 64 bits for so many groups of segments of two bits."""
+    return max(CHECKED, math.ceil(2 * dims * groups / 64))
+
+
+def fingerprint(keys: np.ndarray, words: int) -> np.ndarray:
+    """SimHash over so many words: per bit whether it is set in over half of the hashes, drawn anew per word."""
     draw = np.random.default_rng(SEED)
-    seeds, factors = draw.integers(0, 2**64, (2, bands * ROWS, 1), np.uint64)
-    least = np.full(bands * ROWS, 2**64 - 1, np.uint64)
+    seeds, factors = draw.integers(0, 2**64, (2, 1, words), np.uint64)
+    ones = np.zeros(64 * words, np.int64)
     for at in range(0, len(keys), SLICE):
-        mixed = (keys[None, at : at + SLICE] ^ seeds) * (factors | np.uint64(1))
+        mixed = (keys[at : at + SLICE, None] ^ seeds) * (factors | np.uint64(1))
         mixed ^= mixed >> np.uint64(32)
-        least = np.minimum(least, (mixed * FACTOR).min(axis=1))
-    return np.array([xxhash.xxh64_intdigest(row.tobytes(), band) for band, row in enumerate(least.reshape(bands, ROWS))], np.uint64)
+        mixed *= FACTOR
+        mixed ^= mixed >> np.uint64(29)
+        ones += np.unpackbits(mixed.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint16)
+    return np.packbits(2 * ones > len(keys), bitorder="little").view("<u8")
+
+
+def grid_cells(prints: np.ndarray, dims: int, groups: int) -> np.ndarray:
+    """Per fingerprint and group the cell that it stands in: the counts of ones of the group's segments of two bits."""
+    counts = (prints[:, :, None] >> np.arange(0, 64, 2, dtype=np.uint64)) & np.uint64(3)
+    counts = (counts - (counts >> np.uint64(1))).astype(np.int64).reshape(len(prints), -1)  # 0 1 2 3 -> 0 1 1 2 ones
+    points = counts[:, : dims * groups].reshape(len(prints), groups, dims)
+    return (points @ 3 ** np.arange(dims, dtype=np.int64)) * groups + np.arange(groups)
+
+
+def distance(least: float, words: int) -> int:
+    """Bits of so many words in which fingerprints of similar sets differ at most: four standard deviations more."""
+    differ, bits = max(bit_share(least), SHORT_SHARE), 64 * words
+    return math.ceil(bits * differ + 4 * math.sqrt(bits * differ * (1 - differ)))
+
+
+def near_rows(prints: np.ndarray, side: np.ndarray, cross: bool, least: float) -> np.ndarray:
+    """Per row of a tile the smallest row that it reaches by fingerprints within `distance`, in the first word and in all."""
+    label = np.arange(len(prints))
+    first, all_words = distance(least, 1), distance(least, prints.shape[1])
+    ends = []
+    for low in range(0, len(prints), TOGETHER):
+        near = np.bitwise_count(prints[low : low + TOGETHER, None, 0] ^ prints[None, low:, 0]) <= first
+        if cross:
+            near &= side[low : low + TOGETHER, None] != side[None, low:]
+        i, j = np.nonzero(near)
+        i, j = i[i < j] + low, j[i < j] + low
+        kept = np.bitwise_count(prints[i] ^ prints[j]).sum(axis=1) <= all_words
+        ends.append(np.stack([i[kept], j[kept]]))
+    i, j = np.concatenate(ends, axis=1)
+    while True:
+        least = label.copy()
+        np.minimum.at(least, j, label[i])
+        np.minimum.at(least, i, label[j])
+        least = least[least]
+        if (least == label).all():
+            return label
+        label = least
+
+
+def candidates(nodes: DataFrame, least: float, dims: int, groups: int, short: int) -> DataFrame:
+    """`bucket`, `node`: nodes that fingerprints within a cell of the grid bring together, two of a bucket at least.
+
+    `nodes` has the columns `node`, `size` (its shingles) and `print`. A cell's rows are compared in tiles; what a
+    tile links is one bucket, so that nothing is emitted per pair; the same nodes are one bucket in every cell.
+    """
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            prints = binaries(batch["print"], "<u8")
+            wanted = np.arange(short) < np.where(batch["size"].to_numpy() < SHORT, short, groups)[:, None]
+            row, _ = np.nonzero(wanted)
+            found = {"bucket": grid_cells(prints, dims, short)[wanted], "node": batch["node"].to_numpy()[row]}
+            found |= {f"p{k}": prints[row, k].view(np.int64) for k in range(CHECKED)}
+            yield pa.record_batch(found)
+
+    checked = [f"p{k}" for k in range(CHECKED)]
+    columns = ", ".join(f"{name} long" for name in ["bucket", "node", *checked])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, ["bucket", "tile"]):
+            node, side, cross = (table[name].to_numpy() for name in ("node", "side", "cross"))
+            prints = np.stack([table[name].to_numpy() for name in checked], axis=1).view(np.uint64)
+            starts = group_starts(table, ["bucket", "tile"]).tolist()
+            names, members = [], []
+            for start, end in zip(starts, [*starts[1:], len(node)], strict=True):
+                if end - start < 2:
+                    continue
+                mine = node[start:end]
+                label = near_rows(prints[start:end], side[start:end], bool(cross[start]), least)
+                kept = np.flatnonzero(np.bincount(label, minlength=len(label))[label] > 1)
+                name = np.zeros(len(label), np.uint64)
+                mixed = (mine[kept].view(np.uint64) ^ (mine[kept].view(np.uint64) >> np.uint64(31))) * FACTOR
+                np.add.at(name, label[kept], mixed)
+                names.append(name[label[kept]]), members.append(mine[kept])
+            empty = np.zeros(0, np.uint64)
+            bucket = np.concatenate([empty, *names]).view(np.int64)
+            yield pa.record_batch({"bucket": bucket, "node": np.concatenate([empty.view(np.int64), *members])})
+
+    rows = map_arrow(nodes.select("node", "size", "print"), cells, columns)
+    tiles = tiled(rows, "node", CHUNK).select("bucket", "tile", "side", "cross", "node", *checked)
+    return map_arrow(tiles, meet, "bucket long, node long").distinct()
 
 
 def alike(common: np.ndarray, a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
@@ -79,19 +190,19 @@ def tile_links(sets: list[np.ndarray], label: np.ndarray, least: float) -> list[
     return out
 
 
-def links(nodes: DataFrame, carriers: DataFrame, words: int, least: float) -> DataFrame:
+def links(near: DataFrame, carriers: DataFrame, words: int, least: float) -> DataFrame:
     """`a`, `b`: links between the values of `node`, enough to span every component.
 
-    `nodes` has the columns `node` and `bands` (an array of band hashes), one row per distinct set; `carriers`
-    has `node` and `text`, any texts of that set. Sets are made again for those nodes only that share a band:
+    `near` has the columns `bucket` and `node`: the buckets of candidates, one row per distinct set; `carriers`
+    has `node` and `text`, any texts of that set. Sets are made again for the candidates only:
     these are first compared with one node of their bucket, so
     that a group of copies costs one comparison each; a bucket of several components after that is compared
     whole in tiles, but for pairs that are in one component by now.
     """
-    banded = keep(nodes.select(F.explode("bands").alias("bucket"), "node"), "bands")
+    near = keep(near, "near")
     drawn = F.struct(F.xxhash64("node").alias("p"), F.col("node").alias("n"))
-    shared = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min(drawn)["n"].alias("hub")).where("n > 1")
-    members = keep(banded.join(shared, "bucket"), "members")
+    shared = near.groupBy("bucket").agg(F.count("*").alias("n"), F.min(drawn)["n"].alias("hub")).where("n > 1")
+    members = keep(near.join(shared, "bucket"), "members")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,7 +228,7 @@ def links(nodes: DataFrame, carriers: DataFrame, words: int, least: float) -> Da
     labelled = keep(labelled, "labelled")
     same = [F.count("*").alias("n"), F.min("node").alias("first"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("all")]
     apart = labelled.groupBy("bucket").agg(*same, F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-    once = apart.groupBy("n", "first", "all").agg(F.min("bucket").alias("bucket"))  # bands often bring the same nodes together
+    once = apart.groupBy("n", "first", "all").agg(F.min("bucket").alias("bucket"))  # buckets often hold the same nodes
     rest = keep(labelled.join(once.select("bucket"), "bucket").join(sets, "node").select("bucket", "node", "label", "keys"), "rest")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,37 +252,36 @@ def one_per_similar(
     """The rows of `docs` without near duplicates: of each group the row with the smallest id stays, unchanged.
 
     Two texts link where the Jaccard similarity of their sets of `words`-word shingles is `least` or more; a
-    group is what links reach. Every link is checked on the whole sets (64-bit hashes of the shingles). A pair
-    just at `least` is not found with probability 0.0004, a closer one far more rarely. Case (of A to Z) and white
+    group is what links reach. Candidates come from SimHash fingerprints of the sets: segments of two bits become
+    counts of ones, groups of these span a grid, and those of one cell (Manhattan distance zero in a group) are
+    compared by their bits. Dimensions, groups and bits follow the number of distinct sets. Every link is checked
+    on the whole sets (64-bit hashes of the shingles). A pair
+    just at `least` is not found with probability 0.0004 or little more, a closer one far more rarely. Case (of A to Z) and white
     space do not count. A text of fewer words is one shingle; texts without words are copies of one another.
 
     Texts of equal sets are one node however many rows carry them. Of rows with the same id and set one stays. A
     null id stays only where its group has no other. An empty table gives no rows.
     """
-    bands = band_count(least)
+    rows = texts(docs, id_col, text_col, docs.columns)
+    dims, groups, short = shape(rows.count(), least)
+    words_wide = width(dims, short)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(text, words) for text in utf8(batch["text"])]
             fp = [xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets]
-            drawn = [band_keys(x, bands).tobytes() for x in sets]
             fp = np.array(fp, np.uint64).view(np.int64)
-            yield pa.record_batch({"doc": batch["doc"], "doc_id": batch["doc_id"], "fp": fp, "drawn": pa.array(drawn, pa.binary())})
+            prints = [fingerprint(x, words_wide).tobytes() for x in sets]
+            found = {"doc": batch["doc"], "doc_id": batch["doc_id"], "fp": fp, "size": np.array([len(x) for x in sets], np.int64)}
+            yield pa.record_batch(found | {"print": pa.array(prints, pa.binary())})
 
-    rows = texts(docs, id_col, text_col, docs.columns)
-    columns = [rows.schema["doc"], StructField("doc_id", LongType()), StructField("fp", LongType()), StructField("drawn", BinaryType())]
+    columns = [rows.schema["doc"], *(StructField(name, LongType()) for name in ("doc_id", "fp", "size")), StructField("print", BinaryType())]
     printed = keep(map_arrow(rows, run, StructType(columns)), "printed")
-    nodes = keep(printed.groupBy("fp").agg(F.min("doc_id").alias("first"), F.first("drawn").alias("drawn")), "nodes")
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            flat = np.frombuffer(b"".join(batch["drawn"].to_pylist()), "<i8")
-            ends = pa.array(np.arange(0, len(flat) + 1, bands, dtype=np.int32))
-            yield pa.record_batch({"node": batch["node"], "bands": pa.ListArray.from_arrays(ends, pa.array(flat))})
-
-    banded = map_arrow(nodes.select(F.col("fp").alias("node"), "drawn"), split, "node long, bands array<long>")
+    one = [F.min("doc_id").alias("first"), F.first("size").alias("size"), F.first("print").alias("print")]
+    nodes = keep(printed.groupBy("fp").agg(*one), "nodes")
     text = F.coalesce(F.col("doc")[text_col], F.lit("")).alias("text")
-    found = links(banded, printed.select(F.col("fp").alias("node"), text), words, least)
-    groups = components(found).withColumnsRenamed({"id": "fp", "component": "root"})
-    rooted = nodes.join(groups, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    near = candidates(nodes.withColumnRenamed("fp", "node"), least, dims, groups, short)
+    found = links(near, printed.select(F.col("fp").alias("node"), text), words, least)
+    joined = components(found).withColumnsRenamed({"id": "fp", "component": "root"})
+    rooted = nodes.join(joined, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     return one_each(printed.select("doc", "doc_id", "fp"), keep(rooted, "rooted"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 from uuid import uuid4
 
 import numpy as np
@@ -20,8 +20,11 @@ from heartwood.llm.common import keep, map_arrow, new_folder, texts
 
 #: Pieces a worker remembers the ids of; beyond that the half met last goes, as frequent pieces are met early.
 REMEMBERED = 400_000
-#: Pieces that are encoded in one call, and characters of texts that are cut together.
-TOGETHER, TOGETHER_CHARS = 4096, 1 << 22
+#: Of these so many stay when a task of a pipeline ends, as workers live on.
+STAYING = 100_000
+#: Pieces that are encoded in one call, and characters of texts that are cut together: the more, the fewer words
+#: are looked up twice.
+TOGETHER, TOGETHER_CHARS = 4096, 10 << 20
 #: Ids that are read back at a time.
 READ_IDS = 1 << 21
 NO_ID = np.iinfo(np.int64).min
@@ -156,6 +159,10 @@ class PieceEncoder:
         joined = {word: b"".join(map(look, some)) for word, some in zip(rest, pieces, strict=True)}
         return [joined[word] if word in joined else known[word] for word in words]
 
+    def forget(self) -> None:
+        """Give the memory of all but the pieces met first back."""
+        self.ids = dict(islice(self.ids.items(), STAYING))
+
     def encode(self, batch: list[str]) -> Iterator[bytes]:
         """The ids of each text, as little-endian integers of `dtype`.
 
@@ -205,6 +212,20 @@ class PieceEncoder:
             yield raw[low:high]
 
 
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches that hold about as much text as is cut together."""
+    held, size = [], 0
+    for batch in batches:
+        more = batch["text"].nbytes
+        if held and size + more > TOGETHER_CHARS:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+        held.append(batch)
+        size += more
+    if held:
+        yield pa.concat_batches(held)
+
+
 def encoded(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`doc_id`, `ids`: each whole text's ids and `end_id`, little-endian integers of `id_type(path)`."""
     if end_id >= 1 << (8 * id_type(path).itemsize):
@@ -213,9 +234,10 @@ def encoded(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = PieceEncoder.of(path)
         end = np.array([end_id], encoder.dtype).tobytes()
-        for batch in batches:
+        for batch in gathered(batches):
             ids = [ids + end for ids in encoder.encode(batch["text"].to_pylist())]
             yield pa.record_batch({"doc_id": batch["doc_id"], "ids": pa.array(ids, pa.binary())})
+        encoder.forget()
 
     return map_arrow(texts(docs, id_col, text_col), run, "doc_id long, ids binary")
 
@@ -253,7 +275,7 @@ def write_token_files(
         ids_out = None
         counts, docs_seen = [], []
         system, root = pafs.FileSystem.from_uri(target)
-        for batch in batches:
+        for batch in gathered(batches):
             if ids_out is None and batch.num_rows:
                 system.create_dir(root, recursive=True)
                 ids_out = system.open_output_stream(f"{root}/{name}.tokens")

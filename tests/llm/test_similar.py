@@ -8,7 +8,7 @@ import numpy as np
 from test_duplicates import smallest_reachable
 
 import corpus_pipeline
-from heartwood.llm.similar import one_per_similar, tile_links
+from heartwood.llm.similar import candidates, fingerprint, grid_cells, one_per_similar, shape, tile_links, width
 
 WORDS = [f"{a}{b}" for a in "bcdfghklmnprst" for b in ("a", "eno", "iru", "ota")]
 
@@ -74,3 +74,43 @@ def test_awkward_rows(spark, awkward, nothing):
     assert set(range(30)) <= set(ids) and None in ids and len(ids) == len(set(ids))
     assert left[0].__fields__ == awkward.columns
     assert one_per_similar(nothing).collect() == []
+
+
+def test_fingerprints_are_majority_bits_and_cells_count_ones_of_segments():
+    keys = np.unique(np.random.default_rng(3).integers(0, 2**64, 41, np.uint64))
+    each = [fingerprint(keys[k : k + 1], 3) for k in range(len(keys))]
+    bits = np.array([np.unpackbits(x.view(np.uint8), bitorder="little") for x in each]).sum(axis=0)
+    mine = fingerprint(keys, 3)
+    assert (np.unpackbits(mine.view(np.uint8), bitorder="little") == (2 * bits > len(keys))).all()
+    ones = np.unpackbits(mine.view(np.uint8), bitorder="little").reshape(-1, 2).sum(axis=1)
+    cells = grid_cells(mine[None], 4, 5)[0]
+    assert cells.tolist() == [sum(int(ones[4 * g + k]) * 3**k for k in range(4)) * 5 + g for g in range(5)]
+
+
+def test_sets_of_least_similarity_share_a_cell_of_the_grid(spark):
+    draw = np.random.default_rng(4)
+    rows = []
+    for pair in range(400):
+        a, c = (4, 4) if pair % 2 else (180, 160)  # 4 of 5, and 160 of 200 shingles
+        base = draw.integers(0, 2**64, 5 if pair % 2 else 200, np.uint64)
+        rows += [(2 * pair, base[:a]), (2 * pair + 1, base if pair % 2 else base[a - c :])]
+    for size in (800, 300_000):
+        dims, groups, short = shape(size, 0.8)
+        prints = [(n, len(x), fingerprint(np.unique(x), width(dims, short)).tobytes()) for n, x in rows]
+        nodes = spark.createDataFrame(prints, "node long, size long, print binary")
+        together = {}
+        for r in candidates(nodes, 0.8, dims, groups, short).collect():
+            together.setdefault(r.bucket, set()).add(r.node)
+        found = sum(any({2 * p, 2 * p + 1} <= some for some in together.values()) for p in range(400))
+        assert found >= 398  # each is missed with probability 0.0004
+        assert sum(map(len, together.values())) < 2 * len(rows)  # no more than the pairs, and few by chance
+
+
+def test_a_group_of_near_fingerprints_emits_one_row_each(spark):
+    draw = np.random.default_rng(5)
+    base = draw.integers(0, 2**64, 200, np.uint64)
+    sets = [np.unique(np.append(base, draw.integers(0, 2**64, 2, np.uint64))) for _ in range(300)]
+    dims, groups, short = shape(300, 0.8)
+    prints = [(n, len(x), fingerprint(x, width(dims, short)).tobytes()) for n, x in enumerate(sets)]
+    nodes = spark.createDataFrame(prints, "node long, size long, print binary")
+    assert candidates(nodes, 0.8, dims, groups, short).count() < 300 * groups

@@ -262,3 +262,14 @@ def test_empty_tables_give_no_rows(nothing, spark):
 def test_registry_names_the_thirteen_operators():
     assert [int(re.match(r"op(\d+)_", name)[1]) for name in queries()] == list(range(1, 14))
     assert set(oracle_sql()) <= set(queries())
+
+
+def test_pieces_of_letters_need_the_model_alone(monkeypatch):
+    texts = ["Größe ÀÉÿ œuvre, the THE of.\nThe ex's ñandú 12ab &&& áb", " lead  two ", "", "ZÀÉÎÕÜ ßß µ ª ŉ ǅ ﬁ", "tre. ðþÐÞ×÷"]
+    for path in (BYTE, WORDS):
+        encoder = PieceEncoder(path)
+        assert encoder.direct
+        assert list(encoder.encode(texts)) == [encoder._whole(text) for text in texts]
+        asked = []
+        monkeypatch.setattr(encoder, "_encode", lambda some, asked=asked: asked.extend(some))
+        assert len(list(encoder.encode(["wholly unheardofword"]))) == 1 and not asked
