@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import re
+
 import pytest
 
 from heartwood.operators import alerts, quality
@@ -92,3 +94,16 @@ def test_campaign_limits(tables):
     assert 0 < len(found) <= 10
     assert all(r.churn_risk >= 0.6 and r.status == "DRAFTED" and len(r.email_body) <= 1000 for r in found)
     assert alerts.campaign_digest(alerts.retention_campaign(tables["scored"], threshold=2.0)).count() == 0
+
+
+def test_orphan_claims_count_each_row_and_sort_claims_once(spark):
+    claims = spark.createDataFrame(
+        [(1, 10, 5), (2, 10, 5), (3, 11, 5), (4, None, 5), (5, 10, None), (6, 12, 9), (7, 10, 9)],
+        "claim_id long, policy_id long, customer_id long",
+    )
+    policies = spark.createDataFrame([(10,), (10,), (None,)], "policy_id long")
+    customers = spark.createDataFrame([(5,), (5,), (None,)], "customer_id long")
+    found = quality.orphan_claims(claims, policies, customers)
+    assert found.first().violations == 5  # 3, 4, 5, 6 and 7
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [policy_id#" in plan and not re.search(r"Aggregate \[policy_id#\w+, customer_id#", plan)
