@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from heartwood.llm.common import keep
+
 #: Rows of a bucket that are compared with one another at a time.
 CHUNK = 512
 #: Largest count of hot buckets that is sent to every task (24 bytes each); more are joined by a shuffle.
@@ -22,6 +24,7 @@ def tiled(rows: DataFrame, row: str, chunk: int = CHUNK) -> DataFrame:
     """
     sizes = rows.groupBy("bucket").count().where(F.col("count") > chunk)
     hot = sizes.select("bucket", F.ceil(F.col("count") / chunk).cast("int").alias("chunks"))
+    hot = keep(hot, "hot")  # `rows` is not made again to count them and to send them
     few = hot.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     marked = rows.join(F.broadcast(hot) if few else hot, "bucket", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     marked = marked.withColumn("side", F.pmod(F.xxhash64(row, F.lit(7)), F.col("chunks")).cast("int"))

@@ -65,6 +65,8 @@ class PieceEncoder:
         special = [re.escape(token.content) for token in self.tokenizer.get_added_tokens_decoder().values() if token.content]
         # A special token inside a text ends what stands before it: such texts are encoded in one go.
         self.special = re.compile("|".join(special) or r"(?!)", re.IGNORECASE)
+        marks = {token.content[0] for token in self.tokenizer.get_added_tokens_decoder().values() if token.content}
+        self.marks = None if any(mark.isalpha() for mark in marks) else marks  # quicker to look for
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.ids: dict[str, bytes] = {}
         spaced = [self._encode([x])[0] for x in ("a b", "a", " b", "b")]
@@ -126,7 +128,9 @@ class PieceEncoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def _in_one_go(self, text: str) -> bool:
-        if not (self.free or self.led) or self.special.search(text):
+        if not (self.free or self.led):
+            return True
+        if (self.marks is None or any(mark in text for mark in self.marks)) and self.special.search(text):
             return True
         if not self.led or not (text[:1] == " " or SPACE_BEFORE_SPACE.search(text) or ODD_SPACE.search(text)):
             return False
