@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heartwood.llm.common import keep, map_arrow
+from heartwood.llm.common import keep, map_arrow, texts
 from heartwood.llm.tokens import encoded, id_type
 
 #: Pieces that are packed with one another.
@@ -78,11 +78,13 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str =
     """Kept `row` (unique), `doc_id`, `piece`, `start`, `length`, `ids`, `ids_crc32`: documents as ids and the end
     id, those longer than `capacity` cut into pieces of that length, the last possibly shorter."""
     kind = id_type(path)
+    if end_id >= 1 << (8 * kind.itemsize):
+        raise ValueError("the end id does not fit the id type of the vocabulary")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for doc_ids, blobs in encoded(batches, path, end_id):
             columns: dict[str, list] = {name: [] for name in ("doc_id", "piece", "start", "length", "ids", "ids_crc32")}
-            for doc, blob in zip(batch["doc_id"].to_pylist(), batch["ids"].to_pylist(), strict=True):
+            for doc, blob in zip(doc_ids.to_pylist(), blobs, strict=True):
                 ids = np.frombuffer(blob, kind)
                 for number, start in enumerate(range(0, len(ids), capacity)):
                     part = ids[start : start + capacity]
@@ -93,7 +95,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str =
             yield pa.record_batch({name: pa.array(columns[name], k) for name, k in zip(columns, kinds, strict=True)})
 
     schema = "doc_id long, piece int, start long, length long, ids binary, ids_crc32 long"
-    rows = map_arrow(encoded(docs, path, end_id, id_col, text_col), cut, schema)
+    rows = map_arrow(texts(docs, id_col, text_col), cut, schema)
     return keep(rows.select(F.monotonically_increasing_id().alias("row"), "*"), "pieces")
 
 

@@ -230,20 +230,14 @@ def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.concat_batches(held)
 
 
-def encoded(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`doc_id`, `ids`: each whole text's ids and `end_id`, little-endian integers of `id_type(path)`."""
-    if end_id >= 1 << (8 * id_type(path).itemsize):
-        raise ValueError("the end id does not fit the id type of the vocabulary")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder.of(path)
-        end = np.array([end_id], encoder.dtype).tobytes()
-        for batch in gathered(batches):
-            ids = [ids + end for ids in encoder.encode(batch["text"].to_pylist())]
-            yield pa.record_batch({"doc_id": batch["doc_id"], "ids": pa.array(ids, pa.binary())})
-        encoder.forget()
-
-    return map_arrow(texts(docs, id_col, text_col), run, "doc_id long, ids binary")
+def encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[tuple[pa.Array, list[bytes]]]:
+    """`doc_id` of the documents cut together, and each whole text's ids and `end_id`, little-endian integers of
+    `id_type(path)`. It runs inside the task that uses them: two Python steps in a row would hold a worker each."""
+    encoder = PieceEncoder.of(path)
+    end = np.array([end_id], encoder.dtype).tobytes()
+    for batch in gathered(batches):
+        yield batch["doc_id"], [ids + end for ids in encoder.encode(batch["text"].to_pylist())]
+    encoder.forget()
 
 
 def id_type(path: str) -> np.dtype:

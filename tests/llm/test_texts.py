@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import heartwood.llm.langid as langid
+import heartwood.llm.packing as packing
 from heartwood.llm.langid import identify, known_language
 from heartwood.llm.lmscore import lm_scores
 from heartwood.llm.mixing import mix, rates
@@ -89,6 +90,16 @@ def test_two_smaller_pieces_replace_the_smallest():
     assert bins[0] == bins[2] == bins[3] != bins[1]
 
 
+def test_packing_holds_one_python_worker_a_task(awkward, monkeypatch):
+    kept = []
+    monkeypatch.setattr(packing, "keep", lambda df, name: kept.append(df) or df)
+    packing.pieces(awkward, WORDS, 256, 0)
+    plan = kept[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    with pytest.raises(ValueError, match="end id"):
+        packing.pieces(awkward, WORDS, 256, 1 << 16)
+
+
 def test_packing_equals_its_definition(awkward):
     found = pack(awkward, WORDS, 256).collect()
     want = Counter()
