@@ -41,6 +41,23 @@ def test_policy_agg_over_several_categories(rows):
     assert (two.policy_types, two.next_renewal_days) == ("", None)
 
 
+def test_policy_agg_moves_the_rows_of_a_customer_once_after_the_types(rows):
+    df = rows(
+        "customer_id, risk_category, policy_status, premium_amount, coverage_amount, policy_type, days_to_renewal",
+        "(1L, 'Low', 'ACTIVE', 1.00, 5, 'LIFE', 9), (1L, 'Low', 'ACTIVE', 1.00, 5, 'AUTO', 9), (1L, 'High', 'ACTIVE', 1.00, 5, 'LIFE', 9),"
+        "(1L, NULL, 'ACTIVE', 1.00, 5, 'LIFE', 9), (1L, NULL, 'ACTIVE', 1.00, 5, NULL, 9), (1L, NULL, 'ACTIVE', 1.00, 5, 'AUTO', 9),"
+        "(NULL, 'Low', 'ACTIVE', 1.00, 5, 'LIFE', 9), (NULL, 'High', 'ACTIVE', 1.00, 5, 'LIFE', 9), (2L, NULL, 'ACTIVE', 1.00, 5, 'LIFE', 9)",
+    )
+    found = curated.policy_agg(df)
+    assert {(r.customer_id, r.total_policies, r.policy_types, r.primary_risk_category) for r in found.collect()} == {
+        (1, 6, "AUTO, LIFE", "Low"),  # the categories count over all types, unknown ones do not
+        (2, 1, "LIFE", None),
+        (None, 2, "LIFE", "High"),  # the smaller one of a tie
+    }
+    plan = curated.policy_agg(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2
+
+
 def test_customers_without_rows_read_as_zero(tables, spark):
     t = tables
     nobody = {name: t[name].filter("false") for name in ("policy_agg", "claims_agg", "loan_agg", "interaction_agg", "transcript_agg", "document_agg")}
