@@ -4,29 +4,34 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from heartwood.llm.common import binaries, group_starts, keep, map_arrow, texts, utf8, whole_groups
 from heartwood.llm.components import components
-from heartwood.llm.simhash import SEED, one_each
+from heartwood.llm.exchange import decode, encode
+from heartwood.llm.simhash import SEED
 from heartwood.llm.tiles import tiled
 
 #: The share of pairs just at the least similarity that no group of the grid may bring together.
 MISS = 0.0004
 #: Rows that a cell of the grid should hold, those of a tile, and the rows of a tile that are compared at a time.
 CELL, CHUNK, TOGETHER = 2000, 2048, 256
+#: Groups of the grid whose rows are on disk at a time: groups grow with the input, what a round writes does not.
+ROUND = 20
 #: Sets of fewer shingles have ties more often, so their bits differ more: at most this share of them.
 SHORT, SHORT_SHARE = 32, 0.1875
 #: The share of random pairs of segments of two bits that hold as many ones.
 MEET = 0.375
 #: Words of 64 bits on which the fingerprints of a cell are compared.
 CHECKED = 3
+#: Bits of a shingle's hash by which whole sets are compared.
+KEY_BITS = 48
 #: Shingles that are hashed at a time.
 SLICE = 4096
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -88,16 +93,19 @@ def grid_cells(prints: np.ndarray, dims: int, groups: int) -> np.ndarray:
     return (points @ 3 ** np.arange(dims, dtype=np.int64)) * groups + np.arange(groups)
 
 
-def distance(least: float, words: int) -> int:
+def distance(least: float, words: int, short: bool = True) -> int:
     """Bits of so many words in which fingerprints of similar sets differ at most: four standard deviations more."""
-    differ, bits = max(bit_share(least), SHORT_SHARE), 64 * words
+    differ, bits = max(bit_share(least), SHORT_SHARE if short else 0), 64 * words
     return math.ceil(bits * differ + 4 * math.sqrt(bits * differ * (1 - differ)))
 
 
-def near_rows(prints: np.ndarray, side: np.ndarray, cross: bool, least: float) -> np.ndarray:
-    """Per row of a tile the smallest row that it reaches by fingerprints within `distance`, in the first word and in all."""
+def near_rows(prints: np.ndarray, size: np.ndarray, side: np.ndarray, cross: bool, least: float) -> np.ndarray:
+    """Per row of a tile the smallest row that it reaches by fingerprints within `distance`, in the first word and in
+    all, of sets whose sizes allow the similarity."""
     label = np.arange(len(prints))
-    first, all_words = distance(least, 1), distance(least, prints.shape[1])
+    short = size < SHORT
+    first = distance(least, 1, bool(short.any()))
+    all_words = np.array([distance(least, prints.shape[1], few) for few in (False, True)])
     ends = []
     for low in range(0, len(prints), TOGETHER):
         near = np.bitwise_count(prints[low : low + TOGETHER, None, 0] ^ prints[None, low:, 0]) <= first
@@ -105,63 +113,71 @@ def near_rows(prints: np.ndarray, side: np.ndarray, cross: bool, least: float) -
             near &= side[low : low + TOGETHER, None] != side[None, low:]
         i, j = np.nonzero(near)
         i, j = i[i < j] + low, j[i < j] + low
-        kept = np.bitwise_count(prints[i] ^ prints[j]).sum(axis=1) <= all_words
+        kept = np.bitwise_count(prints[i] ^ prints[j]).sum(axis=1) <= all_words[(short[i] | short[j]).astype(int)]
+        kept &= alike(np.minimum(size[i], size[j]), size[i], size[j], least)
         ends.append(np.stack([i[kept], j[kept]]))
     i, j = np.concatenate(ends, axis=1)
     while True:
-        least = label.copy()
-        np.minimum.at(least, j, label[i])
-        np.minimum.at(least, i, label[j])
-        least = least[least]
-        if (least == label).all():
+        lowest = label.copy()
+        np.minimum.at(lowest, j, label[i])
+        np.minimum.at(lowest, i, label[j])
+        lowest = lowest[lowest]
+        if (lowest == label).all():
             return label
-        label = least
+        label = lowest
 
 
 def candidates(nodes: DataFrame, least: float, dims: int, groups: int, short: int) -> DataFrame:
-    """`bucket`, `node`: nodes that fingerprints within a cell of the grid bring together, two of a bucket at least.
+    """`bucket`, `node`, `hub`, `n`: nodes that fingerprints within a cell of the grid bring together, two of a bucket at
+    least; their count is `n`, `hub` is one of them, where possible the same in many buckets.
 
     `nodes` has the columns `node`, `size` (its shingles) and `print`. A cell's rows are compared in tiles; what a
     tile links is one bucket, so that nothing is emitted per pair; the same nodes are one bucket in every cell.
+    The grid is gone through `ROUND` groups at a time, so that disk follows the nodes however many groups there are.
     """
-
-    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            prints = binaries(batch["print"], "<u8")
-            wanted = np.arange(short) < np.where(batch["size"].to_numpy() < SHORT, short, groups)[:, None]
-            row, _ = np.nonzero(wanted)
-            found = {"bucket": grid_cells(prints, dims, short)[wanted], "node": batch["node"].to_numpy()[row]}
-            found |= {f"p{k}": prints[row, k].view(np.int64) for k in range(CHECKED)}
-            yield pa.record_batch(found)
-
     checked = [f"p{k}" for k in range(CHECKED)]
-    columns = ", ".join(f"{name} long" for name in ["bucket", "node", *checked])
+    columns = ", ".join(["bucket long", "node long", "size int", *(f"{name} long" for name in checked)])
+
+    def met(low: int) -> DataFrame:
+        def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                prints, size = binaries(batch["print"], "<u8"), batch["size"].to_numpy()
+                wanted = np.arange(low, min(low + ROUND, short)) < np.where(size < SHORT, short, groups)[:, None]
+                row, _ = np.nonzero(wanted)
+                found = {"bucket": grid_cells(prints, dims, short)[:, low : low + ROUND][wanted], "node": batch["node"].to_numpy()[row]}
+                found["size"] = np.minimum(size, 2**31 - 1).astype(np.int32)[row]
+                found |= {f"p{k}": prints[row, k].view(np.int64) for k in range(CHECKED)}
+                yield pa.record_batch(found)
+
+        rows = map_arrow(nodes.select("node", "size", "print"), cells, columns)
+        tiles = tiled(rows, "node", CHUNK).select("bucket", "tile", "side", "cross", "node", "size", *checked)
+        return keep(map_arrow(tiles, meet, "bucket long, node long, hub long, n long").distinct(), "met")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, ["bucket", "tile"]):
-            node, side, cross = (table[name].to_numpy() for name in ("node", "side", "cross"))
+            node, size, side, cross = (table[name].to_numpy() for name in ("node", "size", "side", "cross"))
             prints = np.stack([table[name].to_numpy() for name in checked], axis=1).view(np.uint64)
             starts = group_starts(table, ["bucket", "tile"]).tolist()
-            names, members = [], []
+            found = [np.zeros((4, 0), np.int64)]
             for start, end in zip(starts, [*starts[1:], len(node)], strict=True):
                 if end - start < 2:
                     continue
-                mine = node[start:end]
-                label = near_rows(prints[start:end], side[start:end], bool(cross[start]), least)
-                kept = np.flatnonzero(np.bincount(label, minlength=len(label))[label] > 1)
-                name = np.zeros(len(label), np.uint64)
-                mixed = (mine[kept].view(np.uint64) ^ (mine[kept].view(np.uint64) >> np.uint64(31))) * FACTOR
-                np.add.at(name, label[kept], mixed)
-                names.append(name[label[kept]]), members.append(mine[kept])
-            empty = np.zeros(0, np.uint64)
-            bucket = np.concatenate([empty, *names]).view(np.int64)
-            yield pa.record_batch({"bucket": bucket, "node": np.concatenate([empty.view(np.int64), *members])})
-
-    rows = map_arrow(nodes.select("node", "size", "print"), cells, columns)
-    tiles = tiled(rows, "node", CHUNK).select("bucket", "tile", "side", "cross", "node", *checked)
-    return map_arrow(tiles, meet, "bucket long, node long").distinct()
+                label = near_rows(prints[start:end], size[start:end], side[start:end], bool(cross[start]), least)
+                count = np.bincount(label, minlength=len(label))
+                kept = np.flatnonzero(count[label] > 1)
+                mine, label = node[start:end][kept], label[kept]
+                mixed = (mine.view(np.uint64) ^ (mine.view(np.uint64) >> np.uint64(31))) * FACTOR
+                name, hub = np.zeros(len(count), np.uint64), np.zeros(len(count), np.int64)
+                np.add.at(name, label, mixed)
+                last = np.argsort(mixed)[::-1]
+                hub[label[last]] = mine[last]  # of repeated places the last is kept: the smallest
+                found.append(np.stack([name[label].view(np.int64), mine, hub[label], count[label]]))
+            yield pa.record_batch(dict(zip(("bucket", "node", "hub", "n"), np.concatenate(found, axis=1), strict=True)))
+
+    parts = [met(low) for low in range(0, short, ROUND)]
+    return reduce(DataFrame.unionByName, parts).distinct()
 
 
 def alike(common: np.ndarray, a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
@@ -190,46 +206,42 @@ def tile_links(sets: list[np.ndarray], label: np.ndarray, least: float) -> list[
     return out
 
 
-def links(near: DataFrame, carriers: DataFrame, words: int, least: float) -> DataFrame:
+def links(near: DataFrame, named: DataFrame, rows: DataFrame, words: int, least: float) -> DataFrame:
     """`a`, `b`: links between the values of `node`, enough to span every component.
 
-    `near` has the columns `bucket` and `node`: the buckets of candidates, one row per distinct set; `carriers`
-    has `node` and `text`, any texts of that set. Sets are made again for the candidates only:
+    `near` has the columns of `candidates`; `named` has `node` and `key`, the hash of one text of that set; `rows`
+    has `key` and `text`, one per document. Sets are made again for the candidates only:
     these are first compared with one node of their bucket, so
     that a group of copies costs one comparison each; a bucket of several components after that is compared
     whole in tiles, but for pairs that are in one component by now.
     """
     near = keep(near, "near")
-    drawn = F.struct(F.xxhash64("node").alias("p"), F.col("node").alias("n"))
-    shared = near.groupBy("bucket").agg(F.count("*").alias("n"), F.min(drawn)["n"].alias("hub")).where("n > 1")
-    members = keep(near.join(shared, "bucket"), "members")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            blobs = [shingles(text, words).tobytes() for text in utf8(batch["text"])]
+            blobs = [encode(np.unique(shingles(text, words) >> np.uint64(64 - KEY_BITS))) for text in utf8(batch["text"])]
             yield pa.record_batch({"node": batch["node"], "keys": pa.array(blobs, pa.binary())})
 
-    asked = carriers.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
-    sets = keep(map_arrow(asked, whole, "node long, keys binary"), "sets")
-    pairs = members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    wanted = named.join(near.select("node").distinct(), "node", "left_semi")
+    asked = rows.join(wanted, "key").groupBy("key").agg(F.first("node").alias("node"), F.first("text").alias("text"))
+    sets = keep(map_arrow(asked.select("node", "text"), whole, "node long, keys binary"), "sets")
+    pairs = near.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     left = sets.withColumnsRenamed({"node": "a", "keys": "x"})
     right = sets.withColumnsRenamed({"node": "b", "keys": "y"})
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = ([np.frombuffer(blob, "<u8") for blob in batch[name].to_pylist()] for name in ("x", "y"))
+            x, y = ([decode(blob) for blob in batch[name].to_pylist()] for name in ("x", "y"))
             common = np.array([len(np.intersect1d(p, q, assume_unique=True)) for p, q in zip(x, y, strict=True)], np.int64)
             size = [np.array([len(p) for p in side], np.int64) for side in (x, y)]
             yield batch.select(["a", "b"]).filter(pa.array(alike(common, *size, least), pa.bool_()))
 
     by_hub = keep(map_arrow(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), compare, "a long, b long"), "by_hub")
     so_far = components(by_hub).withColumnsRenamed({"id": "node"})
-    labelled = members.where("n > 2").join(so_far, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("label"))
-    labelled = keep(labelled, "labelled")
-    same = [F.count("*").alias("n"), F.min("node").alias("first"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("all")]
-    apart = labelled.groupBy("bucket").agg(*same, F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-    once = apart.groupBy("n", "first", "all").agg(F.min("bucket").alias("bucket"))  # buckets often hold the same nodes
-    rest = keep(labelled.join(once.select("bucket"), "bucket").join(sets, "node").select("bucket", "node", "label", "keys"), "rest")
+    labelled = near.where("n > 2").join(so_far, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("label"))
+    own = Window.partitionBy("bucket")
+    apart = labelled.select("*", F.min("label").over(own).alias("low"), F.max("label").over(own).alias("high")).where("low < high")
+    rest = keep(apart.select("bucket", "node", "label"), "rest")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, ["bucket", "tile"]):
@@ -237,12 +249,12 @@ def links(near: DataFrame, carriers: DataFrame, words: int, least: float) -> Dat
             starts = group_starts(table, ["bucket", "tile"]).tolist()
             found = []
             for start, end in zip(starts, [*starts[1:], len(node)], strict=True):
-                part = [np.frombuffer(blob, "<u8") for blob in table["keys"].slice(start, end - start).to_pylist()]
+                part = [decode(blob) for blob in table["keys"].slice(start, end - start).to_pylist()]
                 found += [(node[start + i], node[start + j]) for i, j in tile_links(part, label[start:end], least)]
             a, b = np.array(found, np.int64).reshape(-1, 2).T
             yield pa.record_batch({"a": np.ascontiguousarray(a), "b": np.ascontiguousarray(b)})
 
-    tiles = tiled(rest, "node").select("bucket", "tile", "node", "label", "keys")
+    tiles = tiled(rest.join(sets, "node"), "node").select("bucket", "tile", "node", "label", "keys")
     return by_hub.unionByName(map_arrow(tiles, verify, "a long, b long"))
 
 
@@ -254,34 +266,49 @@ def one_per_similar(
     Two texts link where the Jaccard similarity of their sets of `words`-word shingles is `least` or more; a
     group is what links reach. Candidates come from SimHash fingerprints of the sets: segments of two bits become
     counts of ones, groups of these span a grid, and those of one cell (Manhattan distance zero in a group) are
-    compared by their bits. Dimensions, groups and bits follow the number of distinct sets. Every link is checked
-    on the whole sets (64-bit hashes of the shingles). A pair
+    compared by their bits. Dimensions, groups and bits follow the number of rows. Every link is checked
+    on the whole sets (48-bit hashes of the shingles). A pair
     just at `least` is not found with probability 0.0004 or little more, a closer one far more rarely. Case (of A to Z) and white
     space do not count. A text of fewer words is one shingle; texts without words are copies of one another.
 
     Texts of equal sets are one node however many rows carry them. Of rows with the same id and set one stays. A
     null id stays only where its group has no other. An empty table gives no rows.
+
+    No stage writes the texts down: `docs` is read several times and has to give the same rows each time.
     """
-    rows = texts(docs, id_col, text_col, docs.columns)
+    rows = texts(docs, id_col, text_col, docs.columns).withColumn("key", F.xxhash64("text"))
     dims, groups, short = shape(rows.count(), least)
     words_wide = width(dims, short)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(text, words) for text in utf8(batch["text"])]
-            fp = [xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets]
-            fp = np.array(fp, np.uint64).view(np.int64)
+            fp = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
             prints = [fingerprint(x, words_wide).tobytes() for x in sets]
-            found = {"doc": batch["doc"], "doc_id": batch["doc_id"], "fp": fp, "size": np.array([len(x) for x in sets], np.int64)}
+            found = {"doc_id": batch["doc_id"], "key": batch["key"], "fp": fp, "size": np.array([len(x) for x in sets], np.int64)}
             yield pa.record_batch(found | {"print": pa.array(prints, pa.binary())})
 
-    columns = [rows.schema["doc"], *(StructField(name, LongType()) for name in ("doc_id", "fp", "size")), StructField("print", BinaryType())]
-    printed = keep(map_arrow(rows, run, StructType(columns)), "printed")
-    one = [F.min("doc_id").alias("first"), F.first("size").alias("size"), F.first("print").alias("print")]
+    printed = keep(map_arrow(rows.select("doc_id", "key", "text"), run, "doc_id long, key long, fp long, size long, print binary"), "printed")
+    one = [F.min("doc_id").alias("first"), F.min("key").alias("key"), F.first("size").alias("size"), F.first("print").alias("print")]
     nodes = keep(printed.groupBy("fp").agg(*one), "nodes")
-    text = F.coalesce(F.col("doc")[text_col], F.lit("")).alias("text")
     near = candidates(nodes.withColumnRenamed("fp", "node"), least, dims, groups, short)
-    found = links(near, printed.select(F.col("fp").alias("node"), text), words, least)
+    found = links(near, nodes.select(F.col("fp").alias("node"), "key"), rows.select("key", "text"), words, least)
     joined = components(found).withColumnsRenamed({"id": "fp", "component": "root"})
     rooted = nodes.join(joined, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    return one_each(printed.select("doc", "doc_id", "fp"), keep(rooted, "rooted"))
+    return one_each(rows, printed, rooted)
+
+
+def one_each(rows: DataFrame, printed: DataFrame, rooted: DataFrame) -> DataFrame:
+    """Of each `root` of `rooted` (`fp`, `first`, `root`) the `doc` of `rows` (`doc`, `doc_id`, `key`) that stays; `printed`
+    has `doc_id`, `key` and `fp` of each. Texts of one key have one root, so a row of `rows` meets one choice at most."""
+    best = F.min(F.struct(F.col("first").isNull().alias("no_id"), "first", "fp")).alias("best")
+    chosen = rooted.groupBy("root").agg(best).select("best.first", "best.fp")
+    counts = printed.groupBy("fp", "doc_id", "key").count()
+    own = counts.groupBy("fp", "doc_id").agg(F.min(F.struct("key", "count")).alias("own"))
+    same = (chosen["fp"] == own["fp"]) & chosen["first"].eqNullSafe(own["doc_id"])
+    chosen = keep(chosen.join(own, same).select("first", F.col("own.key").alias("key"), F.col("own.count").alias("count")), "chosen")
+    staying = rows.join(chosen, (rows["key"] == chosen["key"]) & rows["doc_id"].eqNullSafe(chosen["first"]))
+    staying = staying.select("doc", "count", chosen["key"])
+    single = staying.where(F.col("count") == 1).select("doc")
+    several = staying.where(F.col("count") > 1).groupBy("key").agg(F.first("doc").alias("doc")).select("doc")
+    return single.unionByName(several).select("doc.*")

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import random
+from pathlib import Path
 
 import numpy as np
 from test_duplicates import smallest_reachable
 
 import corpus_pipeline
-from heartwood.llm.similar import candidates, fingerprint, grid_cells, one_per_similar, shape, tile_links, width
+from heartwood.llm.similar import ROUND, candidates, fingerprint, grid_cells, one_per_similar, shape, tile_links, width
+from heartwood.session import work_dir
 
 WORDS = [f"{a}{b}" for a in "bcdfghklmnprst" for b in ("a", "eno", "iru", "ota")]
 
@@ -114,3 +116,25 @@ def test_a_group_of_near_fingerprints_emits_one_row_each(spark):
     prints = [(n, len(x), fingerprint(x, width(dims, short)).tobytes()) for n, x in enumerate(sets)]
     nodes = spark.createDataFrame(prints, "node long, size long, print binary")
     assert candidates(nodes, 0.8, dims, groups, short).count() < 300 * groups
+
+
+def test_no_texts_are_written_down(spark, tmp_path):
+    draw = random.Random(6)
+    texts = [" ".join(f"{draw.getrandbits(48):x}" for _ in range(4000)) for _ in range(30)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    folder = Path(work_dir(spark).removeprefix("file:"))
+    before = set(folder.rglob("*.parquet"))
+    assert one_per_similar(spark.read.parquet(f"{tmp_path}/docs")).count() == 30
+    written = sum(path.stat().st_size for path in set(folder.rglob("*.parquet")) - before if path.is_file())
+    assert 0 < written < sum(map(len, texts)) / 10
+
+
+def test_buckets_name_their_hub_and_count_and_hold_sets_of_like_sizes(spark):
+    draw = np.random.default_rng(7)
+    prints = [draw.integers(0, 2**64, (1, 40), np.uint64) for _ in range(3)]
+    rows = [(10 * k + n, 1000 if n < 4 else 700, prints[k].tobytes()) for k in range(3) for n in range(5)]
+    nodes = spark.createDataFrame(rows, "node long, size long, print binary")
+    found = candidates(nodes, 0.8, 5, 2 * ROUND + 1, 2 * ROUND + 1).collect()  # in three rounds
+    assert {(r.node, r.n) for r in found} == {(10 * k + n, 4) for k in range(3) for n in range(4)} and len(found) == 12
+    assert all(len({r.hub for r in found if r.bucket == bucket}) == 1 for bucket in {r.bucket for r in found})
+    assert all(r.hub // 10 == r.node // 10 for r in found)
